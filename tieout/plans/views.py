@@ -102,7 +102,7 @@ def statement_rows(spark: SparkSession, sf_dir: str, family: str = "FS_INCOME_ST
         row_label().alias("label"),
         F.when(zero, 0.0).otherwise(F.col("l_extendedprice")).alias("cy"),
         F.when(zero, 0.0)
-        .otherwise(F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2))
+        .otherwise(F.round(F.col("l_extendedprice") - F.col("l_quantity"), 2))
         .alias("py"),
     )
 
@@ -178,7 +178,7 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: doc_id, table_idx, row_idx, col_idx, text. One table per order.
     """
-    lines = order_lines(spark, sf_dir, "l_discount", "l_shipdate")
+    lines = order_lines(spark, sf_dir, "l_quantity", "l_shipdate")
     # the column number is exploded first and the text computed after it, so the
     # generator carries plain integers instead of five text expressions
     body = (
@@ -186,7 +186,7 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn(
             "_amount",
             F.when(F.col("col_idx") == 3, F.col("l_extendedprice")).otherwise(
-                F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2)
+                F.round(F.col("l_extendedprice") - F.col("l_quantity"), 2)
             ),
         )
         .select(

@@ -34,7 +34,7 @@ def statement(code: str) -> str:
               WHEN 1 THEN 'Cash generated from operations' WHEN 2 THEN 'Total expenses'
               ELSE 'Other items' END AS label,
          CASE WHEN l_quantity = 7 THEN 0 ELSE l_extendedprice END AS cy,
-         CASE WHEN l_quantity = 7 THEN 0 ELSE round(l_extendedprice * (1 - l_discount), 2) END AS py
+         CASE WHEN l_quantity = 7 THEN 0 ELSE round(l_extendedprice - l_quantity, 2) END AS py
   FROM lineitem),
 fsl AS (
   SELECT doc_id, table_idx, row_idx, code, label, 0 AS period_ord, cy AS value FROM fs
@@ -74,7 +74,7 @@ cells AS (
      {{'col_idx': 1, 'text': lpad(CAST(l_partkey % 71 AS VARCHAR), 2, '0')}},
      {{'col_idx': 2, 'text': CASE WHEN l_partkey % 4 = 0 THEN CAST(l_partkey % 30 AS VARCHAR) ELSE '' END}},
      {{'col_idx': 3, 'text': {locale('l_extendedprice', 'l_partkey % 8')}}},
-     {{'col_idx': 4, 'text': {locale('round(l_extendedprice * (1 - l_discount), 2)', 'l_partkey % 8')}}}]) AS c FROM lines)
+     {{'col_idx': 4, 'text': {locale('round(l_extendedprice - l_quantity, 2)', 'l_partkey % 8')}}}]) AS c FROM lines)
   UNION ALL
   SELECT l_orderkey % 1000, l_orderkey, 0, c.col_idx, c.text
   FROM (SELECT *, unnest([

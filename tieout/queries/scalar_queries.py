@@ -72,11 +72,11 @@ def amount_parse_rule(spark, sf):
 
 @query(
     "numeric_view",
-    f"""WITH {O.LINES} SELECT l_orderkey AS table_idx, row_idx + 1 AS row_idx, c AS col_idx,
-        CASE l_partkey % 8 WHEN 3 THEN -v WHEN 4 THEN -v WHEN 6 THEN floor(v) WHEN 7 THEN NULL ELSE v END AS value
-        FROM lines, LATERAL (SELECT 3 AS c, l_extendedprice AS v UNION ALL
-                             SELECT 4, round(l_extendedprice * (1 - l_discount), 2)) t
-        UNION ALL SELECT l_orderkey, row_idx + 1, 0, NULL FROM lines WHERE false""",
+    f"""WITH {O.LINES}, t AS (SELECT *, 3 AS col_idx, l_extendedprice AS v FROM lines UNION ALL
+          SELECT *, 4, round(l_extendedprice - l_quantity, 2) FROM lines)
+        SELECT l_orderkey AS table_idx, row_idx + 1 AS row_idx, col_idx,
+          CASE l_partkey % 8 WHEN 3 THEN -v WHEN 4 THEN -v WHEN 6 THEN floor(v) WHEN 7 THEN NULL ELSE v END AS value
+        FROM t""",
 )
 def numeric_view(spark, sf):
     from tieout.operators.columns import amounts_of
