@@ -97,7 +97,10 @@ def scan(
     carried = per_chunk.select(
         *keys,
         "_chunk",
-        *[_local(o.kind, F.col(f"_s{i}")).over(across).alias(f"_b{i}") for i, o in enumerate(outputs)],
+        *[
+            _local("sum" if o.kind == "count" else o.kind, F.col(f"_s{i}")).over(across).alias(f"_b{i}")
+            for i, o in enumerate(outputs)
+        ],
     )
     local = work.withColumn("_has", F.count(F.lit(1)).over(before_row) > 0)
     for i, o in enumerate(outputs):

@@ -142,8 +142,8 @@ def roll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", "Opening balance")
         .when(F.col("event_type") == "purchase", "Closing balance")
         .when(F.col("event_type") == "click", "Additions")
-        .when(F.col("event_type") == "view", "Disposals")
-        .otherwise("Transfer")
+        .when(F.col("event_type") == "view", "Other items")
+        .otherwise("Cost")
     )
     return rows.select(
         F.col("user_id").alias("doc_id"), "table_idx", "row_idx", kind.alias("kind"),
@@ -223,3 +223,83 @@ def cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return body.unionByName(heads)
+
+
+def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as notes of blocks: each return flag's lines, a blank, their sub-total, a blank;
+    then the grand total. Every fourth order has a wrong sub-total.
+
+    Columns: doc_id, table_idx, row_idx, label, value.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag"
+    )
+    sums = li.groupBy("l_orderkey", "l_returnflag").agg(F.round(F.sum("l_extendedprice"), 2).alias("s"))
+    off = F.when(F.col("l_orderkey") % 4 == 0, 5.0).otherwise(0.0)
+    none = F.lit(0).cast("bigint")
+    details = li.select(
+        "l_orderkey", F.col("l_returnflag").alias("b"), F.lit(0).alias("part"), "l_linenumber", "l_partkey", "l_suppkey",
+        F.concat(F.lit("Item "), F.col("l_linenumber")).alias("label"), F.col("l_extendedprice").alias("value"),
+    )
+    tails = sums.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select(
+        "l_orderkey", F.col("l_returnflag").alias("b"), "part", F.lit(0).alias("l_linenumber"),
+        none.alias("l_partkey"), none.alias("l_suppkey"),
+        F.when(F.col("part") == 2, "Subtotal").otherwise("").alias("label"),
+        F.when(F.col("part") == 2, F.round(F.col("s") + off, 2)).alias("value"),
+    )
+    grand = sums.groupBy("l_orderkey").agg(F.round(F.sum("s"), 2).alias("value")).select(
+        "l_orderkey", F.lit("Z").alias("b"), F.lit(4).alias("part"), F.lit(0).alias("l_linenumber"),
+        none.alias("l_partkey"), none.alias("l_suppkey"), F.lit("Total").alias("label"), "value",
+    )
+    rows = details.unionByName(tails).unionByName(grand)
+    numbered = dense_positions(
+        rows, ["l_orderkey"], ["b", "part", "l_linenumber", "l_partkey", "l_suppkey"],
+        [F.col("b"), F.col("part"), F.floor(F.col("l_partkey") / 8192)],
+    )
+    return numbered.select(
+        (F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), "row_idx", "label", "value"
+    )
+
+
+def netting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines labelled as gross totals, deductions and net amounts by return flag."""
+    lines = order_lines(spark, sf_dir, "l_returnflag")
+    flag = F.col("l_returnflag")
+    return lines.select(
+        (F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), "row_idx",
+        F.when(flag == "A", "Gross total").when(flag == "R", "Less: allowances").otherwise("Net amount").alias("label"),
+        F.when((flag == "R") & (F.col("l_partkey") % 2 == 0), -F.col("l_extendedprice"))
+        .otherwise(F.col("l_extendedprice")).alias("value"),
+    )
+
+
+def daily_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as movement-by-column tables: one row per hour, one column per event type.
+
+    Columns: doc_id (user), table_idx (day), row_idx (hour), col_idx, header, value. For users
+    divisible by three the closing column is computed so that the equation holds.
+    """
+    ev = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
+    kind = F.col("event_type")
+    wide = ev.groupBy(
+        F.col("user_id").alias("doc_id"), F.datediff("ts", F.lit("2024-01-01")).alias("table_idx"),
+        F.hour("ts").alias("row_idx"),
+    ).agg(*[F.round(F.sum(F.when(kind == k, F.col("value"))), 2).alias(k) for k in ("signup", "click", "view", "purchase")])
+    sum_in = F.round(
+        F.coalesce("signup", F.lit(0.0)) + F.coalesce("click", F.lit(0.0)) + F.coalesce("view", F.lit(0.0)), 2
+    )
+    good = F.col("doc_id") % 3 == 0
+    filled = wide.select(
+        "doc_id", "table_idx", "row_idx",
+        F.coalesce("signup", F.lit(0.0)).alias("c0"), "click", "view",
+        F.when(good, sum_in).otherwise(F.coalesce("purchase", F.lit(0.0))).alias("c3"),
+    )
+    return filled.withColumn("col_idx", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        "doc_id", "table_idx", "row_idx", "col_idx",
+        F.element_at(
+            F.array(F.lit("Opening balance"), F.lit("Additions"), F.lit("Disposals"), F.lit("Closing balance")),
+            F.col("col_idx") + 1,
+        ).alias("header"),
+        F.when(F.col("col_idx") == 0, F.col("c0")).when(F.col("col_idx") == 1, F.col("click"))
+        .when(F.col("col_idx") == 2, F.col("view")).otherwise(F.col("c3")).alias("value"),
+    )

@@ -50,7 +50,7 @@ ROLL = """roll AS (
          CAST(row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS INTEGER) AS row_idx,
          CASE event_type WHEN 'signup' THEN 'OPENING' WHEN 'purchase' THEN 'CLOSING' ELSE 'MOVEMENT' END AS kind,
          CASE event_type WHEN 'signup' THEN 'Opening balance' WHEN 'purchase' THEN 'Closing balance'
-              WHEN 'click' THEN 'Additions' WHEN 'view' THEN 'Disposals' ELSE 'Transfer' END AS label,
+              WHEN 'click' THEN 'Additions' WHEN 'view' THEN 'Other items' ELSE 'Cost' END AS label,
          value, event_type, ts, event_id
   FROM events)"""
 
@@ -83,3 +83,23 @@ cells AS (
      {{'col_idx': 2, 'text': 'Note'}},
      {{'col_idx': 3, 'text': '31/12/' || y}},
      {{'col_idx': 4, 'text': 'Year ' || (y - 1)}}]) AS c FROM heads))"""
+
+BLOCKS = """bsums AS (SELECT l_orderkey, l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1, 2),
+braw AS (
+  SELECT l_orderkey, l_returnflag AS b, 0 AS part, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, 'Item ' || l_linenumber AS label, l_extendedprice AS value FROM lineitem
+  UNION ALL SELECT l_orderkey, l_returnflag, part, 0, 0, 0, CASE part WHEN 2 THEN 'Subtotal' ELSE '' END,
+     CASE part WHEN 2 THEN round(s + CASE WHEN l_orderkey % 4 = 0 THEN 5 ELSE 0 END, 2) END FROM bsums, (VALUES (1), (2), (3)) p(part)
+  UNION ALL SELECT l_orderkey, 'Z', 4, 0, 0, 0, 'Total', round(sum(s), 2) FROM bsums GROUP BY 1),
+blocks AS (SELECT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx,
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY b, part, ln, pk, sk) - 1 AS INTEGER) AS row_idx, label, value, b, part FROM braw)"""
+
+NETTING = LINES + """,
+netting AS (SELECT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx, row_idx,
+  CASE l_returnflag WHEN 'A' THEN 'Gross total' WHEN 'R' THEN 'Less: allowances' ELSE 'Net amount' END AS label,
+  CASE WHEN l_returnflag = 'R' AND l_partkey % 2 = 0 THEN -l_extendedprice ELSE l_extendedprice END AS value FROM lines)"""
+
+DAILY = """dw AS (SELECT user_id AS doc_id, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS table_idx, CAST(hour(ts) AS INTEGER) AS row_idx,
+  round(sum(value) FILTER (event_type = 'signup'), 2) AS s, round(sum(value) FILTER (event_type = 'click'), 2) AS c,
+  round(sum(value) FILTER (event_type = 'view'), 2) AS v, round(sum(value) FILTER (event_type = 'purchase'), 2) AS p FROM events GROUP BY 1, 2, 3),
+daily AS (SELECT doc_id, table_idx, row_idx, coalesce(s, 0) AS ob, c AS m1, v AS m2,
+  CASE WHEN doc_id % 3 = 0 THEN round(coalesce(s, 0) + coalesce(c, 0) + coalesce(v, 0), 2) ELSE coalesce(p, 0) END AS cb FROM dw)"""
