@@ -303,3 +303,35 @@ def daily_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("col_idx") == 0, F.col("c0")).when(F.col("col_idx") == 1, F.col("click"))
         .when(F.col("col_idx") == 2, F.col("view")).otherwise(F.col("c3")).alias("value"),
     )
+
+
+# Status wordings and rule ids that the result view cycles through.
+STATUS_TEXTS = [
+    "PASS: all formulas match", "FAIL: 3 differences", "WARN: no total row", "FAIL_TOOL_EXTRACT: grid corruption",
+    "INFO_SKIPPED: footer", "Validator crash in step 2", "ERROR: unreadable", "FAIL ... 2 checks passed", "Extraction failed: low quality",
+]
+RULE_IDS = [
+    "MATH_EQ", "CROSS_CHECK_MISMATCH", "BALANCE_SHEET_VALIDATION", "TABLE_NO_TOTAL_ROW", "ROW_TOTAL_GRAND_TOTAL",
+    "SKIPPED_FOOTER_SIGNATURE", "FAIL_TOOL_LOGIC_VALIDATOR_CRASH",
+]
+
+
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as validation results. Columns: doc_id, table_idx, status, rule_id, max_diff, heading,
+    source, extractor_engine, quality_score, quality_flags, assertions, numeric_evidence."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda xs, e: F.element_at(F.array(*[F.lit(x) for x in xs]), (e + 1).cast("int"))
+    return o.select(
+        F.col("o_custkey").alias("doc_id"), k.alias("table_idx"),
+        pick(STATUS_TEXTS, k % len(STATUS_TEXTS)).alias("status"), pick(RULE_IDS, k % len(RULE_IDS)).alias("rule_id"),
+        F.col("o_totalprice").alias("max_diff"),
+        F.concat(F.col("o_orderpriority"), F.lit(" "), k % 50).alias("heading"),
+        F.concat(F.lit("file_"), F.col("o_custkey") % 20).alias("source"),
+        pick(["ooxml", "ooxml_fallback", "render"], k % 3).alias("extractor_engine"),
+        ((k % 11) / 10.0).alias("quality_score"),
+        F.when(k % 13 == 0, F.array(F.lit("GRID_CORRUPTION"))).when(k % 13 == 1, F.array(F.lit("BORDERLINE_CONFIDENCE")))
+        .otherwise(F.array().cast("array<string>")).alias("quality_flags"),
+        (k % 5).alias("assertions"), ((k % 9) / 10.0).alias("numeric_evidence"),
+        F.col("o_orderpriority").alias("validator_type"), F.col("o_orderstatus").alias("failure_reason_code"),
+    )

@@ -1,6 +1,6 @@
 """DuckDB spellings of the document-shaped views, as CTE bodies."""
 
-from tieout.plans.views import BALANCE_CODES
+from tieout.plans.views import BALANCE_CODES, RULE_IDS, STATUS_TEXTS
 
 LINES = """lines AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey
@@ -103,3 +103,18 @@ DAILY = """dw AS (SELECT user_id AS doc_id, CAST(datediff('day', DATE '2024-01-0
   round(sum(value) FILTER (event_type = 'view'), 2) AS v, round(sum(value) FILTER (event_type = 'purchase'), 2) AS p FROM events GROUP BY 1, 2, 3),
 daily AS (SELECT doc_id, table_idx, row_idx, coalesce(s, 0) AS ob, c AS m1, v AS m2,
   CASE WHEN doc_id % 3 = 0 THEN round(coalesce(s, 0) + coalesce(c, 0) + coalesce(v, 0), 2) ELSE coalesce(p, 0) END AS cb FROM dw)"""
+
+
+def _pick(xs, e):
+    return "[" + ",".join(f"'{x}'" for x in xs) + f"][CAST({e} + 1 AS INTEGER)]"
+
+
+RESULTS = f"""res AS (SELECT o_custkey AS doc_id, o_orderkey AS table_idx, {_pick(STATUS_TEXTS, f'o_orderkey % {len(STATUS_TEXTS)}')} AS status,
+  {_pick(RULE_IDS, f'o_orderkey % {len(RULE_IDS)}')} AS rule_id, {_pick(['PASS', 'FAIL', 'WARN', 'FAIL_TOOL_EXTRACT', 'INFO_SKIPPED', 'FAIL_TOOL_LOGIC', 'ERROR', 'PASS', 'FAIL_TOOL_EXTRACT'], 'o_orderkey % 9')} AS enum,
+  o_totalprice AS max_diff, o_orderpriority || ' ' || (o_orderkey % 50) AS heading, 'file_' || (o_custkey % 20) AS source,
+  ['ooxml', 'ooxml_fallback', 'render'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS engine, (o_orderkey % 11) / 10.0 AS q, o_orderkey % 13 AS flag,
+  o_orderkey % 5 AS assertions, (o_orderkey % 9) / 10.0 AS ev, o_orderpriority AS validator_type, o_orderstatus AS failure_reason_code FROM orders)"""
+
+SEVERITY = """CASE WHEN rule_id IN ('MATH_EQ', 'CROSS_CHECK_MISMATCH', 'ROW_TOTAL_GRAND_TOTAL') THEN CASE WHEN max_diff >= 100000 THEN 'HIGH' WHEN max_diff >= 10000 THEN 'MEDIUM' ELSE 'LOW' END
+  WHEN rule_id = 'BALANCE_SHEET_VALIDATION' THEN 'MEDIUM' WHEN rule_id = 'FAIL_TOOL_LOGIC_VALIDATOR_CRASH' THEN 'HIGH' ELSE 'LOW' END"""
+CONFIDENCE = """CASE WHEN table_idx % 4 = 1 THEN 'MEDIUM' WHEN rule_id IN ('MATH_EQ', 'CROSS_CHECK_MISMATCH') THEN 'HIGH' WHEN table_idx % 4 = 2 THEN 'LOW' ELSE 'HIGH' END"""
