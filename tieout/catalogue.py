@@ -111,3 +111,163 @@ def signed_terms(rules) -> list[tuple]:
             negative = child.startswith("-")
             out.append((formula, parent, child.lstrip("-"), -1 if negative else 1, i))
     return out
+
+# --- heading catalogues
+
+TABLES_NEED_COLUMN_CHECK = [
+    "acquisition of subsidiary",
+    "changes in owners’ equity",
+    "finance lease liabilities",
+    "finance lease tangible fixed assets",
+    "investment property held for capital appreciation",
+    "investment property held to earn rental",
+    "long-term borrowings, bonds and financial lease liabilities",
+    "long-term deferred expenses",
+    "long-term prepaid expenses",
+    "long-term provisions",
+    "mature livestock producing periodic products",
+    "movement in temporary differences during the period",
+    "movement in temporary differences during the year",
+    "others payable to the state",
+    "others payable to the state – long-term",
+    "short-term borrowings, bonds and finance lease liabilities",
+    "short-term provisions",
+    "tangible fixed assets",
+    "taxes and others payable to state treasury",
+    "taxes and others payable to the state",
+    "taxes and others payable to the state – long-term",
+    "taxes and others receivable from state treasury",
+    "taxes and others receivable from the state",
+    "taxes payable to the state",
+    "taxes payable to the state – long-term",
+    "taxes receivable from state treasury",
+    "taxes receivable from the state",
+    "intangible fixed assets",
+    "chi phí trả trước dài hạn",
+    "tài sản cố định hữu hình",
+    "tài sản cố định vô hình",
+    "taxes payable to state treasury",
+    "thuế và các khoản phải nộp nhà nước",
+    "borrowings",
+    "borrowings, bonds and finance lease liabilities",
+    "short-term borrowings",
+    "long-term borrowings",
+]
+
+TABLES_NEED_CHECK_SEPARATELY = [
+    "finance lease tangible fixed assets",
+    "goodwill",
+    "investment property held for capital appreciation",
+    "investment property held to earn rental",
+    "mature livestock producing periodic products",
+    "tangible fixed assets",
+    "intangible fixed assets",
+    "tài sản cố định hữu hình",
+    "tài sản cố định vô hình",
+]
+
+TABLES_WITHOUT_TOTAL = [
+    "business costs by element",
+    "production and business costs by elements",
+    "fair values versus carrying amounts",
+    "fees paid and payable to the auditors",
+    "geographical segments",
+    "interest rate risk",
+    "non-cash investing activity",
+    "non-cash investing activities",
+    "non-cash investing and financing activities",
+    "significant transactions with related parties",
+    "significant transactions with related companies",
+    "corresponding figures",
+    "transaction value",
+    "annual interest rate",
+    "equivalent vnd'000",
+    "number of shares",
+    "transfer from long-term borrowings",
+    "recognised in consolidated balance sheet",
+    "recognised in consolidated statement of income",
+    "recognised in consolidated income statement",
+]
+
+# --- tie-outs of note totals to statement accounts, as data:
+# (group, match, heading, slot, locator, account, sign, first use only)
+# group M: more than one sub-total row, S: one. slot G: grand total, T1..T3: nth sub-total.
+# locator: a word of the column header, or '' for the period columns. account '': the heading.
+
+FORM_MAP = [
+    ("M", "contains", "held-to-maturity investments", "T1", "cost", "123", 1, True),
+    ("M", "contains", "held-to-maturity investments", "TL", "cost", "265", 1, True),
+    ("M", "contains", "held-to-maturity investments", "T1", "allowance", "124", -1, True),
+    ("M", "contains", "held-to-maturity investments", "TL", "allowance", "266", -1, True),
+    ("M", "contains", "bad and doubtful debts", "TL", "allowance", "allowance for doubtful debts", -1, True),
+    ("M", "contains", "recognised deferred tax", "G", "", "Net_DTA_DTL", 1, True),
+    ("M", "exact", "receivables on construction contracts according to stages of completion", "G", "", "", 1, True),
+    ("M", "exact", "payables on construction contracts according to stages of completion", "G", "", "", -1, True),
+    ("M", "exact", "deferred tax assets and liabilities", "G", "", "", 1, True),
+    ("M", "exact", "deferred tax assets", "G", "", "", 1, True),
+    ("M", "exact", "deferred tax liabilities", "G", "", "", 1, True),
+    ("M", "exact", "accounts payable to suppliers", "G", "", "", 1, True),
+    ("M", "exact", "accrued expenses", "G", "", "", 1, True),
+    ("M", "exact", "accrued expenses – short-term", "G", "", "accrued expenses", 1, True),
+    ("M", "exact", "accrued expenses – long-term", "G", "", "long-term accrued expenses", 1, True),
+    ("M", "exact", "deferred revenue", "G", "", "", 1, True),
+    ("M", "exact", "deferred revenue – long-term", "G", "", "long-term deferred revenue", 1, True),
+    ("M", "exact", "other payables", "G", "", "", 1, True),
+    ("M", "exact", "long-term borrowings", "G", "carrying", "", 1, True),
+    ("M", "exact", "long-term bonds", "G", "carrying", "", 1, True),
+    ("M", "exact", "cash", "T1", "", "", 1, True),
+    ("M", "exact", "cash and cash equivalents", "T1", "", "", 1, True),
+    ("M", "exact", "cash in banks", "T1", "", "", 1, True),
+    ("M", "exact", "biological assets – short-term", "T1", "cost", "151", 1, True),
+    ("M", "exact", "biological assets – short-term", "T2", "cost", "152", 1, True),
+    ("M", "exact", "biological assets – short-term", "G", "allowance", "153", 1, True),
+    ("M", "contains", "revenue from", "T1", "", "", 1, True),
+    ("M", "contains", "revenue from", "T2", "", "revenue deductions", -1, True),
+    ("M", "contains", "revenue from", "G", "", "10", 1, True),
+    ("M", "contains", "provisions", "G", "", "provisions", 1, True),
+    ("S", "exact", "accounts payable to suppliers classified by payment terms", "T1", "", "accounts payable to suppliers", 1, True),
+    ("S", "contains", "sales or disposals of investment", "T1", "", "21", 1, True),
+    ("S", "contains", "general and administration", "T1", "", "26", 1, True),
+    ("S", "exact", "trading securities", "T1", "cost", "", 1, True),
+    ("S", "exact", "trading securities", "T1", "allowance", "allowance for diminution in the value of trading securities", -1, True),
+    ("S", "contains", "held-to-maturity investments", "T1", "cost", "123", 1, True),
+    ("S", "contains", "held-to-maturity investments", "T1", "allowance", "124", -1, True),
+    ("S", "exact", "equity investments in other entities", "T1", "cost", "investments in other entities", 1, False),
+    ("S", "exact", "equity investments in other entities", "T1", "carrying amounts", "investments in other entities", 1, False),
+    ("S", "exact", "equity investments in other entities", "T1", "allowance", "264", -1, False),
+    ("S", "exact", "bad and doubtful debts", "T1", "allowance", "allowance for doubtful debts", -1, True),
+    ("S", "exact", "inventories", "T1", "cost", "141", 1, True),
+    ("S", "exact", "inventories", "T1", "allowance", "142", 1, True),
+    ("S", "exact", "biological assets – short-term", "T1", "cost", "151", 1, True),
+    ("S", "exact", "biological assets – short-term", "T1", "allowance", "153", 1, True),
+    ("S", "exact", "construction in progress", "G", "", "", 1, True),
+    ("S", "exact", "long-term deferred expenses", "G", "", "", 1, True),
+    ("S", "exact", "long-term work in progress", "T1", "cost", "", 1, True),
+    ("S", "contains", "accounts payable to suppliers", "T1", "cost", "accounts payable to suppliers", 1, True),
+    ("S", "contains", "taxes", "T1", "", "", 1, True),
+    ("S", "exact", "short-term borrowings", "T1", "carrying", "", 1, True),
+    ("S", "exact", "short-term bonds", "T1", "carrying", "", 1, True),
+    ("S", "contains", "provisions", "G", "", "provisions", 1, True),
+]
+
+# Locators whose current and prior columns are read the other way round.
+SWAPPED_LOCATORS = ["carrying"]
+BORROWING_WORDS = ["borrowings", "bonds"]
+
+SECTION_WHITELIST = [
+    ("tài sản cố định hữu hình", "hữu hình"),
+    ("tài sản cố định vô hình", "vô hình"),
+    ("bất động sản đầu tư", "bất động sản"),
+    ("chi phí trả trước dài hạn", "dài hạn"),
+    ("chi phí trả trước ngắn hạn", "ngắn hạn"),
+    ("doanh thu chưa thực hiện dài hạn", "dài hạn"),
+    ("doanh thu chưa thực hiện ngắn hạn", "ngắn hạn"),
+]
+
+FIXED_ASSET_CODES = [
+    ("tangible fixed assets", "222", "223"),
+    ("finance lease tangible fixed assets", "225", "226"),
+    ("intangible fixed assets", "228", "229"),
+    ("mature livestock producing periodic products", "234", "235"),
+    ("investment property held to earn rental", "241", "242"),
+]
