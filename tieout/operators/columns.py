@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.functions.amounts import parse_amount
@@ -21,3 +21,336 @@ def amounts_of(cells: DataFrame, code_columns: DataFrame | None = None) -> DataF
         .withColumn("value", F.when(F.col("_code").isNull(), F.col("value")))
         .drop("_code")
     )
+
+
+# Header wording.
+CODE_HEADER = r"(?iu)^(code|no\.?|stt|mã|ma|ms|số|tt|ref\.?|index|num|id|number|item|account|acct|line|row)(\.\d+)?$"
+CODE_PREFIXES = ["mã số ", "thuyết minh ", "particulars ", "description ", "nội dung ", "line item ", "chỉ tiêu "]
+AMBIGUOUS_CODE_HEADERS = ["unknown", "desc", "ref", "no", "id", "code", "stt", "tt", "ms", "number"]
+CURRENT_TERMS = ["current year", "cy", "năm hiện tại", "năm nay", "current period", "kỳ hiện tại"]
+PRIOR_TERMS = ["prior year", "py", "năm trước", "prior period", "kỳ trước"]
+NOTE_TERMS = ["note", "notes", "ghi chú", "chú thích"]
+DESCRIPTION_TERMS = ["description", "particulars", "item", "account", "nội dung", "chỉ tiêu"]
+NON_AMOUNT_TERMS = ["rate", "%", "percent", "percentage", "maturity", "days", "day", "note", "notes", "thuyết minh", "thuyet minh"]
+NON_MONEY_HEADER = (
+    r"(?iU)(year\s*(of\s*maturity)?|năm\s*(đáo\s*hạn)?|interest\s*rate|lãi\s*suất|%|percent|tỷ\s*lệ|"
+    r"quantity|số\s*lượng|number\s*of|maturity\s*date|ngày\s*đáo\s*hạn|shares?\b|days?\b|ngày\b)"
+)
+SECTION_TITLES = (
+    r"^([A-Z\s]+$|CASH FLOWS FROM|CASH AND CASH EQUIVALENTS|OPERATING ACTIVITIES|INVESTING ACTIVITIES|"
+    r"FINANCING ACTIVITIES|ASSETS|LIABILITIES|EQUITY)"
+)
+TOTAL_WORDS = [
+    "total", "tổng", "sum", "subtotal", "tổng cộng", "cộng", "grand total", "tổng số", "tổng hợp", "tổng kết",
+    "cộng lại", "net", "net total", "tổng thuần", "tổng cộng cuối", "final total", "tổng cuối", "balance",
+    "ending balance", "closing balance", "carrying amount", "carried forward", "brought forward", "số dư",
+    "số dư cuối", "số dư đầu", "mang sang", "chuyển sang", "total amount", "aggregate", "sum total", "overall total",
+]
+FOOTER_WORDS = ["note", "ghi chú", "footnote", "(*)", "(**)"]
+HEADER_WORDS = ["code", "note", "description", "account", "mã", "ghi chú"]
+SAMPLE_ROWS = 20
+
+
+def any_of(c: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | c.contains(w)
+    return out
+
+
+def _text() -> Column:
+    return F.trim(F.coalesce("text", F.lit("")))
+
+
+def _filled() -> Column:
+    t = _text()
+    return (t != "") & (F.lower(t) != "nan")
+
+
+def numeric_evidence(body: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Parseable and digit share of each column's non-empty cells in the first rows.
+
+    ``body`` holds data cells with row_idx from 0; the row limit is part of the measure and
+    reaches the scan as a filter.
+    """
+    c = body.where(F.col("row_idx") < sample_rows)
+    filled = _filled()
+    agg = c.groupBy(*TABLE_KEY, "col_idx").agg(
+        F.count_if(filled).alias("n"),
+        F.count(parse_amount(F.col("text"))).alias("p"),
+        F.count_if(F.col("text").rlike(r"\d")).alias("d"),
+    )
+    ratio = lambda x: F.when(F.col("n") > 0, F.col(x) / F.col("n")).otherwise(0.0)
+    return agg.select(
+        *TABLE_KEY, "col_idx", ratio("p").alias("parseable_ratio"), ratio("d").alias("digit_ratio")
+    ).withColumn("score", F.greatest("parseable_ratio", "digit_ratio"))
+
+
+def table_evidence(columns: DataFrame) -> DataFrame:
+    return columns.groupBy(*TABLE_KEY).agg(
+        F.max("score").alias("numeric_evidence_score"), F.avg("digit_ratio").alias("numeric_cell_ratio")
+    )
+
+
+def column_profile(body: DataFrame, headers: DataFrame) -> DataFrame:
+    """Per column: density, uniqueness and mean length of the first 20 filled cells.
+
+    The first-20 rank is limited before the shuffle, so a long column is not sorted in one task.
+    """
+    from pyspark.sql import Window
+
+    filled = body.where(_filled())
+    w = Window.partitionBy(*TABLE_KEY, "col_idx").orderBy("row_idx")
+    first = filled.select(*TABLE_KEY, "col_idx", "row_idx", F.length("text").alias("_len")).withColumn(
+        "_r", F.row_number().over(w)
+    ).where(F.col("_r") <= SAMPLE_ROWS).groupBy(*TABLE_KEY, "col_idx").agg(F.avg("_len").alias("avg_len"))
+    stats = filled.groupBy(*TABLE_KEY, "col_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.count(parse_amount(F.col("text"))).alias("n_numeric"),
+        F.count_distinct("text").alias("n_distinct"),
+    )
+    j = headers.join(stats, [*TABLE_KEY, "col_idx"], "left").join(first, [*TABLE_KEY, "col_idx"], "left")
+    ratio = lambda a: F.coalesce(F.col(a) / F.col("n"), F.lit(0.0))
+    return j.select(
+        *TABLE_KEY, "col_idx", "header", ratio("n_numeric").alias("numeric_density"), ratio("n_distinct").alias("uniqueness"),
+        F.coalesce("avg_len", F.lit(0.0)).alias("avg_len"),
+    )
+
+
+def header_hint(header: Column) -> Column:
+    h = F.lower(F.trim(header))
+    return (
+        F.when(h.rlike(r"\d{4}|cy|py|năm|year"), "year")
+        .when(h.rlike("opening|closing|addition|additions|disposal|disposals|tăng|giảm|đầu kỳ|cuối kỳ|phát sinh|chuyển"), "movement")
+        .when(h.rlike(r"vnd|usd|eur|₫|\$|€|đồng"), "currency")
+        .when(h.rlike("%|percent"), "percent")
+        .when(h.rlike("amount|figures?|amounts"), "amount")
+        .when(h.rlike(r"(?U)\btotal\b|\btổng\b"), "total")
+        .otherwise("none")
+    )
+
+
+def is_code_header(header: Column) -> Column:
+    h = F.lower(F.trim(F.regexp_replace(header, r"\s+", " ")))
+    out = h.rlike(CODE_HEADER)
+    for p in CODE_PREFIXES:
+        out = out | h.startswith(p) | (h == p.rstrip())
+    return out
+
+
+def note_columns(headers: DataFrame) -> DataFrame:
+    """The note column of a table: an exact header first, else the first that mentions a note."""
+    return _pick_column(headers, ["note"], NOTE_TERMS)
+
+
+def code_columns(headers: DataFrame) -> DataFrame:
+    return _pick_column(headers, ["code"], ["code", "mã"])
+
+
+def _pick_column(headers: DataFrame, exact: list[str], partial: list[str]) -> DataFrame:
+    h = F.lower(F.trim("header"))
+    rank = F.when(h.isin(exact), 0).when(any_of(h, partial), 1)
+    return headers.withColumn("_rank", rank).where("_rank is not null").groupBy(*TABLE_KEY).agg(
+        F.min_by("col_idx", F.struct("_rank", "col_idx")).alias("col_idx")
+    )
+
+
+def column_roles(profile: DataFrame) -> DataFrame:
+    """CODE / LABEL / NUMERIC / OTHER with confidence; rules in fixed order."""
+    note = note_columns(profile).withColumn("_note", F.lit(True))
+    j = profile.join(note, [*TABLE_KEY, "col_idx"], "left").withColumn("header_hint", header_hint(F.col("header")))
+    h = F.lower(F.trim(F.regexp_replace("header", r"\s+", " ")))
+    d, u, n = F.col("numeric_density"), F.col("uniqueness"), F.col("avg_len")
+    code_like = (d >= 0.25) & h.isin(AMBIGUOUS_CODE_HEADERS) & (n < 6) & (u > 0.5)
+    short = (d < 0.2) & ((n < 15) | (u > 0.9)) & (u > 0.2)
+    is_code = is_code_header(F.col("header"))
+    is_note = F.coalesce("_note", F.lit(False))
+    hinted = F.col("header_hint") != "none"
+    role = (
+        F.when(is_code, "CODE").when(is_note, "LABEL").when(hinted, "NUMERIC").when(code_like, "CODE")
+        .when(d >= 0.5, "NUMERIC").when(short, "CODE").otherwise("OTHER")
+    )
+    conf = (
+        F.when(is_code, 0.9).when(is_note, 0.85).when(hinted, 0.6).when(code_like, 0.75)
+        .when(d >= 0.5, F.least(F.lit(0.95), 0.5 + d * 0.5)).when(short, 0.75).otherwise(0.5)
+    )
+    return j.withColumn("role", role).withColumn("confidence", conf).drop("_note")
+
+
+def excluded_from_sums(roles: DataFrame, include_note: bool = True, include_percent: bool = True) -> DataFrame:
+    h = F.lower("header")
+    out = F.col("role") == "CODE"
+    if include_note:
+        out = out | (F.col("role") == "LABEL")
+    if include_percent:
+        out = out | h.contains("percent") | h.contains("%")
+    return roles.where(out)
+
+
+def period_columns(headers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Current and prior column per table: years, then wording, then scored neighbours.
+
+    A table's columns are gathered into one array (bounded by its width) and every strategy is
+    an expression over it. Columns are -1 where a strategy finds none.
+    """
+    j = headers.join(evidence.select(*TABLE_KEY, "col_idx", "score"), [*TABLE_KEY, "col_idx"], "left")
+    h = F.lower(F.trim("header"))
+    year = F.when(F.trim("header").rlike(r"\d{4}"), F.regexp_extract(F.trim("header"), r"\d{4}", 0).cast("int"))
+    percent = h.rlike("%|percent|tỷ lệ")
+    artifact = h.rlike("_1|_2|_3|_4|_5|unnamed|empty|column")
+    points = (
+        F.coalesce("score", F.lit(0.0))
+        + F.when(h.rlike(r"\d{4}|\d{1,2}/\d{1,2}/\d{2,4}"), 0.3).otherwise(0.0)
+        + F.when(h.rlike("vnd|usd|eur|triệu|million|dong|đồng"), 0.2).otherwise(0.0)
+        - F.when(percent, 0.4).otherwise(0.0) - F.when(artifact, 0.3).otherwise(0.0)
+    )
+    cols = j.groupBy(*TABLE_KEY).agg(
+        F.sort_array(
+            F.collect_list(
+                F.struct(
+                    "col_idx", year.alias("y"), any_of(h, CURRENT_TERMS).alias("cur"), any_of(h, PRIOR_TERMS).alias("pri"),
+                    h.rlike(r"20\d{2}|cy|py|năm").alias("tag"), F.round(points, 6).alias("pts"),
+                )
+            )
+        ).alias("c")
+    )
+    nth = lambda arr, i: F.coalesce(F.get(arr, i), F.lit(-1))
+    years = F.transform(
+        F.array_sort(F.transform(F.filter("c", lambda x: x["y"].isNotNull()), lambda x: F.struct((-x["y"]).alias("k"), x["col_idx"].alias("i")))),
+        lambda x: x["i"],
+    )
+    only = lambda field: F.transform(F.filter("c", lambda x: x[field]), lambda x: x["col_idx"])
+    last = F.slice("c", F.greatest(F.size("c") - 4, F.lit(1)), F.lit(5))
+    staged = (
+        cols.withColumn("years", years).withColumn("cur", only("cur")).withColumn("pri", only("pri"))
+        .withColumn("tag", only("tag")).withColumn("last", last)
+    )
+    pairs = F.filter(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.size("last") - 1, F.lit(1))), lambda i: F.struct(F.get("last", i - 1).alias("l"), F.get("last", i).alias("r"))),
+        lambda p: (p["l"]["pts"] >= 0.2) & (p["r"]["pts"] >= 0.2),
+    )
+    staged = staged.withColumn("pairs", pairs).withColumn(
+        "valid", F.transform(F.filter("last", lambda x: x["pts"] >= 0.1), lambda x: x["col_idx"])
+    )
+    n = lambda c: F.size(c)
+    tail = lambda c, k: F.element_at(F.col(c), k)
+    pick = (
+        F.when(n("c") < 2, F.struct(F.lit(-1).alias("cy"), F.lit(-1).alias("py"), F.lit("none").alias("how")))
+        .when(n("years") >= 1, F.struct(nth(F.col("years"), 0).alias("cy"), nth(F.col("years"), 1).alias("py"), F.lit("years").alias("how")))
+        .when((n("cur") > 0) & (n("pri") > 0), F.struct(F.try_element_at("cur", F.lit(-1)).alias("cy"), F.try_element_at("pri", F.lit(-1)).alias("py"), F.lit("terms").alias("how")))
+        .when(n("tag") >= 2, F.struct(F.try_element_at("tag", F.lit(-2)).alias("cy"), F.try_element_at("tag", F.lit(-1)).alias("py"), F.lit("tags").alias("how")))
+        .when(n("tag") == 1, F.struct(F.get("tag", 0).alias("cy"), F.lit(-1).alias("py"), F.lit("tags").alias("how")))
+        .when(n("pairs") > 0, F.struct(F.try_element_at("pairs", F.lit(-1))["l"]["col_idx"].alias("cy"), F.try_element_at("pairs", F.lit(-1))["r"]["col_idx"].alias("py"), F.lit("scored pair").alias("how")))
+        .when(n("valid") >= 2, F.struct(F.try_element_at("valid", F.lit(-2)).alias("cy"), F.try_element_at("valid", F.lit(-1)).alias("py"), F.lit("fallback").alias("how")))
+        .otherwise(F.struct(F.lit(-1).alias("cy"), F.lit(-1).alias("py"), F.lit("none").alias("how")))
+    )
+    return staged.withColumn("p", pick).select(*TABLE_KEY, F.col("p.cy").alias("cy_col"), F.col("p.py").alias("py_col"), F.col("p.how").alias("strategy"))
+
+
+def period_columns_baseline(headers: DataFrame) -> DataFrame:
+    """First two dated headers in order, else the last two columns."""
+    dated = F.col("header").rlike(r"\d{4}|\d{1,2}/\d{1,2}/\d{2,4}")
+    c = headers.groupBy(*TABLE_KEY).agg(
+        F.sort_array(F.collect_list(F.when(dated, F.col("col_idx")))).alias("d"), F.max("col_idx").alias("last")
+    )
+    two = F.size("d") >= 2
+    return c.select(
+        *TABLE_KEY, F.when(two, F.get("d", 0)).otherwise(F.col("last") - 1).alias("cy_col"), F.when(two, F.get("d", 1)).otherwise(F.col("last")).alias("py_col")
+    )
+
+
+def effective_code_column(body: DataFrame, headers: DataFrame, declared: DataFrame) -> DataFrame:
+    """Best code column: match ratio, code-like header, nearness to the description, position; the
+    declared column stays when its ratio is within 0.03 of the best."""
+    c = body.where(_filled()).groupBy(*TABLE_KEY, "col_idx").agg(
+        F.avg(_text().rlike(r"^\d{1,4}[A-Za-z]?$").cast("double")).alias("ratio")
+    )
+    h = F.lower(F.trim("header"))
+    desc = headers.groupBy(*TABLE_KEY).agg(
+        F.coalesce(F.min(F.when(any_of(h, DESCRIPTION_TERMS), F.col("col_idx"))), F.lit(1)).alias("_desc")
+    )
+    j = headers.join(c, [*TABLE_KEY, "col_idx"], "left").join(desc, TABLE_KEY).withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    like = F.col("header").rlike(CODE_HEADER)
+    cand = j.withColumn("_like", like).where(like | (F.col("ratio") >= 0.45))
+    best = cand.groupBy(*TABLE_KEY).agg(
+        F.min_by(F.struct("col_idx", "ratio"), F.struct(-F.col("ratio"), ~F.col("_like"), F.abs(F.col("col_idx") - F.col("_desc")), "col_idx")).alias("b")
+    )
+    said = declared.select(*TABLE_KEY, F.col("col_idx").alias("_d")).join(
+        j.select(*TABLE_KEY, F.col("col_idx").alias("_d"), F.col("ratio").alias("_dr")), [*TABLE_KEY, "_d"]
+    )
+    k = best.join(said, TABLE_KEY, "left")
+    keep = F.col("_d").isNotNull() & (F.col("_dr") >= F.col("b.ratio") - 0.03)
+    return k.select(*TABLE_KEY, F.when(keep, F.col("_d")).otherwise(F.col("b.col_idx")).alias("col_idx"))
+
+
+def column_types(headers: DataFrame, periods: DataFrame) -> DataFrame:
+    """TEXT / CODE / NUMERIC_CY / NUMERIC_PY / OTHER per column."""
+    tag = lambda df, name: df.select(*TABLE_KEY, "col_idx", F.lit(True).alias(name))
+    j = headers.join(tag(code_columns(headers), "_c"), [*TABLE_KEY, "col_idx"], "left").join(
+        tag(note_columns(headers), "_n"), [*TABLE_KEY, "col_idx"], "left"
+    ).join(periods, TABLE_KEY)
+    return j.select(
+        *TABLE_KEY, "col_idx",
+        F.when(F.col("_c"), "CODE").when(F.col("_n"), "TEXT").when(F.col("col_idx") == F.col("cy_col"), "NUMERIC_CY")
+        .when(F.col("col_idx") == F.col("py_col"), "NUMERIC_PY").when(F.col("header").rlike(r"\d{4}|\d{1,2}/\d{1,2}/\d{2,4}"), "OTHER")
+        .otherwise("TEXT").alias("column_type"),
+    )
+
+
+def amount_columns(headers: DataFrame, periods: DataFrame) -> DataFrame:
+    """Three or more period columns give their whole block, else the CY/PY pair; rates, days and notes never."""
+    h = F.lower("header")
+    money = ~any_of(h, NON_AMOUNT_TERMS)
+    dated = F.col("header").rlike(r"\d{4}|\d{1,2}/\d{1,2}/\d{2,4}") & money
+    at = F.when(dated, F.col("col_idx"))
+    block = headers.groupBy(*TABLE_KEY).agg(F.count(at).alias("_n"), F.min(at).alias("_a"), F.max(at).alias("_z"))
+    inside = F.when(F.col("_n") >= 3, F.col("col_idx").between(F.col("_a"), F.col("_z"))).otherwise(
+        (F.col("col_idx") == F.col("cy_col")) | (F.col("col_idx") == F.col("py_col"))
+    )
+    return headers.join(block, TABLE_KEY).join(periods, TABLE_KEY).where(money & inside).select(*TABLE_KEY, "col_idx")
+
+
+def note_label_column(body: DataFrame) -> DataFrame:
+    """Label column of a note: text density × (1 − numeric density), at least 0.3 and below 0.5."""
+    c = body.groupBy(*TABLE_KEY, "col_idx").agg(
+        F.avg((_text() != "").cast("double")).alias("td"), F.avg(parse_amount(F.col("text")).isNotNull().cast("double")).alias("nd")
+    ).where("td >= 0.3 and nd < 0.5")
+    return c.groupBy(*TABLE_KEY).agg(
+        F.max_by("col_idx", F.struct(F.round(F.col("td") * (1 - F.col("nd")), 9), -F.col("col_idx"))).alias("label_col")
+    )
+
+
+def note_amount_columns(body: DataFrame, headers: DataFrame, labels: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """Amount columns of a note by numeric density; years, rates and quantities are not money."""
+    v = parse_amount(F.col("text"))
+    c = body.withColumn("_v", v).groupBy(*TABLE_KEY, "col_idx").agg(
+        F.avg(F.col("_v").isNotNull().cast("double")).alias("nd"), F.avg(F.col("_v").between(2000, 2099).cast("double")).alias("yf")
+    )
+    return (
+        c.join(headers, [*TABLE_KEY, "col_idx"]).join(labels, TABLE_KEY, "left")
+        .where(F.coalesce(F.col("col_idx") != F.col("label_col"), F.lit(True)))
+        .where((F.col("nd") >= threshold) & (F.coalesce("yf", F.lit(0.0)) <= 0.5) & ~F.col("header").rlike(NON_MONEY_HEADER))
+        .select(*TABLE_KEY, "col_idx")
+    )
+
+
+def row_texts(cells: DataFrame) -> DataFrame:
+    """Each table row as one text, cells in column order, with its numeric cell count."""
+    v = parse_amount(F.col("text"))
+    return cells.withColumn("_v", v).groupBy(*TABLE_KEY, "row_idx").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", _text().alias("t")))), lambda x: x["t"]), " ").alias("row_text"),
+        F.count_if(F.abs("_v") > 0.01).alias("n_numeric"), F.count_if(_text() != "").alias("n_filled"),
+    )
+
+
+def row_class(text: Column, n_numeric: Column, has_header: bool = True) -> Column:
+    """EMPTY / HEADER / SECTION_TITLE / TOTAL / FOOTER / DATA from a row's text."""
+    t = F.trim(text)
+    low = F.lower(t)
+    header = any_of(low, HEADER_WORDS) & t.rlike(r"\d{4}") if has_header else F.lit(False)
+    return (
+        F.when(t == "", "EMPTY").when(header, "HEADER")
+        .when(F.upper(t).rlike(SECTION_TITLES) & (F.size(F.regexp_extract_all(t, F.lit(r"\d+"), 0)) <= 1), "SECTION_TITLE")
+        .when(any_of(low, TOTAL_WORDS) & (n_numeric >= 1), "TOTAL")
+        .when(any_of(low, FOOTER_WORDS), "FOOTER")
+        .otherwise("DATA")
+    )
