@@ -630,3 +630,44 @@ def tax_reconciliation(rows: DataFrame, rates: DataFrame | None = None, default_
     return long.where(keep & F.col("actual").isNotNull() & F.col("expected").isNotNull()).select(
         *TABLE_KEY, "step", "expected", "actual", (F.abs(F.round(F.col("expected") - F.col("actual"), 4)) <= 0.5).alias("ok")
     )
+
+
+def anchor_slices(rows: DataFrame, rel_tol: float = 0.012) -> DataFrame:
+    """Σ of the rows from one balance row up to the next equals that next balance row, for the second
+    and third balance rows of a table."""
+    before = scan(rows, TABLE_KEY, "row_idx", [Scan("_k", "sum", F.when(F.col("is_anchor"), 1).otherwise(0))])
+    body = before.where(F.col("_k").isin(1, 2)).groupBy(*TABLE_KEY, F.col("_k").alias("slice")).agg(
+        clean_sum(F.col("value")).alias("expected")
+    )
+    ends = before.where(F.col("is_anchor") & F.col("_k").isin(2, 3)).select(
+        *TABLE_KEY, (F.col("_k") - 1).alias("slice"), F.col("value").alias("actual")
+    )
+    return body.join(ends, [*TABLE_KEY, "slice"]).withColumn(
+        "ok", amounts_match(F.col("expected"), F.col("actual"), 0.01, rel_tol)
+    )
+
+
+def two_block_total(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """The first two blocks together against the table's last row (other tax tables)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*TABLE_KEY).orderBy("block")
+    two = blocks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2).groupBy(*TABLE_KEY).agg(
+        F.round(F.sum("sum_details"), 4).alias("expected"), F.count(F.lit(1)).alias("_n")
+    ).where("_n = 2").drop("_n")
+    last = rows.groupBy(*TABLE_KEY).agg(F.max_by("value", "row_idx").alias("actual"))
+    return two.join(last, TABLE_KEY).withColumn("ok", F.abs(F.round(F.col("expected") - F.col("actual"), 4)) <= 0.5)
+
+
+def rescue_sums(rows: DataFrame, totals: DataFrame, marked: DataFrame) -> DataFrame:
+    """Tables no check has marked: every amount column's rows above the total, years aside, must
+    match the total."""
+    cols = ["col_idx"] if "col_idx" in rows.columns else []
+    v = F.col("value")
+    year = v.between(1900, 2100) & (F.floor(v) == v)
+    j = rows.join(totals, TABLE_KEY).join(marked.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti")
+    s = j.groupBy(*TABLE_KEY, *cols).agg(
+        clean_sum(F.when((F.col("row_idx") < F.col("total_row")) & ~year, v)).alias("_s"),
+        F.max(F.when(F.col("row_idx") == F.col("total_row"), v)).alias("_t"),
+    ).where("_s is not null and _t is not null")
+    return s.groupBy(*TABLE_KEY).agg(F.bool_and(amounts_match(F.col("_s"), F.col("_t"))).alias("ok"))
