@@ -36,30 +36,28 @@ def parse_amount(c: Column) -> Column:
 
 
 def _parse_messy(c: Column) -> Column:
-    s = F.regexp_replace(c, "[\u00a0\u202f\u2009]", " ")
-    s = F.translate(s, "\u2212\u200b\u200c\u200d\ufeff", "-")
+    """The full parse as one chain, each step reading the text once.
+
+    Where both separators occur, the last one is the decimal mark; it is parked as one of two
+    private characters so that the later steps can tell both readings from plain thousands marks.
+    """
+    comma_mark, dot_mark = "\ue001", "\ue002"
+    s = F.translate(c, "\u00a0\u202f\u2009\u2212\u200b\u200c\u200d\ufeff", "   -")
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
-    s = F.regexp_replace(s, "^[-\u2013\u2014]+$", "")
-    s = F.regexp_replace(s, r"^\(\s*(.*?)\s*\)$", "-$1")
+    s = F.regexp_replace(s, r"^\(\s*(.*?)\s*\)$|^[-\u2013\u2014]+$", "-$1")
     s = F.trim(F.regexp_replace(s, "[A-Za-z\u00c0-\u024f'\u2019\"\u20ab$\u20ac]+", ""))
     s = F.regexp_replace(s, r"^([^-].*?)\s*-$", "-$1")
     s = F.regexp_replace(s, r"\s*%$", "")
-
-    dot_last = F.replace(s, F.lit(","), F.lit(""))
-    comma_last = F.translate(s, ",.", ".")
-    one_kind = F.replace(s, F.lit(" "), F.lit(""))
-    one_kind = F.regexp_replace(one_kind, r"^([\d-]*\d[\d-]*),(\d{3})$", "$1$2")
-    one_kind = F.regexp_replace(one_kind, r"^([^,.]*),([^,.]*)$", "$1.$2")
-    one_kind = F.replace(one_kind, F.lit(","), F.lit(""))
-    # two or more dots are thousands marks
-    one_kind = F.regexp_replace(one_kind, r"\.(?=.*\.)|(?<=\.[^.]{0,40})\.(?!.*\.)", "")
-    both = s.contains(".") & s.contains(",")
-    out = (
-        F.when(both & s.rlike(r"\.[^.,]*$"), dot_last)
-        .when(both, comma_last)
-        .otherwise(one_kind)
-    )
-    return F.translate(out, "()", "").try_cast("double")
+    s = F.regexp_replace(s, r"^(?=[^,]*\.)(.*),([^.,]*)$", f"$1{comma_mark}$2")
+    s = F.regexp_replace(s, r"^(?=[^.]*,)(.*)\.([^.,]*)$", f"$1{dot_mark}$2")
+    # thousands marks in front of a parked decimal mark; spaces only where none is parked
+    s = F.regexp_replace(s, rf"\.(?=.*{comma_mark})|,(?=.*{dot_mark})| (?!.*[{comma_mark}{dot_mark}])", "")
+    s = F.regexp_replace(s, r"^([\d-]*\d[\d-]*),(\d{3})$", "$1$2")
+    s = F.regexp_replace(s, r"^([^,.]*),([^,.]*)$", "$1.$2")
+    # repeated marks of one kind are thousands marks
+    many_dots = r"\.(?=.*\.)|(?<=\.[^.]{0,40})\.(?!.*\.)"
+    s = F.regexp_replace(s, rf"(?:,|{many_dots})(?!.*[{comma_mark}{dot_mark}])", "")
+    return F.translate(s, f"{comma_mark}{dot_mark}()", "..").try_cast("double")
 
 
 def parse_bounded(c: Column) -> Column:

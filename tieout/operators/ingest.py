@@ -9,6 +9,7 @@ from tieout.functions.amounts import parse_amount
 from tieout.functions.text import box_score, centre_inside, period_key
 from tieout.operators.columns import any_of
 from tieout.operators.scans import Scan, scan
+from tieout.session import checkpoint
 
 TABLE_KEY = ["doc_id", "table_idx"]
 NEAREST = 15
@@ -106,6 +107,8 @@ def attach_scored_heading(blocks: DataFrame, first_rows: DataFrame | None = None
         blocks, ["doc_id"], "block_idx",
         [Scan("island", "sum", F.when(is_table, 1).otherwise(0), inclusive=False), Scan("n_par", "sum", F.when(is_table, 0).otherwise(1))],
     ).withColumn("island", F.coalesce("island", F.lit(0)))
+    # tables and paragraphs both read the numbered blocks
+    numbered = checkpoint(numbered)
     tables = numbered.where(is_table).select("doc_id", "island", "table_idx", F.col("n_par").alias("_at"))
     paragraphs = numbered.where(~is_table)
     j = paragraphs.join(tables.select("doc_id", "island", "_at"), ["doc_id", "island"]).withColumn("distance", F.col("_at") - F.col("n_par"))

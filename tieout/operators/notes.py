@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tieout.functions.evidence import clean_sum, to_evidence
 from tieout.functions.tolerance import Materiality, amounts_match
 from tieout.operators.scans import Scan, scan
+from tieout.session import checkpoint
 
 TABLE_KEY = ["doc_id", "table_idx"]
 
@@ -244,7 +245,7 @@ def implicit_totals(rows: DataFrame) -> DataFrame:
     """
     sep = F.when(F.col("kind").isin("BLANK", "SECTION_HEADER"), 1).otherwise(0)
     b = scan(rows, TABLE_KEY, "row_idx", [Scan("block", "sum", sep)]).where(sep == 0)
-    num = b.where("value is not null")
+    num = checkpoint(b.where("value is not null").select(*TABLE_KEY, "block", "row_idx", "label", "value"))
     keys = [*TABLE_KEY, "block"]
     fwd = scan(num, keys, "row_idx", [Scan("above", "sum", F.col("value"), inclusive=False),
                                       Scan("n_above", "count", F.col("value"), inclusive=False)])
@@ -411,14 +412,17 @@ def block_sums(rows: DataFrame) -> DataFrame:
     Leading blank rows open no block.
     """
     blank = (F.trim(F.coalesce("label", F.lit(""))) == "") & F.col("value").isNull()
-    r = scan(rows.withColumn("_blank", blank), TABLE_KEY, "row_idx", [Scan("_prev", "lag", F.col("_blank"))])
-    start = F.when(~F.col("_blank") & F.coalesce("_prev", F.lit(True)), 1).otherwise(0)
-    r = scan(r, TABLE_KEY, "row_idx", [Scan("island", "sum", start)]).where(~F.col("_blank"))
-    isl = r.groupBy(*TABLE_KEY, "island").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("row_idx", "value")).alias("first"),
-        F.round(F.sum("value"), 4).alias("total"),
+    slim = rows.select(*TABLE_KEY, "row_idx", "value", blank.alias("_blank"))
+    # rows between two blanks share the number of blanks above them
+    r = scan(slim, TABLE_KEY, "row_idx", [Scan("_run", "sum", F.when(F.col("_blank"), 1).otherwise(0))]).where(~F.col("_blank"))
+    isl = checkpoint(
+        r.groupBy(*TABLE_KEY, "_run").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min(F.struct("row_idx", "value")).alias("first"),
+            F.round(F.sum("value"), 4).alias("total"),
+        )
     )
+    isl = scan(isl, TABLE_KEY, "_run", [Scan("island", "count", F.lit(1))], chunk_rows=4096).drop("_run")
     big = F.when(F.col("n") >= 2, F.col("island"))
     isl = scan(isl, TABLE_KEY, "island", [Scan("_big", "max", big, inclusive=False)], chunk_rows=4096)
     place = F.col("island") - F.coalesce("_big", F.lit(0)) - 1  # position in the run of one-row islands
@@ -513,7 +517,7 @@ def anchor_roll_forward(rows: DataFrame, rel_tol: float = 0.012) -> DataFrame:
         F.max_by(F.when(F.col("is_anchor"), F.struct("row_idx", "value")), F.when(F.col("is_anchor"), F.col("row_idx"))).alias("a"),
         F.coalesce(clean_sum(F.when(move, F.col("value"))), F.lit(0.0)).alias("mv"),
     )
-    nxt = scan(b, TABLE_KEY, "block", [Scan("end", "lag", F.col("a"))], descending=True, chunk_rows=4096)
+    nxt = scan(checkpoint(b), TABLE_KEY, "block", [Scan("end", "lag", F.col("a"))], descending=True, chunk_rows=4096)
     expected = F.round(F.coalesce("a.value", F.lit(0.0)) + F.col("mv"), 4)
     return nxt.where("end is not null and end.value is not null").select(
         *TABLE_KEY, "block", F.col("end.row_idx").alias("row_idx"), expected.alias("expected"), F.col("end.value").alias("actual"),
