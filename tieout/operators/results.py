@@ -296,27 +296,33 @@ def score(evidence: DataFrame) -> DataFrame:
 # --- fleet aggregates and summaries -------------------------------------------------
 
 
-def aggregate_failures(results: DataFrame) -> DataFrame:
-    """FAIL/WARN rows by five keys with their distinct sources; one INFO wording is noise.
-
-    The sources are first made distinct, so one hot group is spread over its sources.
-    """
+def failure_sources(results: DataFrame) -> DataFrame:
+    """FAIL/WARN rows by five keys and source with their count; one INFO wording is noise."""
     noise = (F.col("failure_reason_code") == "GenericTableValidator_VALIDATION") & F.col("status").contains(
         "Bảng không bao gồm số/số tổng"
     )
-    rows = results.where(F.col("status_enum").isin(ACTIONABLE) & ~noise)
+    rows = results.where(F.col("status_enum").isin(ACTIONABLE) & ~F.coalesce(noise, F.lit(False)))
     keys = [F.coalesce(F.col(k), F.lit("")).alias(k) for k in GROUP_KEYS]
-    per_source = rows.select(*keys, "source").groupBy(*GROUP_KEYS, "source").agg(F.count(F.lit(1)).alias("n"))
-    return per_source.groupBy(*GROUP_KEYS).agg(
-        F.sum("n").alias("count"), F.sort_array(F.collect_list("source")).alias("sources")
+    return rows.select(*keys, "source").groupBy(*GROUP_KEYS, "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def aggregate_failures(results: DataFrame) -> DataFrame:
+    """Failure groups: rows, distinct sources and a digest of the source set.
+
+    The set itself stays in :func:`failure_sources` as rows: a group may span millions of files,
+    and a digest compares two sets without gathering either.
+    """
+    return failure_sources(results).groupBy(*GROUP_KEYS).agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_sources"), F.bit_xor(F.xxhash64("source")).alias("sources_digest")
     )
 
 
 def compare_aggregates(baseline: DataFrame, current: DataFrame, strict: bool = True, allow_extra: bool | None = None) -> DataFrame:
-    """Differences between two failure aggregates: missing, extra, count and source mismatches."""
+    """Differences between two failure aggregates: missing, extra, count and source-set mismatches."""
     allow_extra = (not strict) if allow_extra is None else allow_extra
-    b = baseline.select(*GROUP_KEYS, F.col("count").alias("baseline_count"), F.col("sources").alias("_bs"))
-    c = current.select(*GROUP_KEYS, F.col("count").alias("current_count"), F.col("sources").alias("_cs"))
+    sources = F.struct("n_sources", "sources_digest")
+    b = baseline.select(*GROUP_KEYS, F.col("count").alias("baseline_count"), sources.alias("_bs"))
+    c = current.select(*GROUP_KEYS, F.col("count").alias("current_count"), sources.alias("_cs"))
     j = b.join(c, GROUP_KEYS, "full_outer")
     missing, extra = F.col("current_count").isNull(), F.col("baseline_count").isNull()
     kinds = F.array_compact(
@@ -330,6 +336,10 @@ def compare_aggregates(baseline: DataFrame, current: DataFrame, strict: bool = T
     return j.select(*GROUP_KEYS, "baseline_count", "current_count", F.explode(kinds).alias("problem"))
 
 
+def schema_matches(baseline_version: str | None, current_version: str | None) -> bool:
+    return (baseline_version or "") == (current_version or "")
+
+
 def run_diff(current: DataFrame, previous: DataFrame | None) -> DataFrame:
     """NEW / RESOLVED / CHANGED / UNCHANGED by (rule_id, heading); the last duplicate wins.
 

@@ -69,9 +69,12 @@ def dedup_keep_nonzero(rows: DataFrame, keys: list[str]) -> DataFrame:
 # --- formulas ---------------------------------------------------------------------
 
 
-def formula_sums(facts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+def formula_sums(facts: DataFrame, terms: DataFrame, keys: list[str], fixed: bool = True) -> DataFrame:
     """Children's signed sum beside the parent's value, per ``keys`` and formula.
 
+    ``terms`` is a fixed catalogue (broadcast) or, with ``fixed=False``, a user's own formula
+    table of any size, whose join the optimizer picks.
+
     ``facts`` has ``keys``, code, value (one row per key and code). Each fact is
     matched once with the roles it plays (child of some formulas, parent of others),
     so one broadcast join and one aggregation do the whole check.
@@ -80,7 +83,7 @@ def formula_sums(facts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFra
         terms.select("formula", F.col("parent").alias("child"), F.lit(0).alias("sign"), F.lit(True).alias("is_parent"))
         .distinct()
     )
-    hit = facts.join(F.broadcast(roles), facts.code == roles.child)
+    hit = facts.join(F.broadcast(roles) if fixed else roles, facts.code == roles.child)
     child = ~F.col("is_parent")
     return (
         hit.groupBy(*keys, "formula")

@@ -190,10 +190,20 @@ def _agg_input(spark, sf, where):
     return _results(spark, sf).where(where).withColumn("total_row_method", F.lit(None).cast("string"))
 
 
-@query("failure_aggregation", f"WITH {_R}, {_AGG.format(p='a', w='true')} SELECT * FROM a")
+@query(
+    "failure_aggregation",
+    f"WITH {_R}, {_AGG.format(p='a', w='true')} SELECT validator_type, failure_reason_code, rule_id, extractor_engine, total_row_method, count, len(string_split(sources, ',')) AS n_sources FROM a",
+)
 def failure_aggregation(spark, sf):
-    a = R.aggregate_failures(_agg_input(spark, sf, "true"))
-    return a.withColumn("sources", F.array_join("sources", ","))
+    return R.aggregate_failures(_agg_input(spark, sf, "true")).drop("sources_digest")
+
+
+@query(
+    "failure_sources",
+    f"WITH {_R} SELECT validator_type, failure_reason_code, rule_id, engine AS extractor_engine, '' AS total_row_method, source, count(*) AS n FROM rr WHERE enum IN ('FAIL','ERROR','WARN','FAIL_TOOL_EXTRACT','FAIL_TOOL_LOGIC','FAIL_DATA') GROUP BY ALL",
+)
+def failure_sources(spark, sf):
+    return R.failure_sources(_agg_input(spark, sf, "true"))
 
 
 def _cmp_sql(extra):
