@@ -15,6 +15,7 @@ from tieout.functions.text import CODE_FORMAT
 from tieout.functions.tolerance import Materiality
 from tieout.session import fixed_table
 
+ROLE_SCHEMA = "formula string, role_code string, sign int, is_parent boolean, wanted string"
 TERM_SCHEMA = "formula string, parent string, child string, sign int, ord int"
 
 
@@ -69,21 +70,33 @@ def dedup_keep_nonzero(rows: DataFrame, keys: list[str]) -> DataFrame:
 # --- formulas ---------------------------------------------------------------------
 
 
-def formula_sums(facts: DataFrame, terms: DataFrame, keys: list[str], fixed: bool = True) -> DataFrame:
-    """Children's signed sum beside the parent's value, per ``keys`` and formula.
+def role_rows(rules: list) -> list[tuple]:
+    """A rule list as the roles codes play: (formula, code, sign, is_parent, all children)."""
+    out = []
+    for formula, parent, children in rules:
+        plain = ",".join(c.lstrip("-") for c in children)
+        out.append((formula, parent, 0, True, plain))
+        out.extend((formula, c.lstrip("-"), -1 if c.startswith("-") else 1, False, plain) for c in children)
+    return out
 
-    ``terms`` is a fixed catalogue (broadcast) or, with ``fixed=False``, a user's own formula
-    table of any size, whose join the optimizer picks.
 
-    ``facts`` has ``keys``, code, value (one row per key and code). Each fact is
-    matched once with the roles it plays (child of some formulas, parent of others),
-    so one broadcast join and one aggregation do the whole check.
-    """
-    roles = terms.select("formula", "child", "sign", F.lit(False).alias("is_parent")).unionByName(
-        terms.select("formula", F.col("parent").alias("child"), F.lit(0).alias("sign"), F.lit(True).alias("is_parent"))
-        .distinct()
+def roles_of(terms: DataFrame) -> DataFrame:
+    """The same roles from a user's own formula table (formula, parent, child, sign)."""
+    kids = terms.groupBy("formula").agg(F.array_join(F.sort_array(F.collect_set("child")), ",").alias("wanted"))
+    both = terms.select("formula", F.col("child").alias("role_code"), "sign", F.lit(False).alias("is_parent")).unionByName(
+        terms.select("formula", F.col("parent").alias("role_code"), F.lit(0).alias("sign"), F.lit(True).alias("is_parent")).distinct()
     )
-    hit = facts.join(F.broadcast(roles) if fixed else roles, facts.code == roles.child)
+    return both.join(kids, "formula")
+
+
+def formula_sums(facts: DataFrame, roles: DataFrame, keys: list[str]) -> DataFrame:
+    """Children's signed sum beside the parent's value, per ``keys`` and formula.
+
+    ``facts`` has ``keys``, code, value (one row per key and code). Each fact meets every role it
+    plays (child of some formulas, parent of others) once, so one join and one aggregation do the
+    whole check. Fixed catalogues come broadcast; a user's table is joined as the optimizer sees fit.
+    """
+    hit = facts.join(roles, facts.code == roles.role_code)
     child = ~F.col("is_parent")
     return (
         hit.groupBy(*keys, "formula")
@@ -91,23 +104,25 @@ def formula_sums(facts: DataFrame, terms: DataFrame, keys: list[str], fixed: boo
             F.round(F.sum(F.when(child, F.col("sign") * F.col("value"))), 4).alias("computed"),
             F.max(F.when(F.col("is_parent"), F.col("value"))).alias("reported"),
             F.sum(F.when(child, 1).otherwise(0)).alias("present"),
-            F.sort_array(F.collect_set(F.when(child, F.col("child")))).alias("found"),
+            F.collect_set(F.when(child, F.col("role_code"))).alias("found"),
+            F.max(F.when(F.col("is_parent"), F.col("wanted"))).alias("wanted"),
         )
         .where(F.col("reported").isNotNull() & (F.col("present") > 0))
     )
 
 
-def check_formulas(facts: DataFrame, rules: list, keys: list[str], exact: bool) -> DataFrame:
-    """Skip absent parents and formulas without any child; list the missing children."""
-    spark = facts.sparkSession
-    terms = fixed_table(spark, C.signed_terms(rules), TERM_SCHEMA)
-    wanted = fixed_table(
-        spark, [(f, ",".join(c.lstrip("-") for c in kids)) for f, _, kids in rules], "formula string, wanted string"
-    )
+def check_formulas(facts: DataFrame, rules: list | DataFrame, keys: list[str], exact: bool) -> DataFrame:
+    """Skip absent parents and formulas without any child; list the missing children.
+
+    ``rules`` is a rule list or a user's formula table.
+    """
+    if isinstance(rules, DataFrame):
+        roles = roles_of(rules)
+    else:
+        roles = fixed_table(facts.sparkSession, role_rows(rules), ROLE_SCHEMA)
     gap = F.round(F.col("computed") - F.col("reported"), 4)
     return (
-        formula_sums(facts, terms, keys)
-        .join(wanted, "formula")
+        formula_sums(facts, roles, keys)
         .withColumn("diff", gap)
         .withColumn("ok", (gap == 0) if exact else (F.abs(gap) <= 0.5))
         .withColumn("missing", F.array_join(F.array_except(F.split("wanted", ","), "found"), ","))
@@ -171,8 +186,8 @@ def balance_identities(items: DataFrame, materiality: Materiality | None = None)
     """270 = 100 + 200, 440 = 300 + 400, 270 = 440; the last row of a code counts."""
     m = materiality or Materiality()
     facts = dedup_last(items, ["doc_id", "table_idx", "code", "period_ord"])
-    terms = fixed_table(items.sparkSession, C.signed_terms(C.BALANCE_IDENTITIES), TERM_SCHEMA)
-    sums = formula_sums(facts, terms, ["doc_id", "table_idx", "period_ord"])
+    roles = fixed_table(items.sparkSession, role_rows(C.BALANCE_IDENTITIES), ROLE_SCHEMA)
+    sums = formula_sums(facts, roles, ["doc_id", "table_idx", "period_ord"])
     return to_evidence(
         sums, "BS_FORMULA_CHECK", F.col("formula"), F.col("reported"), F.col("computed"),
         m.tolerance(F.greatest(F.abs("reported"), F.abs("computed")), "FS_BALANCE_SHEET"),

@@ -40,7 +40,7 @@ _SUMMED = """SELECT doc_id, code, period_ord, round(CAST(sum(CAST(value AS DECIM
     _formula_oracle(O.BS, _NONZERO.format(t="fs"), C.BALANCE_RULES, "round(k.computed - f.value, 4) = 0"),
 )
 def balance_parent_children(spark, sf):
-    return S.balance_check(V.statement_rows(spark, sf, "FS_BALANCE_SHEET")).drop("is_parent")
+    return S.balance_check(V.statement_rows(spark, sf, "FS_BALANCE_SHEET"))
 
 
 @query(
@@ -312,3 +312,21 @@ def narrative_statements(spark, sf):
 def balance_form_signature(spark, sf):
     rows = V.statement_rows(spark, sf, "FS_BALANCE_SHEET")
     return S.balance_form(rows.withColumn("doc_id", F.col("doc_id") * 10 + F.col("table_idx")))
+
+
+@query(
+    "user_formula_table",
+    f"""WITH {O.FS}, r AS (SELECT DISTINCT l_partkey % 60 AS a FROM lineitem), t AS (SELECT 'U' || a AS formula, lpad(CAST(a AS VARCHAR), 2, '0') AS parent, lpad(CAST(a + d AS VARCHAR), 2, '0') AS child, CASE d WHEN 2 THEN -1 ELSE 1 END AS sign FROM r, (VALUES (1), (2)) x(d)),
+      facts AS ({_SUMMED}), k AS (SELECT doc_id, period_ord, formula, parent, round(CAST(sum(CAST(sign * value AS DECIMAL(20,4))) AS DOUBLE), 4) AS computed, count(*) AS n FROM t JOIN facts ON code = child GROUP BY ALL)
+      SELECT k.doc_id, k.period_ord, formula, computed, f.value AS reported, round(computed - f.value, 4) AS diff, abs(round(computed - f.value, 4)) <= 0.5 AS ok FROM k JOIN facts f ON f.doc_id = k.doc_id AND f.period_ord = k.period_ord AND f.code = parent""",
+)
+def user_formula_table(spark, sf):
+    # a formula table that a user derives from data: each code ties to the next two
+    a = V.table(spark, sf, "lineitem").select((F.col("l_partkey") % 60).alias("a")).distinct()
+    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
+    terms = a.withColumn("d", F.explode(F.array(F.lit(1), F.lit(2)))).select(
+        F.concat(F.lit("U"), "a").alias("formula"), pad(F.col("a")).alias("parent"), pad(F.col("a") + F.col("d")).alias("child"),
+        F.when(F.col("d") == 2, -1).otherwise(1).alias("sign"),
+    )
+    facts = S.dedup_sum(S.long_items(V.statement_rows(spark, sf)), ["doc_id", "code", "period_ord"])
+    return S.check_formulas(facts, terms, ["doc_id", "period_ord"], exact=False).drop("missing")
