@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tieout.functions.literals import literal_map
+
 CODE_FORMAT = r"^[0-9]+[A-Z]?$"
 
 # Raw table kinds and their canonical names.
@@ -119,7 +121,7 @@ def year_of(c: Column) -> Column:
 
 def canonical_table_type(c: Column) -> Column:
     raw = F.trim(c)
-    pairs = F.create_map(*[F.lit(x) for kv in TABLE_TYPES.items() for x in kv])
+    pairs = literal_map(TABLE_TYPES.items())
     return F.when(F.coalesce(raw, F.lit("")) == "", "UNKNOWN").otherwise(
         F.coalesce(F.try_element_at(pairs, F.lower(raw)), F.upper(raw))
     )

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tieout.functions.literals import literal_map
+
 # Relative tolerance per table family.
 PROFILE = {
     "BALANCE_SHEET": 0.001,
@@ -44,8 +46,8 @@ class Materiality:
     def relative(self, table_type: Column | str) -> Column:
         if isinstance(table_type, str):
             return F.lit(self.profile.get(table_type, self.fallback))
-        pairs = [F.lit(x) for kv in self.profile.items() for x in kv]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), table_type), F.lit(self.fallback))
+        known = literal_map(self.profile.items())
+        return F.coalesce(F.try_element_at(known, table_type), F.lit(self.fallback)).cast("double")
 
     def tolerance(self, value: Column, table_type: Column | str) -> Column:
         raw = self.relative(table_type) * F.abs(value)

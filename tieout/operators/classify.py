@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.operators.columns import any_of
+from tieout.functions.literals import contains_any as any_of
+from tieout.functions.literals import literal_array
 from tieout.operators.notes import CLOSING, LISTING_HEADING, MOVEMENT, OPENING
 from tieout import catalogue as C
 
@@ -70,7 +71,7 @@ def fingerprint(rows: DataFrame) -> DataFrame:
         F.bool_or(any_of(t, KEYWORDS["assets"]) & (F.col("pos") < EARLY_ROWS)).alias("assets_early"),
         *[F.bool_or(any_of(t, words)).alias(f"kw_{k}") for k, words in KEYWORDS.items()],
     )
-    hits = lambda codes: F.size(F.array_intersect("found", F.array(*[F.lit(c) for c in codes])))
+    hits = lambda codes: F.size(F.array_intersect("found", literal_array(codes)))
     return (
         fp.withColumn("bs", hits(BS_CODES)).withColumn("is", hits(IS_CODES)).withColumn("cf", hits(CF_CODES))
         .withColumn("is_only", hits(IS_ONLY)).withColumn("cf_only", hits(CF_ONLY))
@@ -192,7 +193,7 @@ def route(tables: DataFrame) -> DataFrame:
         else:
             out = out.when(any_of(h, words), say(family, f"heading_alias:{family}", 0.95))
     catalogue = sorted({r[2] for r in C.FORM_MAP if r[1] == "exact"})
-    codes = F.size(F.array_intersect("found", F.array(*[F.lit(x) for x in ROUTER_BS_CODES]))) >= 3
+    codes = F.size(F.array_intersect("found", literal_array(ROUTER_BS_CODES))) >= 3
     out = (
         out.when(tax, say("tax_note", "heading_keyword:tax", 0.8))
         .when(h.isin(catalogue), say("generic_note", "legacy_catalog:cross_check_table", 0.75))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.functions.amounts import parse_amount
+from tieout.functions.literals import contains_any as any_of
 
 TABLE_KEY = ["doc_id", "table_idx"]
 
@@ -51,13 +52,6 @@ HEADER_WORDS = ["code", "note", "description", "account", "mã", "ghi chú"]
 SAMPLE_ROWS = 20
 
 
-def any_of(c: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
-
-
 def _text() -> Column:
     return F.trim(F.coalesce("text", F.lit("")))
 

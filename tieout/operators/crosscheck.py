@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tieout import catalogue as C
 from tieout.functions.evidence import to_evidence
+from tieout.functions.literals import literal_array
 from tieout.functions.tolerance import Materiality, amounts_match
 from tieout.operators.scans import CHUNK_ROWS, Scan, scan
 from tieout.session import fixed_table
@@ -213,7 +214,7 @@ def catalogue_match(headings: DataFrame, names: list[str], exact: bool = True) -
     h = F.lower(F.trim("heading"))
     if exact:
         return headings.where(h.isin(names))
-    return headings.where(F.exists(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(h, n)))
+    return headings.where(F.exists(literal_array(names), lambda n: F.contains(h, n)))
 
 
 def tax_rates(files: DataFrame, rates: DataFrame, default: float = 0.25) -> DataFrame:

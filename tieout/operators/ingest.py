@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tieout.functions.amounts import parse_amount
 from tieout.functions.text import box_score, centre_inside, period_key
-from tieout.operators.columns import any_of
+from tieout.functions.literals import contains_any as any_of
+from tieout.functions.literals import literal_array
 from tieout.operators.scans import Scan, scan
 from tieout.session import checkpoint
 
@@ -146,7 +147,7 @@ def heading_from_first_row(cells: DataFrame) -> DataFrame:
 def header_range(cells: DataFrame, code_words: list[str], note_words: list[str], scan_rows: int = 15) -> DataFrame:
     """First header-like row (code 2, note 1, year 1 points; ≥ 3) and how far the header reaches down."""
     t = F.lower(F.trim(F.coalesce("text", F.lit(""))))
-    starts = lambda words: t.isin(words) | F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.startswith(t, w))
+    starts = lambda words: t.isin(words) | F.exists(literal_array(words), lambda w: F.startswith(t, w))
     year = t.rlike(r"20\d{2}|19\d{2}|\d{1,2}/\d{1,2}/\d{2,4}")
     filled = t != ""
     points = F.when(~filled, 0).otherwise(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieout.functions.evidence import clean_sum, to_evidence
+from tieout.functions.literals import contains_any
 from tieout.functions.tolerance import Materiality, amounts_match
 from tieout.operators.scans import Scan, scan
 from tieout.session import checkpoint
@@ -69,13 +70,6 @@ LESS_WORDS = [
 STRICT_SPAN, RELAXED_SPAN = 5, 25
 
 
-def contains_any(c: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | c.contains(w)
-    return out
-
-
 def row_kind(label: Column, has_numeric: Column) -> Column:
     """Kind of a note row from its label; a movement word without numbers heads a section."""
     t = F.lower(F.trim(F.coalesce(label, F.lit(""))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tieout.functions.literals import literal_map
+
 TABLE_KEY = ["doc_id", "table_idx"]
 
 # Rule taxonomy as (rule, family, criticality, root cause).
@@ -54,7 +56,7 @@ GROUP_KEYS = ["validator_type", "failure_reason_code", "rule_id", "extractor_eng
 
 
 def _lookup(rule_id: Column, field: int, default: str) -> Column:
-    pairs = F.create_map(*[F.lit(x) for row in RULE_TAXONOMY for x in (row[0], row[field])])
+    pairs = literal_map((row[0], row[field]) for row in RULE_TAXONOMY)
     return F.coalesce(F.try_element_at(pairs, rule_id), F.lit(default))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.functions.literals import literal_array
 from tieout.operators.scans import dense_positions
 
 
@@ -88,7 +89,7 @@ def statement_rows(spark: SparkSession, sf_dir: str, family: str = "FS_INCOME_ST
         "l_discount", "l_shipdate",
     )
     if family == "FS_BALANCE_SHEET":
-        codes = F.array(*[F.lit(c) for c in BALANCE_CODES])
+        codes = literal_array(BALANCE_CODES)
         code = F.get(codes, (F.col("l_partkey") % len(BALANCE_CODES)).cast("int"))
     else:
         code = F.lpad((F.col("l_partkey") % 71).cast("string"), 2, "0")
@@ -321,7 +322,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, extractor_engine, quality_score, quality_flags, assertions, numeric_evidence."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    pick = lambda xs, e: F.element_at(F.array(*[F.lit(x) for x in xs]), (e + 1).cast("int"))
+    pick = lambda xs, e: F.element_at(literal_array(xs), (e + 1).cast("int"))
     return o.select(
         F.col("o_custkey").alias("doc_id"), k.alias("table_idx"),
         pick(STATUS_TEXTS, k % len(STATUS_TEXTS)).alias("status"), pick(RULE_IDS, k % len(RULE_IDS)).alias("rule_id"),

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.functions.literals import sql_literal
+
 BROADCAST_ROWS = 100_000
 
 
@@ -56,11 +58,8 @@ def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     optimizer picks the join from their size.
     """
     fields = [part.split() for part in schema.split(",")]
-    literal = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields, strict=True)])
-            for row in rows
-        ]
-    )
-    out = spark.range(1).select(F.inline(literal))
+    values = ", ".join("(" + ", ".join(sql_literal(v) for v in row) + ")" for row in rows)
+    columns = ", ".join(f"cast(c{i} as {t}) as {n}" for i, (n, t) in enumerate(fields))
+    aliases = ", ".join(f"c{i}" for i in range(len(fields)))
+    out = spark.sql(f"SELECT {columns} FROM VALUES {values} AS v({aliases})")
     return F.broadcast(out) if len(rows) <= BROADCAST_ROWS else out
