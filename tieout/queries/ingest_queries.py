@@ -234,7 +234,7 @@ def _tokens(spark, sf):
     return li.select(
         (F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("token_id"),
         x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 10).alias("y2"), F.concat(F.lit("T"), "l_partkey").alias("text"),
-    )
+    ).distinct()  # a token is one mark on the page, however often its line item is listed
 
 
 def _boxes(spark, sf):
@@ -246,7 +246,7 @@ def _boxes(spark, sf):
     )
 
 
-_TOK = """tk AS (SELECT l_orderkey AS k, l_partkey, l_suppkey, l_linenumber, l_partkey % 3 AS c, l_partkey % 3 * 100 + l_suppkey % 70 AS x1, l_linenumber * 20 + l_partkey % 5 AS y1 FROM lineitem),
+_TOK = """tk AS (SELECT DISTINCT l_orderkey AS k, l_partkey, l_suppkey, l_linenumber, l_partkey % 3 AS c, l_partkey % 3 * 100 + l_suppkey % 70 AS x1, l_linenumber * 20 + l_partkey % 5 AS y1 FROM lineitem),
   ta AS (SELECT *, greatest(0, least(x1 + 30, c * 100 + 90) - x1) AS w FROM tk WHERE x1 + 15 <= c * 100 + 90)"""
 
 
