@@ -669,3 +669,19 @@ def rescue_sums(rows: DataFrame, totals: DataFrame, marked: DataFrame) -> DataFr
         F.max(F.when(F.col("row_idx") == F.col("total_row"), v)).alias("_t"),
     ).where("_s is not null and _t is not null")
     return s.groupBy(*TABLE_KEY).agg(F.bool_and(amounts_match(F.col("_s"), F.col("_t"))).alias("ok"))
+
+
+def signed_grand_total(blocks: DataFrame, rows: DataFrame, headings: DataFrame) -> DataFrame:
+    """Grand total where revenue and deferred-tax notes subtract their second block.
+
+    The second block counts negative when its stated sub-total is positive (deductions shown without
+    a sign). ``headings``: doc_id, table_idx, heading. Two aggregations find the second block.
+    """
+    first = blocks.groupBy(*TABLE_KEY).agg(F.min("block").alias("_first"))
+    second = blocks.join(first, TABLE_KEY).where(F.col("block") > F.col("_first")).groupBy(*TABLE_KEY).agg(F.min("block").alias("_second"))
+    h = F.lower("heading")
+    j = blocks.join(second, TABLE_KEY).join(headings.select(*TABLE_KEY, "heading"), TABLE_KEY, "left")
+    flips = F.coalesce(h.contains("revenue from") | h.contains("recognised deferred tax"), F.lit(False))
+    flip = flips & (F.col("block") == F.col("_second")) & (F.col("subtotal") > 0)
+    signed = j.withColumn("sum_details", F.when(flip, -F.col("sum_details")).otherwise(F.col("sum_details")))
+    return grand_total(signed, rows)

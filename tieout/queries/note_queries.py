@@ -404,3 +404,20 @@ def running_windows(spark, sf):
         "l_orderkey", "row_idx", F.round("running", 2).alias("running"), F.round(F.coalesce("before", F.lit(0.0)), 2).alias("before"),
         F.coalesce("prev", F.lit(-1.0)).alias("prev"), "seen", F.coalesce("last_r", F.lit(-1.0)).alias("last_r"),
     )
+
+
+@query(
+    "block_grand_totals_signed",
+    f"""WITH {_BK}, s AS (SELECT *, row_number() OVER (PARTITION BY table_idx ORDER BY b) AS r FROM bk WHERE table_idx NOT IN (SELECT table_idx FROM one)),
+      g AS (SELECT doc_id, table_idx, round(sum(CASE WHEN r = 2 AND table_idx % 2 = 0 AND subtotal > 0 THEN -sum_details ELSE sum_details END), 4) AS expected, count(*) AS n_blocks FROM s GROUP BY 1, 2)
+      SELECT g.doc_id, g.table_idx, expected, n_blocks, value AS actual, abs(round(expected - value, 4)) <= 0.5 AS ok FROM g JOIN blocks USING (table_idx) WHERE b = 'Z' AND n_blocks > 1""",
+)
+def block_grand_totals_signed(spark, sf):
+    rows = V.block_rows(spark, sf)
+    lone = rows.where("row_idx = 1 and label = ''").select("table_idx").distinct()
+    rows = rows.join(lone, "table_idx", "left_anti")
+    headings = V.table(spark, sf, "orders").select(
+        (F.col("o_orderkey") % 1000).alias("doc_id"), F.col("o_orderkey").alias("table_idx"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Revenue from sales of goods").otherwise("Inventories").alias("heading"),
+    )
+    return N.signed_grand_total(N.block_sums(rows), rows, headings)
