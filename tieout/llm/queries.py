@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.llm.common import folder, table
+from tieout.llm.decontaminate import find_contamination
 from tieout.llm.mixing import mix
 from tieout.llm.shard_packing import shard
+from tieout.llm.skip_chain_crf import find_personal_data
 from tieout.llm.telephony import UNIT, telephony
 from tieout.llm.token_counts import count_tokens
 from tieout.llm.warc_segments import archive_pages
@@ -120,3 +122,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         "refers_to",
     )
+
+
+@query("op2_benchmark_contamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_personal_data")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
