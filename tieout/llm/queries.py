@@ -12,6 +12,7 @@ from tieout.llm.common import folder, table
 from tieout.llm.decontaminate import find_contamination
 from tieout.llm.mixing import mix
 from tieout.llm.shard_packing import shard
+from tieout.llm.site_template import extract_main_text
 from tieout.llm.skip_chain_crf import find_personal_data
 from tieout.llm.telephony import UNIT, telephony
 from tieout.llm.token_counts import count_tokens
@@ -140,3 +141,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_cnn.score(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_site_template_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
