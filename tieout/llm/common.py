@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def slices(batch: pa.RecordBatch, column: int = 1, limit: int = SLICE_BYTES) ->
         yield ids[start:].to_pylist(), texts[start:].to_pylist()
 
 
+def placed_rows(docs: DataFrame, prefix: str) -> DataFrame:
+    """``docs`` with the file and the row of it that each row is read from, as ``prefix``file and ``prefix``row.
+
+    Files of one folder sort by name in the order in which a sorted table was written. A frame that
+    is not read from files is written first.
+    """
+    place = [F.col("_metadata.file_name").alias(f"{prefix}file"), F.col("_metadata.row_index").alias(f"{prefix}row")]
+    try:
+        return docs.select("*", *place)
+    except AnalysisException:
+        return stored(docs).select("*", *place)
+
+
 def utf8_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 

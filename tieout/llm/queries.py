@@ -11,6 +11,7 @@ from tieout.llm import byte_cnn
 from tieout.llm.common import folder, table
 from tieout.llm.decontaminate import find_contamination
 from tieout.llm.mixing import mix
+from tieout.llm.ngram_join import near_duplicates
 from tieout.llm.shard_packing import shard
 from tieout.llm.site_template import extract_main_text
 from tieout.llm.skip_chain_crf import find_personal_data
@@ -146,3 +147,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_site_template_text")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op6_ngram_jaccard_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

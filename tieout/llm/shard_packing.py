@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieout.llm.common import spread_rank, stored, text_key, utf8_size
+from tieout.llm.common import placed_rows, spread_rank, stored, text_key, utf8_size
 
 UNITS = 2048
 CELL_ITEMS = 50_000
@@ -163,23 +163,28 @@ def shard(docs: DataFrame, shards: int = 8, keep: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row of ``docs``; with ``keep``, its columns, shard and slot.
 
     size is the text's UTF-8 bytes plus 1 (NULL: none). Rows of equal text share a shard, NULL and
-    empty text being equal; slots count from 0 without gaps in each shard. Repeated rows each get a
-    slot; a NULL doc_id stays NULL; an empty table gives an empty result; further columns are
-    ignored, or kept unless they are named shard or slot.
+    empty text being equal; slots count from 0 without gaps in each shard, with ``keep`` in the order
+    in which the rows were written. Repeated rows each get a slot; a NULL doc_id stays NULL; an empty
+    table gives an empty result; further columns are ignored, or kept unless they are named shard or
+    slot.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
-    rows = docs.select(
-        *columns, (utf8_size(F.col("text")) + 1).alias("__size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("__crc"), text_key(F.col("text")).alias("__key"),
-        F.xxhash64("doc_id", "text").alias("__deal"),
-    )
+    if keep:
+        rows = placed_rows(docs.drop("shard", "slot"), "__")
+        cell, order = F.concat("__file", F.lit("#"), F.lpad(F.expr("__row div 1024").cast("string"), 12, "0")), [F.col("__row")]
+    else:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        cell, order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**20)), [F.col("__key"), F.col("doc_id")]
+    rows = rows.select("*", (utf8_size(F.col("text")) + 1).alias("__size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("__crc"), text_key(F.col("text")).alias("__key"), cell.alias("__deal"))
     if not keep:
-        rows = stored(rows)
+        rows = stored(rows.drop("text"))
     groups = stored(rows.groupBy(F.col("__key").alias("item")).agg(F.sum("__size").alias("bytes")))
     where = assign_groups(docs.sparkSession, groups, shards)
-    placed = stored(rows.join(where.withColumnRenamed("item", "__key"), "__key"))
-    n = placed.count()
-    cells = max(1, int(n**0.5))
-    slotted = spread_rank(placed, ["shard"], [F.col("__key"), F.col("doc_id")], F.pmod("__deal", F.lit(cells)), "slot")
+    placed = rows.join(where.withColumnRenamed("item", "__key"), "__key")
+    placed = placed if keep else stored(placed)
+    dealt = F.col("__deal")
+    if not keep:  # as many cells as the square root of the number of rows
+        dealt = F.pmod(dealt, F.lit(max(1, int(placed.count() ** 0.5))))
+    slotted = spread_rank(placed, ["shard"], order, dealt, "slot")
     if keep:
-        return slotted.drop("__size", "__crc", "__key", "__deal")
+        return slotted.drop("__size", "__crc", "__key", "__deal", "__file", "__row")
     return slotted.select("doc_id", F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), "shard", "slot")
