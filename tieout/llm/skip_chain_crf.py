@@ -209,8 +209,18 @@ def labels(g: Graph, w: Weights, rounds: int = 10, damping: float = 0.3) -> np.n
     return belief.argmax(1) if n else np.zeros(0, np.int64)
 
 
-def added_spans(g: Graph, found: np.ndarray, spans: list[list[Span]]) -> list[list[Span]]:
-    """Spans of nodes with a label outside base spans; neighbours of one label in a document join across white space."""
+def plausible(word: str, kind: int) -> bool:
+    """What an added span must look like, so that potentials alone never make one of stray numbers."""
+    n = len(DIGITS.sub("", word))
+    if kind == 0:
+        return "." in word.rpartition("@")[2] and "@" in word
+    if kind == 1:
+        return word.count(".") == 3 and 4 <= n <= 12
+    return 13 <= n <= 19 if kind == 2 else 7 <= n <= 15
+
+
+def added_spans(g: Graph, found: np.ndarray, spans: list[list[Span]], texts: list[str | None]) -> list[list[Span]]:
+    """Spans of nodes with a label outside base spans; the parts of a phone number join across white space."""
     out: list[list[Span]] = [[] for _ in spans]
     joined = {(int(a), int(b)) for a, b in g.chain}
     last = None
@@ -220,12 +230,12 @@ def added_spans(g: Graph, found: np.ndarray, spans: list[list[Span]]) -> list[li
         if any(a < end and b > start for a, b, _ in spans[doc]):
             continue
         mine = out[doc]
-        if mine and last == node - 1 and (last, node) in joined and mine[-1][2] == kind:
+        if mine and last == node - 1 and (last, node) in joined and mine[-1][2] == kind == KINDS.index("phone"):
             mine[-1] = (mine[-1][0], end, kind)
         else:
             mine.append((start, end, kind))
         last = node
-    return out
+    return [[s for s in own if plausible(text[s[0] : s[1]], s[2])] if own else own for own, text in zip(out, texts)]
 
 
 def written(spans: list[Span]) -> str:
@@ -255,7 +265,7 @@ def find_personal_data(docs: DataFrame, weights: Weights | None = None) -> DataF
             for ids, texts in slices(batch):
                 base = [base_spans(t) if t else [] for t in texts]
                 g = graph(texts, base)
-                more = added_spans(g, labels(g, w), base)
+                more = added_spans(g, labels(g, w), base, texts)
                 counts = [[sum(k == kind for _, _, k in own) for own in base] for kind in range(len(KINDS))]
                 columns = [ids, *counts, [written(b) for b in base], [written(b + m) for b, m in zip(base, more)], [len(m) for m in more]]
                 kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
