@@ -397,49 +397,89 @@ def netting_acceptance(plan: DataFrame) -> DataFrame:
 # --- blocks ------------------------------------------------------------------------
 
 
-def block_sums(rows: DataFrame) -> DataFrame:
-    """Detail blocks between blank rows against the sub-total row that follows each block.
+WALK_CHUNK = 512
+#: Where a walk stands when it reaches a blank row: on that row, in front of it with the blank as the next block's first
+#: row, or behind a block that the blank has closed. Per state the next one, for 0, 1, 2, 3 or more rows behind the blank.
+ON_BLANK, BEFORE_BLANK, BEHIND_BLOCK = 0, 1, 2
+WALK = {ON_BLANK: [1, 1, 2, 2], BEFORE_BLANK: [1, 2, 2, 2], BEHIND_BLOCK: [0, 1, 1, 2]}
+
+
+def _blank_groups(rows: DataFrame) -> DataFrame:
+    """Every blank row with the rows behind it; run 0 holds the rows before the first blank.
 
-    Rows are grouped into islands of consecutive non-blank rows. The first row of an island is
-    the sub-total of the block before it, unless that block had no details; among runs of
-    one-row islands sub-total and detail alternate, which gives a closed form per island.
-    Leading blank rows open no block.
+    Columns: n (rows behind), total, first_row, first_value, last_value.
     """
     blank = (F.trim(F.coalesce("label", F.lit(""))) == "") & F.col("value").isNull()
     slim = rows.select(*TABLE_KEY, "row_idx", "value", blank.alias("_blank"))
-    # rows between two blanks share the number of blanks above them
-    r = scan(slim, TABLE_KEY, "row_idx", [Scan("_run", "sum", F.when(F.col("_blank"), 1).otherwise(0))]).where(~F.col("_blank"))
-    isl = checkpoint(
-        r.groupBy(*TABLE_KEY, "_run").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(F.struct("row_idx", "value")).alias("first"),
-            F.round(F.sum("value"), 4).alias("total"),
-        )
+    r = scan(slim, TABLE_KEY, "row_idx", [Scan("run", "sum", F.when(F.col("_blank"), 1).otherwise(0))])
+    filled = F.when(~F.col("_blank"), F.col("row_idx"))
+    return r.groupBy(*TABLE_KEY, "run").agg(
+        F.count(filled).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min(filled).alias("first_row"),
+        F.min_by("value", filled).alias("first_value"), F.max_by("value", filled).alias("last_value"),
     )
-    isl = scan(isl, TABLE_KEY, "_run", [Scan("island", "count", F.lit(1))], chunk_rows=4096).drop("_run")
-    big = F.when(F.col("n") >= 2, F.col("island"))
-    isl = scan(isl, TABLE_KEY, "island", [Scan("_big", "max", big, inclusive=False)], chunk_rows=4096)
-    place = F.col("island") - F.coalesce("_big", F.lit(0)) - 1  # position in the run of one-row islands
-    prev_has_details = F.when(F.col("island") == 1, False).otherwise(place % 2 == 0)
-    isl = isl.withColumn("led", prev_has_details)
-    details = F.col("n") - F.when(F.col("led"), 1).otherwise(0)
-    isl = isl.withColumn("n_details", details).withColumn(
-        "sum_details",
-        F.round(F.coalesce("total", F.lit(0.0)) - F.when(F.col("led"), F.coalesce("first.value", F.lit(0.0))).otherwise(0.0), 4),
-    )
-    nxt = scan(isl, TABLE_KEY, "island", [Scan("next", "lag", F.col("first"))], descending=True, chunk_rows=4096)
-    return nxt.where((F.col("n_details") >= 1) & F.col("next").isNotNull() & ~((F.col("island") == 1) & (F.col("n") == 1))).select(
-        *TABLE_KEY, F.col("island").alias("block"), "n_details", "sum_details",
-        F.col("next.row_idx").alias("subtotal_row"), F.col("next.value").alias("subtotal"),
-        (F.abs(F.round(F.col("sum_details") - F.col("next.value"), 4)) <= 0.5).alias("ok"),
-    )
-
-
-def grand_total(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """Σ of all blocks against the table's last row, where a table has more than one block."""
-    s = blocks.groupBy(*TABLE_KEY).agg(F.round(F.sum("sum_details"), 4).alias("expected"), F.count(F.lit(1)).alias("n_blocks"))
-    last = rows.groupBy(*TABLE_KEY).agg(F.max_by("value", "row_idx").alias("actual"))
-    return s.where("n_blocks > 1").join(last, TABLE_KEY).withColumn(
+
+
+def block_walk(rows: DataFrame) -> DataFrame:
+    """All blocks that a walk from blank row to blank row visits, above the table's last row.
+
+    A blank closes a block that has a row; the row behind it is the block's sub-total and the next
+    block begins behind that. A block of one row (a blank row may be that row) is not compared, and the
+    next block begins with the blank that closed it. The walk has three states and its steps depend on
+    row counts only, so chunks of blanks are composed as maps of states, chunk maps are chained per
+    table, and every chunk is then walked from its own entry state.
+
+    Columns: block, n_details, n_counted (a leading blank included), sum_details, compared, subtotal_row,
+    subtotal (NULL where that row is blank), ok.
+    """
+    groups = _blank_groups(rows).withColumn("chunk", F.expr(f"run div {WALK_CHUNK}"))
+    item = F.struct("run", "n", "total", "first_row", "first_value", "last_value")
+    chunks = groups.groupBy(*TABLE_KEY, "chunk").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    table = "array(" + ", ".join("array(" + ", ".join(map(str, WALK[k])) + ")" for k in range(3)) + ")"
+    step = f"element_at(element_at({table}, s + 1), cast(least(x.n, 3) AS int) + 1)"
+    chunks = chunks.withColumn("through", F.expr(f"aggregate(items, array(0, 1, 2), (m, x) -> transform(m, s -> {step}))"))
+    heads = chunks.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(F.struct("chunk", "through", F.col("items")[0].alias("head")))).alias("c"))
+    # the walk begins in front of the first row: on a blank if rows come first, else before the blank
+    begin = f"IF(c[0].head.run = 0, {ON_BLANK}, {BEFORE_BLANK})"
+    enters = f"aggregate(c, array({begin}), (e, x) -> concat(e, array(element_at(x.through, element_at(e, -1) + 1))))"
+    heads = heads.withColumn("enters", F.expr(enters)).select(*TABLE_KEY, F.posexplode("c"), "enters", "c")
+    heads = heads.select(*TABLE_KEY, F.col("col.chunk").alias("chunk"), F.expr("enters[pos]").alias("enter"), F.expr("get(c, pos + 1).head").alias("behind"))
+    walked = chunks.join(heads, [*TABLE_KEY, "chunk"]).withColumn(
+        "states", F.expr(f"aggregate(items, array(enter), (e, x) -> concat(e, transform(array(element_at(e, -1)), s -> {step})))")
+    )
+    each = walked.select(*TABLE_KEY, F.posexplode("items").alias("pos", "g"), "states", "items", "behind").select(
+        *TABLE_KEY, "g.*", F.expr("states[pos]").alias("state"), F.expr("coalesce(get(items, pos + 1), behind)").alias("nxt"),
+        F.expr("pos + 1 = size(items) AND behind IS NULL").alias("last"),
+    )
+    cut = F.when(F.col("last") & (F.col("n") > 0), 1).otherwise(0)  # the table's last row closes no block
+    led = ((F.col("state") == BEHIND_BLOCK) & (F.col("n") >= 1)).cast("int")
+    details = F.greatest(F.col("n") - cut - led, F.lit(0))
+    zero = F.lit(0.0)
+    without = F.when(cut == 1, F.coalesce("last_value", zero)).otherwise(0.0) + F.when(led == 1, F.coalesce("first_value", zero)).otherwise(0.0)
+    counted = details + (F.col("state") == BEFORE_BLANK).cast("int")
+    compared = (counted >= 2) & ~F.col("last")
+    out = each.select(
+        *TABLE_KEY, F.col("run").alias("block"), details.alias("n_details"), counted.alias("n_counted"),
+        F.when(details == 0, 0.0).otherwise(F.round(F.coalesce("total", zero) - without, 4)).alias("sum_details"),
+        compared.alias("compared"), F.when(compared, F.col("nxt.first_row")).alias("subtotal_row"), F.when(compared, F.col("nxt.first_value")).alias("subtotal"),
+        (F.col("last") & (F.col("n") == 0)).alias("_end"),
+    )
+    ok = F.abs(F.round(F.col("sum_details") - F.col("subtotal"), 4)) <= 0.5
+    return out.where((F.col("n_counted") >= 1) & ~F.col("_end")).drop("_end").withColumn("ok", ok)
+
+
+def block_sums(rows: DataFrame) -> DataFrame:
+    """Blocks of the walk against the sub-total row that follows each block."""
+    return block_walk(rows).where("compared AND subtotal IS NOT NULL").select(*TABLE_KEY, "block", "n_details", "sum_details", "subtotal_row", "subtotal", "ok")
+
+
+def _last_value(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*TABLE_KEY).agg(F.max_by("value", "row_idx").alias("actual"))
+
+
+def grand_total(walk: DataFrame, rows: DataFrame) -> DataFrame:
+    """Σ of all blocks of a walk against the table's last row, where the walk has more than one block."""
+    s = walk.groupBy(*TABLE_KEY).agg(F.round(F.sum("sum_details"), 4).alias("expected"), F.count(F.lit(1)).alias("n_blocks"))
+    return s.where("n_blocks > 1").join(_last_value(rows), TABLE_KEY).withColumn(
         "ok", F.abs(F.round(F.col("expected") - F.col("actual"), 4)) <= 0.5
     )
 
@@ -645,16 +685,24 @@ def anchor_slices(rows: DataFrame, rel_tol: float = 0.012) -> DataFrame:
     )
 
 
-def two_block_total(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """The first two blocks together against the table's last row (other tax tables)."""
-    from pyspark.sql import Window
+def two_block_total(rows: DataFrame) -> DataFrame:
+    """The first two blocks together against the table's last row (other tax tables).
 
-    w = Window.partitionBy(*TABLE_KEY).orderBy("block")
-    two = blocks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2).groupBy(*TABLE_KEY).agg(
-        F.round(F.sum("sum_details"), 4).alias("expected"), F.count(F.lit(1)).alias("_n")
-    ).where("_n = 2").drop("_n")
-    last = rows.groupBy(*TABLE_KEY).agg(F.max_by("value", "row_idx").alias("actual"))
-    return two.join(last, TABLE_KEY).withColumn("ok", F.abs(F.round(F.col("expected") - F.col("actual"), 4)) <= 0.5)
+    A first block of one row leaves the second empty; otherwise the second begins behind the row that
+    follows the first block, whatever that row is.
+    """
+    g = _blank_groups(rows)
+    last_row = rows.groupBy(*TABLE_KEY).agg(F.max("row_idx").alias("_last"))
+    at = lambda run, c: F.max(F.when(F.col("run") == run, F.col(c)))
+    few = g.where("run <= 2").groupBy(*TABLE_KEY).agg(
+        F.coalesce(at(0, "n"), F.lit(0)).alias("n0"), F.coalesce(at(0, "total"), F.lit(0.0)).alias("t0"), F.coalesce(at(1, "n"), F.lit(0)).alias("n1"),
+        F.coalesce(at(1, "total"), F.lit(0.0)).alias("t1"), F.coalesce(at(1, "first_value"), F.lit(0.0)).alias("f1"), F.coalesce(at(2, "total"), F.lit(0.0)).alias("t2"),
+    )
+    second = F.when(F.col("n0") == 1, 0.0).when(F.col("n1") == 0, F.col("t2")).when(F.col("n1") == 1, 0.0).otherwise(F.col("t1") - F.col("f1"))
+    least = rows.groupBy(*TABLE_KEY).agg(F.min("row_idx").alias("_first"))
+    two = few.join(last_row, TABLE_KEY).join(least, TABLE_KEY).where(F.col("_last") > F.col("_first") + F.col("n0") + 1)
+    two = two.select(*TABLE_KEY, F.round(F.col("t0") + second, 4).alias("expected"))
+    return two.join(_last_value(rows), TABLE_KEY).withColumn("ok", F.abs(F.round(F.col("expected") - F.col("actual"), 4)) <= 0.5)
 
 
 def rescue_sums(rows: DataFrame, totals: DataFrame, marked: DataFrame) -> DataFrame:
@@ -671,17 +719,34 @@ def rescue_sums(rows: DataFrame, totals: DataFrame, marked: DataFrame) -> DataFr
     return s.groupBy(*TABLE_KEY).agg(F.bool_and(amounts_match(F.col("_s"), F.col("_t"))).alias("ok"))
 
 
-def signed_grand_total(blocks: DataFrame, rows: DataFrame, headings: DataFrame) -> DataFrame:
-    """Grand total where revenue and deferred-tax notes subtract their second block.
+def signed_grand_total(walk: DataFrame, rows: DataFrame, headings: DataFrame) -> DataFrame:
+    """Grand totals that follow the heading.
 
-    The second block counts negative when its stated sub-total is positive (deductions shown without
-    a sign). ``headings``: doc_id, table_idx, heading. Two aggregations find the second block.
+    Revenue and deferred-tax notes subtract their second block if it has a sub-total row whose filled
+    cells are all positive (deductions shown without a sign). Deferred tax ends with its second block
+    and compares with the row behind that block's sub-total. Convertible bonds, preference shares and
+    long-term provisions leave the last block out. ``headings``: doc_id, table_idx, heading.
     """
-    first = blocks.groupBy(*TABLE_KEY).agg(F.min("block").alias("_first"))
-    second = blocks.join(first, TABLE_KEY).where(F.col("block") > F.col("_first")).groupBy(*TABLE_KEY).agg(F.min("block").alias("_second"))
     h = F.lower("heading")
-    j = blocks.join(second, TABLE_KEY).join(headings.select(*TABLE_KEY, "heading"), TABLE_KEY, "left")
-    flips = F.coalesce(h.contains("revenue from") | h.contains("recognised deferred tax"), F.lit(False))
-    flip = flips & (F.col("block") == F.col("_second")) & (F.col("subtotal") > 0)
-    signed = j.withColumn("sum_details", F.when(flip, -F.col("sum_details")).otherwise(F.col("sum_details")))
-    return grand_total(signed, rows)
+    kinds = headings.select(
+        *TABLE_KEY, h.contains("recognised deferred tax").alias("_deferred"), (h.contains("revenue from") | h.contains("recognised deferred tax")).alias("_signed"),
+        (h.contains("convertible bonds") | h.contains("preference shares") | h.contains("long-term provisions")).alias("_less_last"),
+    )
+    w = walk.select(*TABLE_KEY, "block", "compared", "sum_details", "subtotal_row", "subtotal")
+    first = w.groupBy(*TABLE_KEY).agg(F.min("block").alias("_first"), F.max("block").alias("_last"), F.count(F.lit(1)).alias("n_blocks")).where("n_blocks > 1")
+    second = w.join(first, TABLE_KEY).where("block > _first").groupBy(*TABLE_KEY).agg(F.min("block").alias("_second"))
+    # frames that no hot table reaches: one row per table
+    bounds = first.join(second, TABLE_KEY).join(kinds, TABLE_KEY, "left")
+    j = w.join(bounds, TABLE_KEY).withColumn("_is", F.col("block") == F.col("_second"))
+    flip = F.coalesce("_signed", F.lit(False)) & F.col("_is") & F.col("compared") & F.coalesce(F.col("subtotal") > 0, F.lit(True))
+    out = (F.coalesce("_deferred", F.lit(False)) & (F.col("block") > F.col("_second"))) | (F.coalesce("_less_last", F.lit(False)) & (F.col("block") == F.col("_last")))
+    part = F.when(out, 0.0).when(flip, -F.col("sum_details")).otherwise(F.col("sum_details"))
+    s = j.groupBy(*TABLE_KEY).agg(
+        F.round(F.sum(part), 4).alias("expected"), F.max("n_blocks").alias("n_blocks"),
+        F.max(F.when(F.col("_is") & F.coalesce("_deferred", F.lit(False)), F.col("subtotal_row") + 1)).alias("_row"),
+    )
+    last = rows.groupBy(*TABLE_KEY).agg(F.max("row_idx").alias("_end"))
+    place = s.join(last, TABLE_KEY).select(*TABLE_KEY, "expected", "n_blocks", F.coalesce("_row", "_end").alias("row_idx"))
+    return place.join(rows.select(*TABLE_KEY, "row_idx", F.coalesce("value", F.lit(0.0)).alias("actual")), [*TABLE_KEY, "row_idx"]).select(
+        *TABLE_KEY, "expected", "n_blocks", "actual", (F.abs(F.round(F.col("expected") - F.col("actual"), 4)) <= 0.5).alias("ok")
+    )
