@@ -41,7 +41,7 @@ def _parse_messy(c: Column) -> Column:
     Where both separators occur, the last one is the decimal mark; it is parked as one of two
     private characters so that the later steps can tell both readings from plain thousands marks.
     """
-    comma_mark, dot_mark = "\ue001", "\ue002"
+    comma_mark, dot_mark, last_dot = "\ue001", "\ue002", "\ue003"
     s = F.translate(c, "\u00a0\u202f\u2009\u2212\u200b\u200c\u200d\ufeff", "   -")
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
     s = F.regexp_replace(s, r"^\(\s*(.*?)\s*\)$|^[-\u2013\u2014]+$", "-$1")
@@ -54,9 +54,9 @@ def _parse_messy(c: Column) -> Column:
     s = F.regexp_replace(s, rf"\.(?=.*{comma_mark})|,(?=.*{dot_mark})| (?!.*[{comma_mark}{dot_mark}])", "")
     s = F.regexp_replace(s, r"^([\d-]*\d[\d-]*),(\d{3})$", "$1$2")
     s = F.regexp_replace(s, r"^([^,.]*),([^,.]*)$", "$1.$2")
-    # repeated marks of one kind are thousands marks
-    many_dots = r"\.(?=.*\.)|(?<=\.[^.]{0,40})\.(?!.*\.)"
-    s = F.regexp_replace(s, rf"(?:,|{many_dots})(?!.*[{comma_mark}{dot_mark}])", "")
+    # repeated marks of one kind are thousands marks; the last of several dots is parked to tell it from a single one
+    s = F.regexp_replace(s, rf"^(?!.*[{comma_mark}{dot_mark}])(.*\..*)\.([^.]*)$", f"$1{last_dot}$2")
+    s = F.regexp_replace(s, rf"\.(?=.*{last_dot})|{last_dot}|,(?!.*[{comma_mark}{dot_mark}])", "")
     return F.translate(s, f"{comma_mark}{dot_mark}()", "..").try_cast("double")
 
 

@@ -56,10 +56,10 @@ def cross_check_guarded(spark, sf):
 @query(
     "accumulated_facts",
     """SELECT o_custkey AS doc_id, o_orderpriority AS account_key, o_orderkey AS seq, round(sum(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey), 2) AS running_cy
-       FROM orders WHERE o_orderkey % 2 = 0""",
+       FROM orders""",
 )
 def accumulated_facts(spark, sf):
-    o = V.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(
+    o = V.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("account_key"), F.col("o_orderkey").alias("seq"),
         F.col("o_totalprice").alias("cy"), F.col("o_totalprice").alias("py"), "o_orderstatus",
     )
@@ -67,9 +67,10 @@ def accumulated_facts(spark, sf):
     return K.running_facts(o, sign).select("doc_id", "account_key", "seq", F.round("running_cy", 2).alias("running_cy"))
 
 
-@query("first_use_of_account", "SELECT o_custkey AS doc_id, o_orderpriority AS account_key, min(o_orderkey) AS seq FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2")
+@query("first_use_of_account", "SELECT o_custkey AS doc_id, o_orderpriority AS account_key, min(o_orderkey) AS seq FROM orders GROUP BY 1, 2")
 def first_use_of_account(spark, sf):
-    return K.first_use(_probes(spark, sf)).select("doc_id", "account_key", "seq")
+    o = V.table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("account_key"), F.col("o_orderkey").alias("seq"))
+    return K.first_use(o).select("doc_id", "account_key", "seq")
 
 
 @query(
@@ -215,12 +216,12 @@ def acquisition_identity(spark, sf):
 @query(
     "listed_cell_check",
     f"""WITH b AS (SELECT l_orderkey, l_linenumber, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS DOUBLE), 2) AS v, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY 1, 2)
-      {_evidence_sql("SELECT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx, l_linenumber AS row_idx, 'Cross-check price' AS assertion, round(v - q * 10, 2) AS expected, v AS actual, greatest(abs(round(v - q * 10, 2)), abs(v)) AS base FROM b WHERE l_linenumber % 2 = 1", 'doc_id, table_idx, row_idx, assertion')}""",
+      {_evidence_sql("SELECT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx, l_linenumber AS row_idx, 'Cross-check price' AS assertion, round(v - q * 10, 2) AS expected, v AS actual, greatest(abs(round(v - q * 10, 2)), abs(v)) AS base FROM b", 'doc_id, table_idx, row_idx, assertion')}""",
 )
 def listed_cell_check(spark, sf):
     b = V.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.round(F.sum("l_extendedprice"), 2).alias("value"), F.sum("l_quantity").alias("q"))
     cells = b.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), F.col("l_linenumber").alias("row_idx"), F.lit(0).alias("col_idx"), "value", "q")
-    spec = cells.where("row_idx % 2 = 1").select("doc_id", "table_idx", "row_idx", "col_idx", F.round(F.col("value") - F.col("q") * 10, 2).alias("expected_value"), F.lit("price").alias("reference_name"))
+    spec = cells.select("doc_id", "table_idx", "row_idx", "col_idx", F.round(F.col("value") - F.col("q") * 10, 2).alias("expected_value"), F.lit("price").alias("reference_name"))
     return K.listed_items(cells.drop("q"), spec).select("doc_id", "table_idx", "row_idx", "assertion", *EV)
 
 

@@ -45,7 +45,7 @@ def _doc_blocks(spark, sf):
     return _lines(spark, sf).select(
         "doc_id", F.col("pos").alias("block_idx"), F.when(is_table, "table").otherwise("paragraph").alias("kind"), F.col("pos").alias("table_idx"),
         F.when(F.col("pos") % 5 == 0, "Heading 2").otherwise("Normal").alias("style"),
-        F.concat(F.substring("line", 1, 30), F.when(F.col("pos") % 9 == 0, " Balance sheet").otherwise("")).alias("text"),
+        F.concat("line", F.when(F.col("pos") % 9 == 0, " Balance sheet").otherwise("")).alias("text"),
         (F.col("pos") % 3 == 0).alias("is_bold"), (F.col("pos") % 4 == 0).alias("is_upper"),
     )
 
@@ -55,7 +55,7 @@ _JUNK = """(length({t}) < 3 OR (NOT regexp_matches({l}, 'balance sheet|equity')
 
 @query(
     "heading_attach_scored",
-    f"""WITH b AS (SELECT doc_id, pos, substr(line, 1, 30) || CASE WHEN pos % 9 = 0 THEN ' Balance sheet' ELSE '' END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
+    f"""WITH b AS (SELECT doc_id, pos, line || CASE WHEN pos % 9 = 0 THEN ' Balance sheet' ELSE '' END AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)),
       c AS (SELECT t.doc_id, t.pos AS table_idx, p.text, t.pos - p.pos - 1 AS dist, trim(p.text, ' ') AS tt, lower(p.text) AS l,
          CASE WHEN p.pos % 9 = 0 OR contains(lower(p.text), 'tax') THEN 10 ELSE 0 END + CASE WHEN p.pos % 5 = 0 THEN 5 ELSE 0 END + CASE WHEN p.pos % 3 = 0 THEN 3 ELSE 0 END + CASE WHEN p.pos % 4 = 0 THEN 2 ELSE 0 END - (t.pos - p.pos - 1) * 0.5 AS score
         FROM b t JOIN b p ON p.doc_id = t.doc_id AND p.pos < t.pos AND p.pos >= t.pos - 6 WHERE t.pos % 7 = 6),
@@ -85,7 +85,7 @@ def heading_junk_filter(spark, sf):
 
 @query("heading_from_first_row", f"WITH {O.CELLS} SELECT DISTINCT doc_id, table_idx, 'Description' AS heading FROM cells")
 def heading_from_first_row(spark, sf):
-    return I.heading_from_first_row(V.cell_rows(spark, sf).where("col_idx <> 3 and not (row_idx = 1 and col_idx > 1)"))
+    return I.heading_from_first_row(V.cell_rows(spark, sf))
 
 
 def _two_row_header(spark, sf):
@@ -96,18 +96,18 @@ def _two_row_header(spark, sf):
     return shifted.unionByName(units)
 
 
-@query("header_row_ranges", f"WITH {O.CELLS} SELECT DISTINCT doc_id, table_idx, 0 AS start_row, 1 AS end_row FROM cells WHERE table_idx % 5 <> 0")
+@query("header_row_ranges", f"WITH {O.CELLS} SELECT DISTINCT doc_id, table_idx, 0 AS start_row, 1 AS end_row FROM cells")
 def header_row_ranges(spark, sf):
-    cells = _two_row_header(spark, sf).where("table_idx % 5 <> 0")
+    cells = _two_row_header(spark, sf)
     return I.header_range(cells, ["code"], ["note"])
 
 
 @query(
     "promoted_headers",
-    f"""WITH {O.CELLS} SELECT doc_id, table_idx, col_idx, CASE WHEN col_idx >= 3 THEN 'Amount VND' || CASE WHEN col_idx = 4 THEN '.1' ELSE '' END ELSE text END AS header FROM cells WHERE row_idx = 0 AND table_idx % 5 <> 0""",
+    f"""WITH {O.CELLS} SELECT doc_id, table_idx, col_idx, CASE WHEN col_idx >= 3 THEN 'Amount VND' || CASE WHEN col_idx = 4 THEN '.1' ELSE '' END ELSE text END AS header FROM cells WHERE row_idx = 0""",
 )
 def promoted_headers(spark, sf):
-    cells = _two_row_header(spark, sf).where("table_idx % 5 <> 0")
+    cells = _two_row_header(spark, sf)
     same = cells.withColumn("text", F.when((F.col("row_idx") == 0) & (F.col("col_idx") >= 3), "Amount").otherwise(F.col("text")))
     headers, _ = I.promote_headers(same, I.header_range(cells, ["code"], ["note"]))
     return headers
@@ -115,10 +115,10 @@ def promoted_headers(spark, sf):
 
 @query(
     "normalized_tables",
-    f"""WITH {O.CELLS} SELECT doc_id, table_idx, 3 AS cy_col, 4 AS py_col, 1 AS code_col, 2 AS note_col, CAST(count(*) FILTER (row_idx > 0) AS BIGINT) AS body_cells FROM cells WHERE table_idx % 5 <> 0 GROUP BY 1, 2""",
+    f"""WITH {O.CELLS} SELECT doc_id, table_idx, 3 AS cy_col, 4 AS py_col, 1 AS code_col, 2 AS note_col, CAST(count(*) FILTER (row_idx > 0) AS BIGINT) AS body_cells FROM cells GROUP BY 1, 2""",
 )
 def normalized_tables(spark, sf):
-    out = normalize_tables(_two_row_header(spark, sf).where("table_idx % 5 <> 0"))
+    out = normalize_tables(_two_row_header(spark, sf))
     n = out["body"].groupBy("doc_id", "table_idx").agg(F.count(F.lit(1)).alias("body_cells"))
     return out["metadata"].drop("strategy").join(n, ["doc_id", "table_idx"])
 
@@ -268,16 +268,18 @@ def token_cell_text(spark, sf):
 
 @query(
     "canonical_columns",
-    f"""WITH {O.CELLS}, p AS (SELECT table_idx, doc_id, row_idx, max(text) FILTER (col_idx = 1) AS a, max(text) FILTER (col_idx = 2) AS b FROM cells WHERE row_idx > 0 GROUP BY 1, 2, 3)
-      SELECT doc_id, table_idx, row_idx, CASE WHEN row_idx % 2 = 0 THEN b ELSE a END AS text, row_idx % 2 = 1 AND b <> '' AND b <> a AS conflict FROM p""",
+    f"""WITH {O.CELLS}, p AS (SELECT table_idx, doc_id, row_idx, max(text) FILTER (col_idx = 1) AS a, max(text) FILTER (col_idx = 2) AS b FROM cells WHERE row_idx > 0 GROUP BY 1, 2, 3),
+      m AS (SELECT doc_id, table_idx, row_idx, 1 AS col_idx, CASE WHEN row_idx % 2 = 0 THEN b ELSE a END AS text, row_idx % 2 = 1 AND b <> '' AND b <> a AS conflict FROM p)
+      SELECT doc_id, table_idx, row_idx, 'Code' AS header, text, conflict FROM m
+      UNION ALL SELECT doc_id, table_idx, row_idx, 'Column ' || col_idx, text, false FROM cells WHERE row_idx > 0 AND col_idx NOT IN (1, 2)""",
 )
 def canonical_columns(spark, sf):
     # code and note both act as "Code"; on even rows the first of the two is blank
-    c = V.cell_rows(spark, sf).where("row_idx > 0 and col_idx in (1, 2)").withColumn("text", F.when((F.col("row_idx") % 2 == 0) & (F.col("col_idx") == 1), "").otherwise(F.col("text")))
-    headers = c.select("doc_id", "table_idx", "col_idx").distinct().withColumn("header", F.when(F.col("col_idx") == 1, "Code").otherwise("Code.1"))
+    c = V.cell_rows(spark, sf).where("row_idx > 0").withColumn("text", F.when((F.col("row_idx") % 2 == 0) & (F.col("col_idx") == 1), "").otherwise(F.col("text")))
+    headers = c.select("doc_id", "table_idx", "col_idx").distinct().withColumn("header", F.when(F.col("col_idx") == 1, "Code").when(F.col("col_idx") == 2, "Code.1").otherwise(F.concat(F.lit("Column "), "col_idx")))
     merged, conflicts = I.canonical_columns(c, headers)
     flag = conflicts.select("doc_id", "table_idx", "row_idx", F.lit(True).alias("conflict"))
-    return merged.join(flag, ["doc_id", "table_idx", "row_idx"], "left").select("doc_id", "table_idx", "row_idx", "text", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    return merged.join(flag.withColumn("header", F.lit("Code")), ["doc_id", "table_idx", "row_idx", "header"], "left").select("doc_id", "table_idx", "row_idx", "header", "text", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
 @query(

@@ -217,7 +217,7 @@ def note_ref_normalize(spark, sf):
 @query(
     "unit_hints",
     """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'VND_000' WHEN 1 THEN 'VND' WHEN 2 THEN 'VND_000' ELSE
-       '' END AS unit, count(*) AS n FROM documents WHERE NOT regexp_matches(lower(text), 'vnd|đồng') GROUP BY 1, 2""",
+       '' END AS unit, count(*) AS n FROM documents GROUP BY 1, 2""",
 )
 def unit_hints(spark, sf):
     suffix = (
@@ -228,7 +228,6 @@ def unit_hints(spark, sf):
     )
     return (
         V.table(spark, sf, "documents")
-        .where(~F.lower("text").rlike("vnd|đồng"))
         .groupBy("doc_id", X.unit_hint(F.concat(F.col("text"), suffix)).alias("unit"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

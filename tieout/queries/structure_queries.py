@@ -6,6 +6,7 @@ from tieout import catalogue as C
 from tieout.operators import classify as Y
 from tieout.operators import columns as L
 from tieout.operators import notes as N
+from tieout.operators.scans import dense_positions
 from tieout.plans import views as V
 from tieout.queries import oracle_views as O
 from tieout.queries.registry import query
@@ -173,12 +174,8 @@ _HEADS = ["Balance sheet", "Statement of income", "Deferred tax note", "Statemen
 
 def _tables(spark, sf):
     """Statement tables by supplier and year, with dense row positions and a heading."""
-    from pyspark.sql import Window
-
     rows = V.statement_rows(spark, sf)
-    w = Window.partitionBy("doc_id", "table_idx").orderBy("row_idx")
-    # only the first 60 rows are read, and the rank limit is applied before the shuffle
-    first = rows.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= 60).withColumn("pos", F.col("pos") - 1)
+    first = dense_positions(rows, ["doc_id", "table_idx"], ["row_idx"], [F.expr("row_idx div 65536")], "pos")
     return first.withColumn("row_text", F.lower("label"))
 
 
