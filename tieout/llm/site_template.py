@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieout.llm.common import text_key
+from tieout.llm.common import stored, text_key
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+\Z", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -42,6 +42,9 @@ PARTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 ROOTS = ("article", "main")
+#: Templates are broadcast up to so many elements (8 bytes each), beyond that hosts are dealt over so many salts.
+BROADCAST_ELEMENTS = 1_000_000
+SALTS = 32
 
 
 class Node:
@@ -219,6 +222,16 @@ def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05)
     return recurring.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 
 
+def _with_template(source: DataFrame, templates: DataFrame) -> DataFrame:
+    """``source`` with its host's template: broadcast up to a checked size, else joined with hosts cut into salts."""
+    templates = stored(templates)
+    elements = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    if elements <= BROADCAST_ELEMENTS:
+        return source.join(F.broadcast(templates), "host", "left")
+    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
 def extract_main_text(pages: DataFrame, least_pages: int = 3, share: float = 0.05) -> DataFrame:
     """page_id, url, text, n_chars of every row of ``pages``.
 
@@ -240,5 +253,5 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, share: float = 0.0
                 [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    joined = source.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    joined = _with_template(source, templates).select("page_id", "url", "html", "template")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
