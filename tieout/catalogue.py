@@ -271,3 +271,50 @@ FIXED_ASSET_CODES = [
     ("mature livestock producing periodic products", "234", "235"),
     ("investment property held to earn rental", "241", "242"),
 ]
+
+# Headings of notes that are tied out to the statements, by form.
+FORM_1 = [
+    "accounts receivable from customers", "accounts receivable from customers detailed by significant customer",
+    "accounts receivable from customers detailed by significant customers", "receivables on construction contracts according to stages of completion",
+    "payables on construction contracts according to stages of completion", "deferred tax assets and liabilities", "deferred tax assets",
+    "deferred tax liabilities", "accrued expenses", "accrued expenses – short-term", "accrued expenses - short-term", "accrued expenses – long-term",
+    "accrued expenses - long-term", "unearned revenue", "unearned revenue – short-term", "unearned revenue – long-term", "other payables",
+    "other payables – short-term", "other payables – long-term", "long-term borrowings", "long-term borrowings, bonds and financial lease liabilities",
+    "long-term bonds and financial lease liabilities", "long-term financial lease liabilities", "long-term bonds",
+]
+FORM_1A = [
+    "receivables on construction contracts according to stages of completion", "payables on construction contracts according to stages of completion",
+    "deferred tax assets and liabilities", "deferred tax assets", "deferred tax liabilities", "recognised deferred tax assets and liabilities",
+    "accounts payable to suppliers", "accounts payable to suppliers detailed by significant suppliers",
+    "accounts payable to suppliers detailed by significant supplier", "accounts payable to suppliers classified by payment terms", "accrued expenses",
+    "accrued expenses – short-term", "accrued expenses - short-term", "accrued expenses – long-term", "accrued expenses - long-term",
+    "deferred revenue", "deferred revenue – short-term", "deferred revenue – long-term", "long-term deferred revenue", "other payables",
+    "other payables – short-term", "other payables – long-term", "long-term borrowings", "long-term bonds and financial lease liabilities",
+    "long-term financial lease liabilities", "long-term bonds",
+]
+FORM_1B = ["cash", "cash and cash equivalents", "cash in banks"]
+FORM_2 = [
+    "biological assets – long-term, other than mature livestock producing periodic products", "biological assets – short-term",
+    "revenue from sales of goods and provision of services", "revenue from sales of goods", "revenue from provision of services",
+]
+FORM_3 = [
+    "acquisition of subsidiary", "business segments", "investments", "trading securities", "held-to-maturity investments",
+    "equity investments in other entities", "equity investments in other entity", "bad and doubtful debts", "shortage of assets awaiting resolution",
+    "inventories", "long-term work in progress", "construction in progress",
+    "biological assets – long-term, other than mature livestock producing periodic products", "biological assets – short-term",
+    "accounts receivable from customers", "accounts receivable from customers detailed by significant customer",
+    "accounts receivable from customers detailed by significant customers", "accounts receivable from customers classified by payment term",
+    "other short-term receivables comprised:", "other long-term receivables comprised:", "other receivables", "other short-term receivables",
+    "other long-term receivables", "receivables from bcc contracts under joint control", "long-term prepaid expenses", "long-term deferred expenses",
+    "investment property held for capital appreciation", "accounts payable to suppliers",
+    "accounts payable to suppliers detailed by significant suppliers", "accounts payable to suppliers detailed by significant supplier",
+    "taxes and others payable to state treasury", "taxes and others receivable from state treasury",
+    "taxes and others receivable from and payable to state treasury", "taxes receivable from state treasury", "taxes payable to state treasury",
+    "taxes and others receivable from the state", "taxes receivable from the state", "taxes and others payable to the state",
+    "taxes payable to the state", "others payable to the state", "taxes and others payable to the state – long-term",
+    "taxes payable to the state – long-term", "others payable to the state – long-term", "short-term borrowings",
+    "short-term borrowings, bonds and finance lease liabilities", "short-term bonds and finance lease liabilities", "short-term bonds",
+    "convertible bonds", "preference shares", "provisions", "short-term provisions", "long-term provisions", "changes in owners’ equity",
+    "share capital", "contributed capital",
+]
+FORMS = [("1", FORM_1), ("1A", FORM_1A), ("1B", FORM_1B), ("2", FORM_2), ("3", FORM_3)]

@@ -192,7 +192,7 @@ def route(tables: DataFrame) -> DataFrame:
             out = out.when(any_of(h, words), say("generic_note", "heading_alias:notes", 0.9))
         else:
             out = out.when(any_of(h, words), say(family, f"heading_alias:{family}", 0.95))
-    catalogue = sorted({r[2] for r in C.FORM_MAP if r[1] == "exact"})
+    catalogue = sorted({name for _, names in C.FORMS for name in names})
     codes = F.size(F.array_intersect("found", literal_array(ROUTER_BS_CODES))) >= 3
     out = (
         out.when(tax, say("tax_note", "heading_keyword:tax", 0.8))

@@ -217,6 +217,13 @@ def catalogue_match(headings: DataFrame, names: list[str], exact: bool = True) -
     return headings.where(F.exists(literal_array(names), lambda n: F.contains(h, n)))
 
 
+def heading_forms(headings: DataFrame) -> DataFrame:
+    """``headings`` with ``forms``, the tie-out forms whose catalogue holds the heading, in the order of the forms."""
+    h = F.lower(F.trim(F.regexp_replace("heading", r"\s+", " ")))
+    forms = F.array(*[F.when(h.isin(names), form) for form, names in C.FORMS])
+    return headings.withColumn("forms", F.array_compact(forms))
+
+
 def tax_rates(files: DataFrame, rates: DataFrame, default: float = 0.25) -> DataFrame:
     """Relative path, then base name, then the map's own default, then the global default.
 

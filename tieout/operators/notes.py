@@ -328,8 +328,9 @@ def movement_by_columns(amounts: DataFrame, plan: DataFrame, table_type: str = "
 def netting_plan(rows: DataFrame) -> DataFrame:
     """The first (total, less, net) row triple within 5 rows, else within 25.
 
-    Rows meet only inside neighbouring 25-row buckets, so each total row sees a bounded
-    number of partners however long its table is.
+    Rows meet only inside neighbouring 25-row buckets. A bucket's rows (75 at most) are held in arrays;
+    of a (total, less) pair only the first net row inside each span is kept, and a bucket leaves
+    one triple, so no rows are multiplied.
     """
     t = F.lower(F.trim("label"))
     less = contains_any(t, LESS_WORDS)
@@ -338,19 +339,18 @@ def netting_plan(rows: DataFrame) -> DataFrame:
     role = F.when(total & ~less & ~net, "total").when(less, "less").when(net, "net")
     r = rows.select(*TABLE_KEY, "row_idx", "value", role.alias("role")).where("role is not null")
     bucket = F.floor(F.col("row_idx") / RELAXED_SPAN)
-    near = r.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    part = lambda role, df: df.where(F.col("role") == role)
-    tot = part("total", r).select(*TABLE_KEY, F.col("row_idx").alias("t"), F.col("value").alias("tv"), bucket.alias("_b"))
-    les = part("less", near).select(*TABLE_KEY, F.col("row_idx").alias("l"), F.col("value").alias("lv"), "_b")
-    net_ = part("net", near).select(*TABLE_KEY, F.col("row_idx").alias("n"), F.col("value").alias("nv"), "_b")
-    span = F.greatest("t", "l", "n") - F.least("t", "l", "n")
-    # for one (total, less) pair only the first net row inside each span can win, so pairs
-    # are reduced before the table-level minimum
-    pairs = tot.join(les, [*TABLE_KEY, "_b"]).where(F.abs(F.col("t") - F.col("l")) <= RELAXED_SPAN)
+    near = r.withColumn("_b", F.explode(F.array(bucket - 1, bucket, bucket + 1))).withColumn("_own", F.col("_b") == bucket)
+    held = lambda name, own: F.sort_array(F.collect_list(F.when((F.col("role") == name) & own, F.struct(F.col("row_idx").alias("r"), F.col("value").alias("v"))))).alias(name)
+    boxes = near.groupBy(*TABLE_KEY, "_b").agg(held("total", F.col("_own")), held("less", F.lit(True)), held("net", F.lit(True)))
+    span = "greatest(t.r, l.r, n.r) - least(t.r, l.r, n.r)"
+    first = lambda most: f"array_min(filter(net, n -> {span} <= {most}))"
+    triple = "struct(NOT strict AS relaxed, t.r AS t, l.r AS l, n.r AS n, t.v AS tv, l.v AS lv, n.v AS nv)"
+    both = ", ".join(f"transform(array({first(most)}), n -> {triple.replace('NOT strict', flag)})[0]" for most, flag in ((STRICT_SPAN, "false"), (RELAXED_SPAN, "true")))
+    best = f"array_min(flatten(transform(total, t -> flatten(transform(filter(less, l -> abs(t.r - l.r) <= {RELAXED_SPAN}), l -> filter(array({both}), p -> p.n IS NOT NULL))))))"
     return (
-        pairs.join(net_, [*TABLE_KEY, "_b"]).where(span <= RELAXED_SPAN)
+        boxes.withColumn("p", F.expr(best)).where("p IS NOT NULL")
         .groupBy(*TABLE_KEY)
-        .agg(F.min(F.struct((span > STRICT_SPAN).alias("relaxed"), "t", "l", "n", "tv", "lv", "nv")).alias("p"))
+        .agg(F.min("p").alias("p"))
         .select(
             *TABLE_KEY, F.col("p.t").alias("total_row"), F.col("p.l").alias("less_row"), F.col("p.n").alias("net_row"),
             F.when(F.col("p.relaxed"), RELAXED_SPAN).otherwise(STRICT_SPAN).alias("max_dist"),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tieout import catalogue as C
+from tieout.operators import classify as Y
 from tieout.operators import crosscheck as K
 from tieout.plans import views as V
 from tieout.queries import oracle_views as O
@@ -256,6 +257,27 @@ def heading_catalogue(spark, sf):
     return contained.join(exact, "p_partkey", "left").select("p_partkey", F.coalesce("exact", F.lit(False)).alias("exact"), F.lit(True).alias("contained"))
 
 
+_FORM_NAMES = sorted({name for _, names in C.FORMS for name in names})
+_FORM_SQL = ", ".join(f"('{form}', '{name}')" for form, names in C.FORMS for name in names)
+
+
+@query(
+    "heading_forms",
+    f"""WITH c(form, name) AS (VALUES {_FORM_SQL}), n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS i FROM (SELECT DISTINCT name FROM c)),
+      p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL ELSE name END AS name FROM part JOIN n ON i = p_partkey % {len(_FORM_NAMES)}),
+      f AS (SELECT p_partkey, string_agg(form, ',' ORDER BY form) AS forms FROM p LEFT JOIN c USING (name) GROUP BY 1)
+      SELECT p_partkey, coalesce(forms, '') AS forms, CASE WHEN p.name IS NULL THEN 'fallback:generic_note' WHEN contains(p.name, 'tax') THEN 'tax' ELSE 'legacy_catalog:cross_check_table' END AS reason
+      FROM p JOIN f USING (p_partkey)""",
+)
+def heading_forms(spark, sf):
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(n) for n in _FORM_NAMES]), (k % len(_FORM_NAMES) + 1).cast("int"))
+    h = V.table(spark, sf, "part").select(k, k.alias("doc_id"), F.lit(0).alias("table_idx"), F.when(k % 5 == 4, "Something else").otherwise(F.concat(F.lit(" "), F.initcap(name))).alias("heading"), F.array().cast("array<string>").alias("found"))
+    reason = F.when(F.col("reason").contains("tax"), "tax").otherwise(F.col("reason"))
+    routed = Y.route(h).select(F.col("doc_id").alias("p_partkey"), reason.alias("reason"))
+    return K.heading_forms(h).select("p_partkey", F.array_join("forms", ",").alias("forms")).join(routed, "p_partkey")
+
+
 @query(
     "tax_rate_resolution",
     """SELECT s_suppkey, round(rate0, 6)::DOUBLE AS rate FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 0.1 + s_suppkey * 0.0001 WHEN s_nationkey % 5 = 0 THEN 0.2 + s_nationkey * 0.001 ELSE 0.22 END AS rate0 FROM supplier)""",

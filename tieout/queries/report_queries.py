@@ -1,5 +1,7 @@
 """Sources, sinks, whole-model audit, and the remaining note checks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tieout.operators import notes as N
@@ -10,7 +12,8 @@ from tieout.plans import views as V
 from tieout.queries import oracle_views as O
 from tieout.queries.registry import query
 from tieout.queries.result_queries import _MARKS, _marks, _results
-from tieout.sources import sinks
+from tieout.session import ensure_checkpoint_dir
+from tieout.sources import corpus, sinks
 
 _NAMES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -119,3 +122,23 @@ def sum_to_total_rescue(spark, sf):
     marked = V.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("table_idx"))
     total = rows.where("label = 'Total'").select("doc_id", "table_idx", F.col("row_idx").alias("total_row"))
     return N.rescue_sums(rows, total, marked)
+
+
+@query(
+    "previous_results_read",
+    """SELECT 'R' || (o_orderkey % 7) AS rule_id, o_orderpriority AS heading, o_orderstatus AS status_enum, count(*) AS n, sum(o_orderkey)::BIGINT AS seqs FROM orders GROUP BY 1, 2, 3""",
+)
+def previous_results_read(spark, sf):
+    """A previous run in all its forms, written from the orders and read again."""
+    k = F.col("o_orderkey")
+    r = V.table(spark, sf, "orders").select(
+        F.concat(F.lit("R"), k % 7).alias("rule_id"), F.col("o_orderpriority").alias("heading"), F.col("o_orderstatus").alias("status_enum"), k.alias("seq"), (k % 3).alias("_form"), F.expr("o_orderkey div 1000").alias("_part")
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/previous-{uuid.uuid4().hex}"
+    r.where("_form = 0").drop("_form", "_part").write.json(path)
+    lists = r.where("_form > 0").groupBy("_form", "_part").agg(F.collect_list(F.struct("rule_id", "heading", "status_enum", "seq")).alias("results"))
+    lists.where("_form = 1").select(F.to_json(F.struct("results"))).write.mode("append").text(path)
+    pretty = lists.where("_form = 2").select(F.to_json("results", {"pretty": "true"}))
+    pretty.write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    back = corpus.read_previous_results(spark, path)
+    return back.groupBy("rule_id", "heading", "status_enum").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
