@@ -143,7 +143,7 @@ def _gradient(net: Network, texts: list[bytes], wanted: np.ndarray, weight: np.n
     return loss, Network(d_vectors, d_filters.T, d_peaks.sum(0), pooled.T @ d_inner, d_inner.sum(0), inner.T @ d_out, d_out.sum(keepdims=True))
 
 
-def train(texts: list[bytes], labels: list[int], epochs: int = 8, batch: int = 64, rate: float = 0.01, longest: int = 16 * HALF, seed: int = 1) -> Network:
+def train(texts: list[bytes], labels: list[int], epochs: int = 10, batch: int = 64, rate: float = 0.008, longest: int = 16 * HALF, seed: int = 1) -> Network:
     """Adam on class-balanced log loss; in each epoch a long text takes part with a random stretch of ``longest`` bytes."""
     rng, net = np.random.default_rng(seed), start(seed)
     if not texts or len(set(labels)) < 2:
@@ -174,7 +174,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, longest: int = 200_000) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, longest: int = 200_000) -> Network:
     """A network learned from about ``sample_rows`` labelled rows outside fold 0, spread by hash of doc_id.
 
     Rows with a NULL id, text or label and texts of more than ``longest`` characters are not used; of rows with one doc_id each counts.
