@@ -250,8 +250,8 @@ def implicit_totals(rows: DataFrame) -> DataFrame:
     ok = F.abs(F.col("above") - F.col("value")) <= F.greatest(base * 1e-6, F.lit(1e-6))
     hit = both.where((below <= 1) & (F.col("n_above") >= 2) & ((t == "") | t.rlike(TOTAL_LIKE)) & ok)
     return hit.groupBy(*keys).agg(
-        F.max_by(F.struct("row_idx", "n_above"), "row_idx").alias("h")
-    ).select(*TABLE_KEY, "block", F.col("h.row_idx").alias("total_row"), F.col("h.n_above").alias("n_details"))
+        F.max("row_idx").alias("total_row"), F.max_by("n_above", "row_idx").alias("n_details")
+    ).select(*TABLE_KEY, "block", "total_row", "n_details")
 
 
 def generic_scopes(rows: DataFrame) -> DataFrame:
@@ -321,8 +321,8 @@ def movement_by_columns(amounts: DataFrame, plan: DataFrame, table_type: str = "
     tol = m.tolerance(F.greatest(F.abs("ob"), F.abs("cb")), table_type)
     bad = r.where(F.abs(F.round(expected - F.col("cb"), 4)) > tol)
     return bad.groupBy(*TABLE_KEY).agg(
-        F.min_by(F.struct("row_idx", expected.alias("expected"), F.col("cb").alias("actual"), tol.alias("tolerance")), "row_idx").alias("f")
-    ).select(*TABLE_KEY, "f.*")
+        F.min("row_idx").alias("row_idx"), F.min_by(expected, "row_idx").alias("expected"), F.min_by("cb", "row_idx").alias("actual"), F.min_by(tol, "row_idx").alias("tolerance")
+    )
 
 
 def netting_plan(rows: DataFrame) -> DataFrame:
@@ -607,8 +607,8 @@ def text_formula_equation(rows: DataFrame) -> DataFrame:
     pattern = r"\(?(\d{1,3})\)?\s*=\s*\(?(\d{1,3})\)?\s*([+\-])\s*\(?(\d{1,3})\)?"
     g = lambda i: F.regexp_extract("label", pattern, i)
     codes = rows.withColumn("c", F.regexp_replace("code", r"[^\d]", "")).where("c <> ''").groupBy(*TABLE_KEY, "c").agg(
-        F.max_by(F.struct("row_idx", "value"), "row_idx").alias("v")
-    )
+        F.max("row_idx").alias("_r"), F.max_by("value", "row_idx").alias("_x")
+    ).select(*TABLE_KEY, "c", F.struct(F.col("_r").alias("row_idx"), F.col("_x").alias("value")).alias("v"))
     eq = rows.where(F.col("label").rlike(pattern)).select(
         *TABLE_KEY, F.col("row_idx").alias("at"), g(1).alias("k0"), g(2).alias("k1"), g(3).alias("op"), g(4).alias("k2")
     )

@@ -41,8 +41,13 @@ def union_parts(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def row_order() -> Column:
-    return F.struct("table_idx", "row_idx")
+def row_order(rank: Column | None = None) -> Column:
+    """(rank, table_idx, row_idx) as one decimal number, which keeps aggregates hashable where a struct would sort.
+
+    Holds any long row_idx, table_idx below 10^16 and rank 0 to 9.
+    """
+    order = F.expr("cast(cast(table_idx AS decimal(38, 0)) * 10000000000000000000BD + cast(row_idx AS decimal(38, 0)) AS decimal(38, 0))")
+    return order if rank is None else (F.expr("1000000000000000000000000000000000000BD") * rank + order).cast("decimal(38, 0)")
 
 
 # --- duplicate-code policies ------------------------------------------------------
@@ -63,8 +68,8 @@ def dedup_last(items: DataFrame, keys: list[str]) -> DataFrame:
 def dedup_keep_nonzero(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last row with a non-zero period wins; an all-zero row never replaces one."""
     nonzero = (F.abs("cy") + F.abs("py")) != 0
-    best = F.max_by(F.struct("cy", "py"), F.struct(nonzero.alias("nz"), "table_idx", "row_idx"))
-    return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.cy", "b.py")
+    order = row_order(F.coalesce(nonzero, F.lit(False)).cast("int"))
+    return rows.groupBy(*keys).agg(F.max_by("cy", order).alias("cy"), F.max_by("py", order).alias("py"))
 
 
 # --- formulas ---------------------------------------------------------------------
@@ -169,16 +174,16 @@ def uncoded_before_block(rows: DataFrame) -> DataFrame:
     Two aggregations replace a lag over the document: find the first block row, then
     the last row before it.
     """
-    order = F.struct("table_idx", "row_idx")
+    order = row_order()
     block = rows.where(F.col("code").isin([str(c) for c in range(14, 21)]))
     first = block.groupBy("doc_id").agg(F.min(order).alias("_first"))
     return (
         rows.join(first, "doc_id")
         .where(order < F.col("_first"))
         .groupBy("doc_id")
-        .agg(F.max_by(F.struct("code", "cy", "py"), order).alias("p"))
-        .where((F.coalesce(F.col("p.code"), F.lit("")) == "") & (F.abs("p.cy") + F.abs("p.py") != 0))
-        .select("doc_id", "p.cy", "p.py")
+        .agg(F.max_by(F.coalesce("code", F.lit("")) == "", order).alias("uncoded"), F.max_by("cy", order).alias("cy"), F.max_by("py", order).alias("py"))
+        .where(F.col("uncoded") & (F.abs("cy") + F.abs("py") != 0))
+        .select("doc_id", "cy", "py")
     )
 
 
@@ -293,7 +298,7 @@ def income_rules(items: DataFrame, materiality: Materiality | None = None) -> Da
         *[total(c).alias(f"s{c}") for c in "01 02 10 11 21 22 25 26 31 32 51 52".split()],
         *[first(c).alias(f"f{c}") for c in "20 30 40 50 60".split()],
         F.max(F.col("code") == "10").alias("has10"),
-        F.min_by(F.when(rank24.isNotNull(), F.col("value")), F.when(rank24.isNotNull(), F.struct(rank24, "table_idx", "row_idx"))).alias("f24"),
+        F.min_by(F.when(rank24.isNotNull(), F.col("value")), F.when(rank24.isNotNull(), row_order(rank24))).alias("f24"),
     )
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     computed = {
