@@ -433,7 +433,8 @@ def block_walk(rows: DataFrame) -> DataFrame:
     """
     groups = _blank_groups(rows).withColumn("chunk", F.expr(f"run div {WALK_CHUNK}"))
     item = F.struct("run", "n", "total", "first_row", "first_value", "last_value")
-    chunks = groups.groupBy(*TABLE_KEY, "chunk").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # read twice below, and small: one row per WALK_CHUNK blank rows
+    chunks = checkpoint(groups.groupBy(*TABLE_KEY, "chunk").agg(F.sort_array(F.collect_list(item)).alias("items")))
     table = "array(" + ", ".join("array(" + ", ".join(map(str, WALK[k])) + ")" for k in range(3)) + ")"
     step = f"element_at(element_at({table}, s + 1), cast(least(x.n, 3) AS int) + 1)"
     chunks = chunks.withColumn("through", F.expr(f"aggregate(items, array(0, 1, 2), (m, x) -> transform(m, s -> {step}))"))
