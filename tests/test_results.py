@@ -90,6 +90,25 @@ def test_registry_keeps_order_and_drops_duplicates():
     assert not P.Flags({"nonbaseline_present_code_composition": True}).on("nonbaseline_present_code_composition")
 
 
+def test_evidence_fills_missing_differences(rows):
+    res = rows("doc_id string, table_idx int, status_enum string, severity string, max_diff double", ("d", 0, "FAIL", "HIGH", None), ("d", 1, "FAIL", "HIGH", 5.0), ("d", 2, "PASS", "HIGH", 99.0))
+    ev = rows("doc_id string, table_idx int, diff double", ("d", 0, -7.0), ("d", 0, 3.0))
+    assert [(r.table_idx, r.max_diff) for r in R.top_findings(res, evidence=ev).collect()] == [(0, 7.0), (1, 5.0)]
+    assert [r.table_idx for r in R.top_findings(res).collect()] == [1, 0]
+
+
+def test_audit_is_gated_by_table_type_and_mode(rows):
+    notes = rows(
+        "doc_id string, table_idx int, row_idx int, label string, value double, has_numeric boolean, seg int, kind string",
+        *[("d", t, r, label, v, True, 0, "OTHER") for t in (0, 1, 2) for r, (label, v) in enumerate((("Gross total", 1000.0), ("Less returns", 200.0), ("Net sales", 600.0)))],
+    )
+    netting = lambda **kw: sorted(r.table_idx for r in P.audit(P.AuditFrames(notes=notes, **kw)).where("rule_id = 'NETTING_BLOCKS'").collect())
+    types = rows("doc_id string, table_idx int, table_type string", ("d", 0, "GENERIC_NOTE"), ("d", 1, "TAX_NOTE"), ("d", 2, "GENERIC_NOTE"))
+    modes = rows("doc_id string, table_idx int, mode string", ("d", 0, "HIERARCHICAL_NETTING"), ("d", 1, "HIERARCHICAL_NETTING"), ("d", 2, "UNDETERMINED"))
+    assert netting() == [0, 1, 2] and netting(table_types=types) == [0, 2] and netting(table_types=types, modes=modes) == [0]
+    assert netting(flags=P.Flags({"netting_blocks": False})) == []
+
+
 def test_incremental_audit_equals_batch(spark, rows, tmp_path):
     from tieout.operators.sums import details_against_total
 

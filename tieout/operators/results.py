@@ -240,16 +240,21 @@ def severity_rank(c: Column) -> Column:
     return F.when(c == "HIGH", 3).when(c == "MEDIUM", 2).when(c == "LOW", 1).otherwise(0)
 
 
-def top_findings(results: DataFrame, n: int = 10) -> DataFrame:
-    return results.where(F.col("status_enum").isin(FINDING)).orderBy(
-        severity_rank(F.col("severity")).desc(), F.coalesce("max_diff", F.lit(0.0)).desc(), "doc_id", "table_idx"
-    ).limit(n)
-
-
 def max_diff(evidence: DataFrame) -> DataFrame:
     return evidence.groupBy(*TABLE_KEY).agg(F.max(F.abs("diff")).alias("max_diff"))
 
 
+def top_findings(results: DataFrame, n: int = 10, evidence: DataFrame | None = None) -> DataFrame:
+    """The ``n`` gravest findings; a result without its own largest difference takes that of its ``evidence``."""
+    found = results.where(F.col("status_enum").isin(FINDING))
+    if evidence is not None:
+        known = max_diff(evidence).withColumnRenamed("max_diff", "_shown")
+        found = found.join(known, TABLE_KEY, "left").withColumn("max_diff", F.coalesce("max_diff", "_shown")).drop("_shown")
+    return found.orderBy(
+        severity_rank(F.col("severity")).desc(), F.coalesce("max_diff", F.lit(0.0)).desc(), "doc_id", "table_idx"
+    ).limit(n)
+
+
 def focus_list(results: DataFrame) -> DataFrame:
     keep = (
         F.col("status_enum").isin(FINDING)
@@ -338,10 +343,6 @@ def compare_aggregates(baseline: DataFrame, current: DataFrame, strict: bool = T
     return j.select(*GROUP_KEYS, "baseline_count", "current_count", F.explode(kinds).alias("problem"))
 
 
-def schema_matches(baseline_version: str | None, current_version: str | None) -> bool:
-    return (baseline_version or "") == (current_version or "")
-
-
 def run_diff(current: DataFrame, previous: DataFrame | None) -> DataFrame:
     """NEW / RESOLVED / CHANGED / UNCHANGED by (rule_id, heading); the last duplicate wins.
 

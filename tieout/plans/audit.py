@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions.evidence import EVIDENCE_COLUMNS
 from tieout.functions.tolerance import Materiality
+from tieout.operators import classify as C
 from tieout.operators import notes as N
 from tieout.operators import results as R
 from tieout.operators import statements as S
@@ -33,10 +34,16 @@ class Flags:
 
 @dataclass
 class AuditFrames:
-    """Inputs of a run. ``notes`` rows need kind, seg, label, value; ``items`` are long statement rows."""
+    """Inputs of a run. ``notes`` rows need kind, seg, label, value; ``items`` are long statement rows.
+
+    With ``table_types`` (doc_id, table_idx, table_type) a rule's evidence is kept only for tables of its
+    types; with ``modes`` (doc_id, table_idx, mode) note rules run only in the modes that allow them.
+    """
 
     notes: DataFrame | None = None
     items: DataFrame | None = None
+    table_types: DataFrame | None = None
+    modes: DataFrame | None = None
     materiality: Materiality = field(default_factory=Materiality)
     flags: Flags = field(default_factory=Flags)
 
@@ -97,6 +104,12 @@ def _rolling(frames: AuditFrames) -> DataFrame | None:
     return None if frames.notes is None else N.roll_forward(frames.notes, materiality=frames.materiality)
 
 
+def _netting(frames: AuditFrames) -> DataFrame | None:
+    if frames.notes is None or not frames.flags.on("netting_blocks", True):
+        return None
+    return N.netting_check(N.netting_plan(frames.notes), materiality=frames.materiality)
+
+
 def _of(kind: str, check) -> object:
     def run(frames: AuditFrames) -> DataFrame | None:
         if frames.items is None:
@@ -113,6 +126,7 @@ def default_registry() -> Registry:
     reg.register(FrameRule("BS_FORMULA_CHECK", _of("FS_BALANCE_SHEET", S.balance_identities), ["FS_BALANCE_SHEET"]))
     reg.register(FrameRule("VERTICAL_SUM_SCOPED", _scoped, ["GENERIC_NOTE", "TAX_NOTE"]))
     reg.register(FrameRule("MOVEMENT_ROLLFORWARD", _rolling, ["GENERIC_NOTE", "FS_EQUITY"]))
+    reg.register(FrameRule("NETTING_BLOCKS", _netting, ["GENERIC_NOTE"]))
     return reg
 
 
@@ -126,9 +140,21 @@ def _aligned(df: DataFrame) -> DataFrame:
 
 
 def audit(frames: AuditFrames, registry: Registry | None = None) -> DataFrame:
-    """Evidence of all registered rules, one frame."""
-    parts = [r.apply(frames) for r in (registry or default_registry()).all()]
-    parts = [_aligned(p) for p in parts if p is not None]
+    """Evidence of all registered rules, one frame, gated by table type and note mode where these are given."""
+    parts = []
+    for rule in (registry or default_registry()).all():
+        part = rule.apply(frames)
+        if part is None:
+            continue
+        part = _aligned(part)
+        if frames.table_types is not None:
+            kinds = frames.table_types.where(F.col("table_type").isin(rule.table_types)).select("doc_id", F.col("table_idx").cast("long").alias("table_idx"))
+            part = part.join(kinds, ["doc_id", "table_idx"], "left_semi")
+        allowed = sorted(mode for mode, rule_id in C.MODE_RULES if rule_id == rule.rule_id)
+        if frames.modes is not None and allowed:
+            modes = frames.modes.where(F.col("mode").isin(allowed)).select("doc_id", F.col("table_idx").cast("long").alias("table_idx"))
+            part = part.join(modes, ["doc_id", "table_idx"], "left_semi")
+        parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 
 
