@@ -38,7 +38,7 @@ from tieout.llm.shingles import Hasher
 #: Similarity 0.75 in whole numbers: overlap / union >= NUM / DEN.
 NUM, DEN = 3, 4
 #: Entries of a column block.
-BLOCK_ENTRIES = 1_500_000
+BLOCK_ENTRIES = 1_000_000
 #: Columns in at least this share of the documents stay with their row blocks.
 FREQUENT = 0.02
 #: In a slice, columns with fewer documents are not reported as frequent.
@@ -282,6 +282,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = keys.filter("n_shingles >= 0").select("doc_id", "n_shingles", "key")
     classes = own.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
     labelled = stored(classes.join(link_classes(docs, keys), "key", "left"))
-    group = labelled.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("component"))
-    named = labelled.join(group, "label", "left").select("key", F.coalesce("component", "least").alias("component"))
+    linked = labelled.filter(F.col("label").isNotNull())
+    group = linked.groupBy("label").agg(F.min("least").alias("component"))
+    alone = labelled.filter(F.col("label").isNull()).select("key", F.col("least").alias("component"))
+    named = linked.join(group, "label").select("key", "component").unionByName(alone)
     return own.join(named, "key", "left").select("doc_id", "n_shingles", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
