@@ -44,9 +44,10 @@ FREQUENT = 0.02
 #: In a slice, columns with fewer documents are not reported as frequent.
 LEAST_LOCAL = 4
 #: Ratio of neighbouring size bands.
-BAND = 1.2
+BAND = 1.25
 LOW_BITS = 40
-FREQUENT_DF = 2**31 - 1
+#: Frequencies order columns; from here on they count alike.
+MOST_DF = 2**16 - 1
 
 
 def need(sizes):
@@ -117,7 +118,7 @@ def _entries(docs: DataFrame, column_blocks: int, frequent: np.ndarray) -> DataF
             stays = np.isin(value, frequent) if len(frequent) else np.zeros(len(value), bool)
             kept, kept_owner = value[stays], owner[stays]
             block, low = _placed(kept, column_blocks)
-            rows = [(-name - 1, name, *_planes(block << LOW_BITS | low), kept_owner.astype("<u2").tobytes(), np.full(len(kept), FREQUENT_DF, "<u4").tobytes(), np.diff(cuts).astype("<u4").tobytes(), names)]
+            rows = [(-name - 1, name, *_planes(block << LOW_BITS | low), kept_owner.astype("<u2").tobytes(), np.full(len(kept), MOST_DF, "<u2").tobytes(), np.diff(cuts).astype("<u4").tobytes(), names)]
             value, owner = value[~stays], owner[~stays]
             order = np.argsort(value)
             value, owner = value[order], owner[order]
@@ -162,7 +163,6 @@ def _shared_in_block(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     if rows[0]["block"] < 0:
         return table
-    block = rows[0]["block"]
     values = [_joined(r["high"], r["low"]) for r in rows]
     value = np.concatenate(values)
     _, inverse, count = np.unique(value, return_inverse=True, return_counts=True)
@@ -173,7 +173,8 @@ def _shared_in_block(table: pa.Table) -> pa.Table:
         at += len(own)
         keep = mine > 1
         if keep.any():
-            out.append((block, r["row_block"], *_planes(block << LOW_BITS | own[keep]), np.frombuffer(r["owner"], "<u2")[keep].tobytes(), mine[keep].astype("<u4").tobytes(), None, None))
+            df_bytes = np.minimum(mine[keep], MOST_DF).astype("<u2").tobytes()
+            out.append((r["block"], r["row_block"], *_planes(own[keep]), np.frombuffer(r["owner"], "<u2")[keep].tobytes(), df_bytes, None, None))
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -182,9 +183,10 @@ def _survivors(table: pa.Table) -> pa.Table:
     parts = table.to_pylist()
     about = next(r for r in parts if r["sizes"] is not None)
     sizes = np.frombuffer(about["sizes"], "<u4").astype(np.int64)
-    column = np.concatenate([_joined(r["high"], r["low"]) for r in parts])
+    # the row block's own entries name their columns in full, the others within their column block
+    column = np.concatenate([_joined(r["high"], r["low"]) | (max(r["block"], 0) << LOW_BITS) for r in parts])
     owner = np.concatenate([np.frombuffer(r["owner"], "<u2") for r in parts]).astype(np.int64)
-    df = np.concatenate([np.frombuffer(r["df"], "<u4") for r in parts])
+    df = np.concatenate([np.frombuffer(r["df"], "<u2") for r in parts])
     shared = np.bincount(owner, minlength=len(sizes))
     able = (sizes > 0) & (shared * DEN >= sizes * NUM)
     use = able[owner]
@@ -202,26 +204,27 @@ def _survivors(table: pa.Table) -> pa.Table:
 
 
 CLASSES = "key binary, n long, s long, shared array<long>"
-POSTINGS = "column long, bands long, id long, rank long"
+POSTINGS = "column long, bands long, id long"
+#: Bits of a class id below those that order classes by their share of columns of their own.
+ID_BITS = 57
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks (column, pair of size bands) of every class; rank orders classes by their share of columns of their own."""
+    """The blocks (column, pair of size bands) of every class."""
     starts = band_starts()
     for batch in batches:
-        columns, bands, ids, ranks = [], [], [], []
+        columns, bands, ids = [], [], []
         for identifier, n, s, shared in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
             shared = np.asarray(shared.values)
             own = int(np.searchsorted(starts, n, "right")) - 1
             least, most = -(-NUM * n // DEN), n * DEN // NUM
-            rank = ((n - s) * 1023 // n) << 53 | identifier & (1 << 53) - 1
             for other in range(int(np.searchsorted(starts, least, "right")) - 1, int(np.searchsorted(starts, most, "right"))):
                 smallest = max(least, int(starts[other]))
                 open_columns = shared[: max(0, s - need(n + smallest) + 1)] if smallest <= most else shared[:0]
                 columns.append(open_columns)
-                for out, value in ((bands, min(own, other) * 1000 + max(own, other)), (ids, identifier), (ranks, rank)):
+                for out, value in ((bands, min(own, other) * 1000 + max(own, other)), (ids, identifier)):
                     out.append(np.full(len(open_columns), value, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (columns, bands, ids, ranks)], names=["column", "bands", "id", "rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (columns, bands, ids)], names=["column", "bands", "id"])
 
 
 def _overlaps(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -244,11 +247,13 @@ def link_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
     frequent = np.array(sorted(r[0] for r in often.filter(F.col("n") >= FREQUENT * rows).select("columns").toLocalIterator()), np.int64).view(np.uint64)
     column_blocks = max(1, -(-total // BLOCK_ENTRIES))
     returned = _entries(docs, column_blocks, frequent).groupBy("block").applyInArrow(_shared_in_block, ENTRIES)
-    found = returned.drop("block").groupBy("row_block").applyInArrow(_survivors, CLASSES)
-    classes = stored(found.dropDuplicates(["key"]).withColumn("id", F.expr("conv(substr(hex(key), 1, 15), 16, 10)").cast("long")))
+    found = returned.groupBy("row_block").applyInArrow(_survivors, CLASSES)
+    # the smallest id of a block is that of the class with the least share of columns of its own
+    number = F.expr(f"shiftleft((n - s) * 63 div n, {ID_BITS}) + shiftrightunsigned(cast(conv(substr(hex(key), 1, 15), 16, 10) AS bigint), {60 - ID_BITS})")
+    classes = stored(found.dropDuplicates(["key"]).withColumn("id", number))
 
-    posted = stored(classes.select("id", "n", "s", "shared").mapInArrow(_postings, POSTINGS))
-    centres = posted.groupBy("column", "bands").agg(F.min_by("id", "rank").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    posted = classes.select("id", "n", "s", "shared").mapInArrow(_postings, POSTINGS)
+    centres = posted.groupBy("column", "bands").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
     pairs = posted.join(centres, ["column", "bands"]).filter("id <> a").select("a", F.col("id").alias("b")).distinct()
     star = stored(_overlaps(pairs, classes))
     links = star.filter(_linked("overlap", "n_a", "n_b")).select("a", "b")
