@@ -170,7 +170,8 @@ def shard(docs: DataFrame, shards: int = 8, keep: bool = False) -> DataFrame:
     """
     if keep:
         rows = placed_rows(docs.drop("shard", "slot"), "__")
-        cell, order = F.concat("__file", F.lit("#"), F.lpad(F.expr("__row div 1024").cast("string"), 12, "0")), [F.col("__row")]
+        part = F.lpad(F.regexp_extract("__file", r"^part-(\d+)", 1), 12, "0")  # file names sort as text, part numbers as numbers
+        cell, order = F.concat(part, F.lit("#"), "__file", F.lit("#"), F.lpad(F.expr("__row div 1024").cast("string"), 12, "0")), [F.col("__row")]
     else:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         cell, order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**20)), [F.col("__key"), F.col("doc_id")]
