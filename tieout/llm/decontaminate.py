@@ -3,8 +3,9 @@
 Texts are compared in lower case with every run of other characters than letters and digits as one
 space. A test item of m characters may occur with k = m // ``rate`` edits. Cut into k + 1 pieces, at
 least one piece occurs unchanged (k edits spoil k pieces at most). An automaton finds every piece
-hit in one pass over a document; the hits of an item give windows, and Myers' bit-parallel distance
-decides each window, with one machine word as wide as the item.
+hit in one pass over a document; the hits of an item give windows. Of twice as many, half as long
+pieces at least k + 2 must occur in the window, which drops most chance hits; Myers' bit-parallel
+distance decides the other windows, with one machine word as wide as the item.
 
 The test items are a stated query set: they are taken in blocks of bounded size, each block sent to
 the tasks and held against all documents.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tieout.llm.common import slices
 
-RATE = 16
+RATE = 12
 BLOCK_CHARS = 1_000_000
 _GAPS = re.compile(r"[\W_]+")
 SCHEMA = "doc_id long, item_id long, edits int, item_chars int, match_end long"
@@ -71,7 +72,7 @@ class Matcher:
     """Finds the items of one block in texts."""
 
     def __init__(self, items: list[Item], rate: int = RATE):
-        self.items, self.masks = [], []
+        self.items, self.masks, self.halves = [], [], []
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, raw in items:
             item = normal(raw)
@@ -84,6 +85,7 @@ class Matcher:
             for i, c in enumerate(item):
                 masks[c] = masks.get(c, 0) | 1 << i
             self.masks.append(masks)
+            self.halves.append([piece for _, piece in pieces(item, 2 * k + 1)])
             for offset, piece in pieces(item, k):
                 places.setdefault(piece, []).append((at, offset))
         self.automaton = ahocorasick.Automaton()
@@ -117,6 +119,8 @@ class Matcher:
             item_id, content, k = self.items[item]
             best = None
             for low, high in spans:
+                if sum(text.find(half, low, high) >= 0 for half in self.halves[item]) < k + 2:
+                    continue
                 exact = text.find(content, low, high)  # a hit without edits needs no table
                 found = (0, exact + len(content)) if exact >= 0 else myers(content, self.masks[item], text, low, high, k)
                 if found and (best is None or found < best):
