@@ -44,3 +44,13 @@ def test_salted_join_gives_the_same(table, monkeypatch):
     want = sorted(s.extract_main_text(pages).collect())
     monkeypatch.setattr(s, "BROADCAST_ELEMENTS", 0)
     assert sorted(s.extract_main_text(pages).collect()) == want and want[0].text == "0"
+
+
+def test_wrappers_of_articles_are_no_template(table):
+    def page(i, start, end):
+        return f"<body><div class=container><nav>menu</nav><div><p>slogan</p></div>{start}<p>story {i}</p>{end}<footer>foot</footer></div><div>imprint</div>"
+
+    marks = [("<article>", "</article>"), ("<div class=main>", "</div>"), ("<div><main><div><article>", "</article></div></main></div>")]
+    rows = [(10 * k + i, f"http://{k}.example/{i}", page(i, *m)) for k, m in enumerate(marks) for i in range(6)]
+    got = {r.page_id: r.text for r in s.extract_main_text(table("page_id long, url string, html string", rows)).collect()}
+    assert got == {i: f"story {i % 10}" for i, _, _ in rows}

@@ -116,20 +116,23 @@ def named_part(node: Node) -> bool:
     return bool(node.words) and node.tag not in ("html", "body", "main") and not PARTS.isdisjoint(WORD.findall(node.words))
 
 
-def subtree_hash(node: Node, seen: dict[Node, int]) -> bytes:
-    """A hash of the subtree; ``seen`` gets those of elements outside the article that hold text."""
+def subtree_hash(node: Node, seen: dict[Node, int]) -> tuple[bytes, bool]:
+    """A hash of the subtree and whether it holds an article; ``seen`` gets the hashes of elements with text outside the article and not around it."""
     digest = hashlib.blake2b(f"{node.tag} {node.words}".encode(errors="replace"), digest_size=8)
+    holds = False
     for child in node.children:
         if isinstance(child, str):
             digest.update(b"\0" + " ".join(child.split()).encode(errors="replace"))
-        elif child.tag in ROOTS:
-            digest.update(b"\1article")  # the place of an article is template, its content is not
+        elif is_root(child):
+            holds = True
         else:
-            digest.update(b"\1" + subtree_hash(child, seen))
+            below, root_below = subtree_hash(child, seen)
+            digest.update(b"\1" + below)
+            holds = holds or root_below
     value = digest.digest()
-    if node.parent is not None and node.tag not in ("html", "head", "body") and node.tag not in RAW and node.children:
+    if node.parent is not None and not holds and node.tag not in ("html", "head", "body") and node.tag not in RAW and node.children:
         seen[node] = int.from_bytes(value, "big", signed=True)
-    return value
+    return value, holds
 
 
 def tree_depth_ok(root: Node, deepest: int = 500) -> bool:
