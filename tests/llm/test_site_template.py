@@ -54,3 +54,9 @@ def test_wrappers_of_articles_are_no_template(table):
     rows = [(10 * k + i, f"http://{k}.example/{i}", page(i, *m)) for k, m in enumerate(marks) for i in range(6)]
     got = {r.page_id: r.text for r in s.extract_main_text(table("page_id long, url string, html string", rows)).collect()}
     assert got == {i: f"story {i % 10}" for i, _, _ in rows}
+
+
+def test_deep_pages_count_and_lose_template(table):
+    rows = [(i, f"http://a.example/{i}", "<div>menu</div>" + f"<font>{i} " * 5000) for i in range(4)]
+    got = {r.page_id: r.text for r in s.extract_main_text(table("page_id long, url string, html string", rows)).collect()}
+    assert got == {i: " ".join([str(i)] * 5000) for i in range(4)}

@@ -116,32 +116,31 @@ def named_part(node: Node) -> bool:
     return bool(node.words) and node.tag not in ("html", "body", "main") and not PARTS.isdisjoint(WORD.findall(node.words))
 
 
-def subtree_hash(node: Node, seen: dict[Node, int]) -> tuple[bytes, bool]:
-    """A hash of the subtree and whether it holds an article; ``seen`` gets the hashes of elements with text outside the article and not around it."""
-    digest = hashlib.blake2b(f"{node.tag} {node.words}".encode(errors="replace"), digest_size=8)
-    holds = False
-    for child in node.children:
-        if isinstance(child, str):
-            digest.update(b"\0" + " ".join(child.split()).encode(errors="replace"))
-        elif is_root(child):
-            holds = True
-        else:
-            below, root_below = subtree_hash(child, seen)
-            digest.update(b"\1" + below)
-            holds = holds or root_below
-    value = digest.digest()
-    if node.parent is not None and not holds and node.tag not in ("html", "head", "body") and node.tag not in RAW and node.children:
-        seen[node] = int.from_bytes(value, "big", signed=True)
-    return value, holds
-
-
-def tree_depth_ok(root: Node, deepest: int = 500) -> bool:
-    level = [root]
-    for _ in range(deepest):
-        level = [c for n in level for c in n.children if not isinstance(c, str)]
-        if not level:
-            return True
-    return False
+def subtree_hashes(root: Node) -> dict[Node, int]:
+    """The hashes of the subtrees with text outside the article and not around it, from the leaves up."""
+    order, walk = [], [root]
+    while walk:
+        node = walk.pop()
+        if node is root or not is_root(node):
+            order.append(node)
+            walk += [c for c in node.children if not isinstance(c, str)]
+    digests: dict[Node, bytes] = {}
+    around, seen = set(), {}  # nodes that hold an article
+    for node in reversed(order):
+        digest = hashlib.blake2b(f"{node.tag} {node.words}".encode(errors="replace"), digest_size=8)
+        for child in node.children:
+            if isinstance(child, str):
+                digest.update(b"\0" + " ".join(child.split()).encode(errors="replace"))
+            elif child not in digests:
+                around.add(node)
+            else:
+                digest.update(b"\1" + digests[child])
+                if child in around:
+                    around.add(node)
+        digests[node] = digest.digest()
+        if node is not root and node not in around and node.tag not in ("html", "head", "body") and node.tag not in RAW and node.children:
+            seen[node] = int.from_bytes(digests[node], "big", signed=True)
+    return seen
 
 
 def blocks(root: Node, template: frozenset[int] | set[int], hashes: dict[Node, int]) -> list[str]:
@@ -195,10 +194,8 @@ def host_of(url: Column) -> Column:
 
 
 def _hashes(page: str) -> tuple[Node, dict[Node, int]]:
-    root, seen = parse(page), {}
-    if tree_depth_ok(root):  # a deeper tree than any page needs keeps its text and is not compared
-        subtree_hash(root, seen)
-    return root, seen
+    root = parse(page)
+    return root, subtree_hashes(root)
 
 
 def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05) -> DataFrame:
