@@ -60,3 +60,16 @@ def test_deep_pages_count_and_lose_template(table):
     rows = [(i, f"http://a.example/{i}", "<div>menu</div>" + f"<font>{i} " * 5000) for i in range(4)]
     got = {r.page_id: r.text for r in s.extract_main_text(table("page_id long, url string, html string", rows)).collect()}
     assert got == {i: " ".join([str(i)] * 5000) for i in range(4)}
+
+
+def test_recurring_boxes_in_articles_are_deleted(table):
+    body = "A long passage that few articles share. " * 20
+
+    def page(i):
+        shared = f"<div>{body}</div>" if i < 3 else ""
+        return f"<div class=wrap><article><h1>title {i}</h1><p>story {i}</p>{shared}<div class=bio><p>Ann writes here</p></div><section><ul><li>Read more</ul></section></article></div>"
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)]
+    rows += [(20 + i, f"http://b.example/{i}", f"<p>see {i}</p><main><h1>title</h1><div>{body}</div></main>") for i in range(4)]
+    got = {r.page_id: r.text for r in s.extract_main_text(table("page_id long, url string, html string", rows)).collect()}
+    assert got[5] == "title 5\nstory 5" and got[1] == f"title 1\nstory 1\n{body.strip()}" and got[21] == f"title\n{body.strip()}"

@@ -1,11 +1,12 @@
 """Main text of web pages by removal of site templates.
 
-Each page is parsed into a tree of elements. Every element outside the article has a hash of its
-whole subtree (names, classes, text). Spark counts, per host, on how many different pages a subtree
-occurs; subtrees that recur on many pages of their host are its template and are deleted. What the
-markup itself names as menu, header, footer, sidebar, notice, advert, form, comment or script is
-deleted as well. The text of the article (of the body where no article is marked) is left, block by
-block. Subtrees inside an article are not counted: a passage that many articles share is content.
+Each page is parsed into a tree of elements. Every element outside the article, and every box
+(division, section, list, table) inside it, has a hash of its whole subtree (names, classes, text).
+Spark counts, per host, on how many different pages a subtree occurs; subtrees that recur on many
+pages of their host are its template and are deleted. What the markup itself names as menu, header,
+footer, sidebar, notice, advert, form, comment or script is deleted as well. The text of the article
+(of the body where no article is marked) is left, block by block. A paragraph, heading or quotation
+that many articles share is content, and so is a box with most of an article's text.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ PARTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 ROOTS = ("article", "main")
+#: Elements inside an article that are compared; paragraphs, headings, items and cells by themselves are content.
+BOXES = frozenset("address center details dir div dl fieldset figure ol section table ul".split())
+#: A box of so many characters that holds half of its article or more is the article's body.
+BODY_CHARS = 500
 #: Templates are broadcast up to so many elements (8 bytes each), beyond that hosts are dealt over so many salts.
 BROADCAST_ELEMENTS = 1_000_000
 SALTS = 32
@@ -117,29 +122,44 @@ def named_part(node: Node) -> bool:
 
 
 def subtree_hashes(root: Node) -> dict[Node, int]:
-    """The hashes of the subtrees with text outside the article and not around it, from the leaves up."""
-    order, walk = [], [root]
+    """The hashes of the subtrees that may be template, from the leaves up; odd for boxes inside an article, else even.
+
+    No element that is or holds an article is among them, nor a box with the body of its article.
+    """
+    order, walk = [], [(root, None)]
     while walk:
-        node = walk.pop()
-        if node is root or not is_root(node):
-            order.append(node)
-            walk += [c for c in node.children if not isinstance(c, str)]
+        node, article = walk.pop()
+        if article is None and is_root(node):
+            article = node
+        order.append((node, article))
+        walk += [(c, article) for c in node.children if not isinstance(c, str)]
     digests: dict[Node, bytes] = {}
-    around, seen = set(), {}  # nodes that hold an article
-    for node in reversed(order):
+    sizes: dict[Node, int] = {}
+    holding = set()
+    for node, _ in reversed(order):
         digest = hashlib.blake2b(f"{node.tag} {node.words}".encode(errors="replace"), digest_size=8)
+        size, holds = 0, is_root(node)
         for child in node.children:
             if isinstance(child, str):
-                digest.update(b"\0" + " ".join(child.split()).encode(errors="replace"))
-            elif child not in digests:
-                around.add(node)
+                words = " ".join(child.split())
+                digest.update(b"\0" + words.encode(errors="replace"))
+                size += len(words)
             else:
                 digest.update(b"\1" + digests[child])
-                if child in around:
-                    around.add(node)
-        digests[node] = digest.digest()
-        if node is not root and node not in around and node.tag not in ("html", "head", "body") and node.tag not in RAW and node.children:
-            seen[node] = int.from_bytes(digests[node], "big", signed=True)
+                size += sizes[child]
+                holds = holds or child in holding
+        digests[node], sizes[node] = digest.digest(), size
+        if holds:
+            holding.add(node)
+    seen = {}
+    for node, article in order:
+        if node is root or node in holding or node.tag in ("html", "head", "body") or node.tag in RAW or not node.children:
+            continue
+        value = int.from_bytes(digests[node], "big", signed=True)
+        if article is None:
+            seen[node] = value & ~1
+        elif node.tag in BOXES and (sizes[node] < BODY_CHARS or 2 * sizes[node] < sizes[article]):
+            seen[node] = value | 1
     return seen
 
 
@@ -198,9 +218,11 @@ def _hashes(page: str) -> tuple[Node, dict[Node, int]]:
     return root, subtree_hashes(root)
 
 
-def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05) -> DataFrame:
+def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05, inside_share: float = 0.5) -> DataFrame:
     """(host, template): the hashes of subtrees on at least ``least_pages`` and ``share`` of a host's different pages.
 
+    Boxes inside an article must be on ``inside_share`` of them, so that what a few articles quote stays.
+
     At most 1 / ``share`` times the elements of a mean page per host, whatever its number of pages.
     """
 
@@ -218,7 +240,7 @@ def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05)
     subtrees = narrow.mapInArrow(run, "host string, page long, subtree long")
     counted = subtrees.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n"))
     sizes = narrow.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    recurring = counted.filter(F.col("n") >= least_pages).join(sizes, "host").filter(F.col("n") >= F.col("pages") * share)
+    recurring = counted.filter(F.col("n") >= least_pages).join(sizes, "host").filter(F.col("n") >= F.col("pages") * F.when(F.col("subtree") % 2 == 0, share).otherwise(inside_share))
     return recurring.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 
 
