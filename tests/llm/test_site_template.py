@@ -73,3 +73,13 @@ def test_recurring_boxes_in_articles_are_deleted(table):
     rows += [(20 + i, f"http://b.example/{i}", f"<p>see {i}</p><main><h1>title</h1><div>{body}</div></main>") for i in range(4)]
     got = {r.page_id: r.text for r in s.extract_main_text(table("page_id long, url string, html string", rows)).collect()}
     assert got[5] == "title 5\nstory 5" and got[1] == f"title 1\nstory 1\n{body.strip()}" and got[21] == f"title\n{body.strip()}"
+
+
+def test_template_of_a_large_host(table, monkeypatch):
+    rows = [(i, f"http://a.example/{i}", f"<div>menu {i % 30}</div>" + ("<div>rare</div>" if i < 5 else "") + f"<p>{i}</p>") for i in range(900)]
+    pages = table("page_id long, url string, html string", [*rows, rows[0]])
+    want = {i: f"rare\n{i}" if i < 5 else f"{i}" for i in range(900)}
+    assert {r.page_id: r.text for r in s.extract_main_text(pages).collect()} == want
+    monkeypatch.setattr(s, "HOST_ELEMENTS", 10)
+    got = s.extract_main_text(pages).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == 901

@@ -47,9 +47,11 @@ ROOTS = ("article", "main")
 BOXES = frozenset("address center details dir div dl fieldset figure ol section table ul".split())
 #: A box of so many characters that holds half of its article or more is the article's body.
 BODY_CHARS = 500
-#: Templates are broadcast up to so many elements (8 bytes each), beyond that hosts are dealt over so many salts.
+#: Templates are broadcast up to so many elements (8 bytes each) in all and in one host, beyond that joined page by page.
 BROADCAST_ELEMENTS = 1_000_000
-SALTS = 32
+HOST_ELEMENTS = 2_000
+#: A subtree on so many different pages of a host is template.
+ENOUGH_PAGES = 20
 
 
 class Node:
@@ -218,13 +220,8 @@ def _hashes(page: str) -> tuple[Node, dict[Node, int]]:
     return root, subtree_hashes(root)
 
 
-def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05, inside_share: float = 0.5) -> DataFrame:
-    """(host, template): the hashes of subtrees on at least ``least_pages`` and ``share`` of a host's different pages.
-
-    Boxes inside an article must be on ``inside_share`` of them, so that what a few articles quote stays.
-
-    At most 1 / ``share`` times the elements of a mean page per host, whatever its number of pages.
-    """
+def _subtrees(pages: DataFrame) -> DataFrame:
+    """(host, page, subtree) of the different subtrees of each row of host, page, html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,22 +233,31 @@ def count_templates(pages: DataFrame, least_pages: int = 3, share: float = 0.05,
                 found += own
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.int64())], names=["host", "page", "subtree"])
 
-    narrow = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(text_key(F.col("html"))).alias("page"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    subtrees = narrow.mapInArrow(run, "host string, page long, subtree long")
-    counted = subtrees.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n"))
-    sizes = narrow.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    recurring = counted.filter(F.col("n") >= least_pages).join(sizes, "host").filter(F.col("n") >= F.col("pages") * F.when(F.col("subtree") % 2 == 0, share).otherwise(inside_share))
-    return recurring.groupBy("host").agg(F.collect_set("subtree").alias("template"))
+    return pages.select("host", "page", F.coalesce(F.col("html"), F.lit("")).alias("html")).mapInArrow(run, "host string, page long, subtree long")
+
+
+def count_templates(source: DataFrame, least_pages: int = 3, share: float = 0.05, inside_share: float = 0.5, enough_pages: int = ENOUGH_PAGES) -> DataFrame:
+    """(host, subtree): the hashes of subtrees on ``enough_pages`` different pages of a host, whatever its size.
+
+    On a small host fewer will do: ``least_pages`` that are ``share`` of its different pages. Boxes
+    inside an article must be on ``inside_share`` of them, so that what a few articles quote stays.
+    """
+    counted = _subtrees(source).groupBy("host", "subtree").agg(F.count_distinct("page").alias("n"))
+    sizes = source.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    enough = F.col("pages") * F.when(F.col("subtree") % 2 == 0, share).otherwise(inside_share)
+    recurring = counted.filter(F.col("n") >= least_pages).join(sizes, "host").filter((F.col("n") >= enough) | (F.col("n") >= enough_pages))
+    return recurring.select("host", "subtree")
 
 
 def _with_template(source: DataFrame, templates: DataFrame) -> DataFrame:
-    """``source`` with its host's template: broadcast up to a checked size, else joined with hosts cut into salts."""
+    """``source`` with its template: that of its host broadcast up to checked sizes, else the page's own part of it."""
     templates = stored(templates)
-    elements = templates.agg(F.coalesce(F.sum(F.size("template")), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    if elements <= BROADCAST_ELEMENTS:
-        return source.join(F.broadcast(templates), "host", "left")
-    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    hosts = templates.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    elements, largest = hosts.agg(F.coalesce(F.sum("n") + F.count(F.lit(1)), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if elements <= BROADCAST_ELEMENTS and largest <= HOST_ELEMENTS:
+        return source.join(F.broadcast(templates.groupBy("host").agg(F.collect_list("subtree").alias("template"))), "host", "left")
+    hits = _subtrees(source).distinct().join(templates, ["host", "subtree"]).groupBy("host", "page").agg(F.collect_list("subtree").alias("template"))
+    return source.join(hits, ["host", "page"], "left")
 
 
 def extract_main_text(pages: DataFrame, least_pages: int = 3, share: float = 0.05) -> DataFrame:
@@ -261,8 +267,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = 3, share: float = 0.0
     rows give repeated results (copies of a page count as one page of the host); a NULL page_id
     stays NULL; further columns are ignored; an empty table gives an empty result.
     """
-    templates = count_templates(pages, least_pages, share)
-    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"))
+    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host_of(F.col("url")).alias("host"), F.xxhash64(text_key(F.col("html"))).alias("page"))
+    templates = count_templates(source, least_pages, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
