@@ -79,3 +79,24 @@ def test_tables(docs):
     assert [(r.doc_id, r.spans) for r in got[2:]] == [(2, ""), (3, ""), (4, ""), (None, "")]
     assert c.find_personal_data(docs()).count() == 0
     assert c.find_personal_data(rows).count() == 6  # weights fitted on the rows themselves
+
+
+def added(text, w):
+    base = c.base_spans(text)
+    g = c.graph([text], [base])
+    return [(text[a:b], k) for a, b, k in c.added_spans(g, c.labels(g, w), [base], [text])[0]]
+
+
+def test_labels_reach_every_occurrence_of_a_key():
+    text = "call +1 (487) 555-7209 now" + "; later 487-555-7209 and more" * 40
+    unary = np.zeros((c.FEATURES, c.LABELS))
+    unary[0, 0] = 3.0  # by itself no token is anything
+    w = c.Weights(unary, np.zeros((c.LABELS,) * 2), 5 * np.eye(c.LABELS))
+    assert added(text, w) == [("487-555-7209", 3)] * 40 and not added(text.replace("+1", "1"), w)
+
+
+def test_message_passing_goes_on_until_it_settles():
+    n = 60
+    w = c.Weights(np.zeros((c.FEATURES, c.LABELS)), 6 * np.eye(c.LABELS), np.zeros((c.LABELS,) * 2))
+    g = chain_graph(np.zeros((n, c.FEATURES)), [2] + [0] * (n - 1), [(i, i + 1) for i in range(n - 1)], [(0, 1)])
+    assert c.labels(g, w).tolist() == [2] * n

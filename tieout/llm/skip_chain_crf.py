@@ -4,9 +4,10 @@ Base spans come from patterns with checks. Tokens that hold a digit or an at-sig
 random field over labels (none, email, ip, card, phone); all other tokens have the label none for
 certain, so they cut the chain and need no node. Neighbouring nodes share a chain potential; nodes
 whose keys agree (the same address, or the same last digits, whatever the separators) share a skip
-potential, each with the next node of the same key, so a document has at most two edges a node.
-Loopy message passing runs over all documents of a slice at once. Nodes inside base spans keep their
-label; a node that gets a label from them or from its own shape adds a span.
+potential with one hub for each key of a document, however far apart they are; a base span of the key
+fixes the label of its hub. Loopy message passing runs over all documents of a slice at once, until no
+message changes. Nodes inside base spans keep their label; a node that gets a label from them or from
+its own shape adds a span.
 
 The weights are trained by pseudo-likelihood on a bounded sample of documents whose labels are the
 base spans.
@@ -84,13 +85,18 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Graph(NamedTuple):
-    """Nodes of several documents: features, labels fixed by base spans, edges (chain and skip), places."""
+    """Nodes of several documents, then hubs: features, labels fixed by base spans, edges (chain and skip), places.
+
+    A hub stands for a key of a document: skip edges join it to every node of the key, and a base span
+    of the key fixes its label. ``pairs`` are consecutive occurrences of a key, for training.
+    """
 
     features: np.ndarray  # node x feature
     fixed: np.ndarray  # label of a base span, 0 otherwise
     chain: np.ndarray  # edges, two columns
     skip: np.ndarray
-    places: list[tuple[int, int, int]]  # document, start, end
+    places: list[tuple[int, int, int]]  # document, start, end; none for hubs
+    pairs: np.ndarray = np.zeros((0, 2), np.int64)
 
 
 FEATURES = 18
@@ -115,7 +121,7 @@ def key_of(core: str, digits: str) -> str | None:
 
 
 def graph(texts: list[str | None], spans: list[list[Span]]) -> Graph:
-    features, fixed, chain, skip, places = [], [], [], [], []
+    features, fixed, chain, pairs, hubs, places = [], [], [], [], [], []
     for doc, (text, own) in enumerate(zip(texts, spans)):
         last_end, at, keys = -1, 0, {}
         for token in TOKEN.finditer(text or ""):
@@ -135,12 +141,17 @@ def graph(texts: list[str | None], spans: list[list[Span]]) -> Graph:
             last_end = token.end()
             key = key_of(word, digits)
             if key is not None:
-                if key in keys:
-                    skip.append((keys[key], node))
-                keys[key] = node
+                keys.setdefault(key, []).append([node])
+        for places_of_key in keys.values():
+            if len(places_of_key) > 1:
+                pairs += [(x[-1], y[-1]) for x, y in zip(places_of_key, places_of_key[1:])]
+                hubs.append([node for nodes in places_of_key for node in nodes])
+    skip = [(node, len(places) + hub) for hub, nodes in enumerate(hubs) for node in nodes]
+    hub_labels = [next((fixed[node] for node in nodes if fixed[node]), 0) for nodes in hubs]
     return Graph(
-        np.array(features, np.float64).reshape(-1, FEATURES), np.array(fixed, np.int64), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), places
-    )
+        np.concatenate([np.array(features, np.float64).reshape(-1, FEATURES), np.zeros((len(hubs), FEATURES))]), np.array(fixed + hub_labels, np.int64),
+        np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), places, np.array(pairs, np.int64).reshape(-1, 2),
+    )
 
 
 class Weights(NamedTuple):
@@ -155,13 +166,14 @@ def train(g: Graph, steps: int = 1500, rate: float = 1.0, decay: float = 2e-4) -
     Each node counts again with its own features hidden, and once more with its chain hidden too, so
     that the chain and skip potentials learn what they alone tell; the third kind weighs as much as the first.
     """
-    n = len(g.fixed)
+    n = len(g.places)
+    g = g._replace(features=g.features[:n], fixed=g.fixed[:n])
     eye = np.eye(LABELS)
     inputs = [g.features, *(np.zeros((n, LABELS)) for _ in range(3))]  # features, left, right, skip neighbours
     np.add.at(inputs[1], g.chain[:, 1], eye[g.fixed[g.chain[:, 0]]])
     np.add.at(inputs[2], g.chain[:, 0], eye[g.fixed[g.chain[:, 1]]])
-    np.add.at(inputs[3], g.skip[:, 1], eye[g.fixed[g.skip[:, 0]]])
-    np.add.at(inputs[3], g.skip[:, 0], eye[g.fixed[g.skip[:, 1]]])
+    np.add.at(inputs[3], g.pairs[:, 1], eye[g.fixed[g.pairs[:, 0]]])
+    np.add.at(inputs[3], g.pairs[:, 0], eye[g.fixed[g.pairs[:, 1]]])
     w = Weights(np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
     if not n:
         return w
@@ -183,29 +195,44 @@ def train(g: Graph, steps: int = 1500, rate: float = 1.0, decay: float = 2e-4) -
     return w
 
 
-def labels(g: Graph, w: Weights, rounds: int = 10, damping: float = 0.3) -> np.ndarray:
-    """The most likely label of each node after loopy message passing (sum-product)."""
+def labels(g: Graph, w: Weights, rounds: int = 1000, damping: float = 0.3, tolerance: float = 1e-4) -> np.ndarray:
+    """The most likely label of each node after loopy message passing (sum-product).
+
+    A message is computed again as long as it or one that it depends on changes by more than
+    ``tolerance``. Damping grows every fifty rounds, so that cycles settle; ``rounds`` only ends a
+    field that does not settle even so.
+    """
     n = len(g.fixed)
     unary = g.features @ w.unary
     held = g.fixed > 0
-    unary[held] = -40.0
+    unary[held] = -1e6  # far below any sum of messages
     unary[held, g.fixed[held]] = 0.0
     edges = np.concatenate([g.chain, g.chain[:, ::-1], g.skip, g.skip[:, ::-1]])
     c, s = len(g.chain), len(g.skip)
     back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
-    pair = np.concatenate([np.broadcast_to(m, (k, LABELS, LABELS)) for m, k in ((w.chain, c), (w.chain.T, c), (w.skip, s), (w.skip.T, s))])
+    potentials = np.stack([w.chain, w.chain.T, w.skip, w.skip.T])
+    kind = np.repeat(np.arange(4), [c, c, s, s])
     sent = np.zeros((len(edges), LABELS))
-    belief = unary
-    for _ in range(rounds if len(edges) else 0):
-        before = belief[edges[:, 0]] - sent[back]
-        joint = before[:, :, None] + pair
+    belief = unary.copy()
+    active = np.arange(len(edges))
+    for turn in range(rounds):
+        if not len(active):
+            break
+        keep = min(0.95, damping + 0.05 * (turn // 50))
+        before = belief[edges[active, 0]] - sent[back[active]]
+        joint = before[:, :, None] + potentials[kind[active]]
         top = joint.max(1)
         new = top + np.log(np.exp(joint - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        sent = damping * sent + (1 - damping) * new
-        arrived = np.zeros((n, LABELS))
-        np.add.at(arrived, edges[:, 1], sent)
-        belief = unary + arrived
+        change = (1 - keep) * (new - sent[active])
+        sent[active] += change
+        np.add.at(belief, edges[active, 1], change)
+        moved = active[np.abs(change).max(1) > tolerance]
+        touched = np.zeros(n, bool)
+        touched[edges[moved, 1]] = True
+        again = touched[edges[:, 0]]
+        again[moved] = True
+        active = np.flatnonzero(again)
     return belief.argmax(1) if n else np.zeros(0, np.int64)
 
 
@@ -224,7 +251,8 @@ def added_spans(g: Graph, found: np.ndarray, spans: list[list[Span]], texts: lis
     out: list[list[Span]] = [[] for _ in spans]
     joined = {(int(a), int(b)) for a, b in g.chain}
     last = None
-    for node in np.flatnonzero((found > 0) & (g.fixed == 0)):
+    n = len(g.places)
+    for node in np.flatnonzero((found[:n] > 0) & (g.fixed[:n] == 0)):
         doc, start, end = g.places[node]
         kind = int(found[node]) - 1
         if any(a < end and b > start for a, b, _ in spans[doc]):
