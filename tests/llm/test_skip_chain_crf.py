@@ -100,3 +100,17 @@ def test_message_passing_goes_on_until_it_settles():
     w = c.Weights(np.zeros((c.FEATURES, c.LABELS)), 6 * np.eye(c.LABELS), np.zeros((c.LABELS,) * 2))
     g = chain_graph(np.zeros((n, c.FEATURES)), [2] + [0] * (n - 1), [(i, i + 1) for i in range(n - 1)], [(0, 1)])
     assert c.labels(g, w).tolist() == [2] * n
+
+
+def test_keys_join_tokens_across_white_space():
+    unary = np.zeros((c.FEATURES, c.LABELS))
+    unary[0, 0] = 3.0
+    w = c.Weights(unary, np.zeros((c.LABELS,) * 2), 5 * np.eye(c.LABELS))
+    assert added("call +1 555 123 4567 now, or 555-123-4567, or 555 123 4567 555 123 4567 or 12 items", w) == [("555-123-4567", 3), ("555 123 4567", 3), ("555 123 4567", 3)]
+    assert added("card 4111 1111 1111 1111 is 4111.1111.1111.1111 or 4111  1111  1111  1111 and 4111 pieces", w) == [("4111.1111.1111.1111", 2), ("4111  1111  1111  1111", 2)]
+    assert added("later 555 123 4567 and 123 4567", w) == []
+
+
+def test_runs_of_numbers_take_linear_time():
+    text = "+1 555 123 4567 " + "0 " * 100_000
+    c.graph([text], [c.base_spans(text)])

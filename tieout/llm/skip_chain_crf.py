@@ -2,7 +2,8 @@
 
 Base spans come from patterns with checks. Tokens that hold a digit or an at-sign are the nodes of a
 random field over labels (none, email, ip, card, phone); all other tokens have the label none for
-certain, so they cut the chain and need no node. Neighbouring nodes share a chain potential; nodes
+certain, so they cut the chain and need no node. A base span, and a run of neighbouring number tokens
+that repeats a number of the document, give their nodes one key from all their digits. Neighbouring nodes share a chain potential; nodes
 whose keys agree (the same address, or the same last digits, whatever the separators) share a skip
 potential with one hub for each key of a document, however far apart they are; a base span of the key
 fixes the label of its hub. Loopy message passing runs over all documents of a slice at once, until no
@@ -97,6 +98,7 @@ class Graph(NamedTuple):
     skip: np.ndarray
     places: list[tuple[int, int, int]]  # document, start, end; none for hubs
     pairs: np.ndarray = np.zeros((0, 2), np.int64)
+    starts: set[int] | frozenset[int] = frozenset()  # nodes at which a run of number tokens begins
 
 
 FEATURES = 18
@@ -121,9 +123,9 @@ def key_of(core: str, digits: str) -> str | None:
 
 
 def graph(texts: list[str | None], spans: list[list[Span]]) -> Graph:
-    features, fixed, chain, pairs, hubs, places = [], [], [], [], [], []
+    features, fixed, chain, pairs, hubs, places, starts = [], [], [], [], [], [], set()
     for doc, (text, own) in enumerate(zip(texts, spans)):
-        last_end, at, keys = -1, 0, {}
+        last_end, at, first, words, linked, covered = -1, 0, len(places), [], [], {}
         for token in TOKEN.finditer(text or ""):
             core = CORE.search(token[0])
             start, end = (token.start() + core.start(), token.start() + core.end()) if core else token.span()
@@ -132,28 +134,82 @@ def graph(texts: list[str | None], spans: list[list[Span]]) -> Graph:
             while at < len(own) and own[at][1] <= start:
                 at += 1
             node = len(places)
-            inside = next((k + 1 for a, b, k in own[at : at + 4] if a < end and b > start), 0)
+            around = [s for s in own[at : at + 4] if s[0] < end and s[1] > start]
+            for s in around:
+                covered.setdefault(s, []).append(node)
             features.append(shape(word, digits))
-            fixed.append(inside)
+            fixed.append(around[0][2] + 1 if around else 0)
             places.append((doc, start, end))
-            if last_end >= 0 and text[last_end : token.start()].isspace():
+            words.append((word, digits))
+            linked.append(last_end >= 0 and text[last_end : token.start()].isspace())
+            if linked[-1]:
                 chain.append((node - 1, node))
             last_end = token.end()
-            key = key_of(word, digits)
-            if key is not None:
-                keys.setdefault(key, []).append([node])
-        for places_of_key in keys.values():
-            if len(places_of_key) > 1:
-                pairs += [(x[-1], y[-1]) for x, y in zip(places_of_key, places_of_key[1:])]
-                hubs.append([node for nodes in places_of_key for node in nodes])
+        keys, begun = occurrences(text or "", first, words, linked, fixed, covered)
+        starts |= begun
+        for found in keys.values():
+            if len(found) > 1:
+                pairs += [(x[-1], y[-1]) for x, y in zip(found, found[1:])]
+                hubs.append([node for nodes in found for node in nodes])
     skip = [(node, len(places) + hub) for hub, nodes in enumerate(hubs) for node in nodes]
     hub_labels = [next((fixed[node] for node in nodes if fixed[node]), 0) for nodes in hubs]
     return Graph(
         np.concatenate([np.array(features, np.float64).reshape(-1, FEATURES), np.zeros((len(hubs), FEATURES))]), np.array(fixed + hub_labels, np.int64),
-        np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), places, np.array(pairs, np.int64).reshape(-1, 2),
+        np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2), places, np.array(pairs, np.int64).reshape(-1, 2), starts,
     )
 
 
+def occurrences(text: str, first: int, words: list[tuple[str, str]], linked: list[bool], fixed: list[int], covered: dict[Span, list[int]]) -> tuple[dict[str, list[list[int]]], set[int]]:
+    """The nodes of every occurrence of each key of a document, in text order, and the first nodes of runs.
+
+    A key comes from a base span, a token, or a run of neighbouring number tokens whose digits end a
+    number that the document holds as a base span or a token.
+    """
+    found: list[tuple[str, list[int]]] = []
+    numbers: dict[str, set[str]] = {}
+    spanned = {}  # node: keys of its base spans
+
+    def add(key: str, nodes: list[int], word: str, digits: str) -> None:
+        found.append((key, nodes))
+        if "@" not in word and not (word.count(".") == 3 and len(digits) < 14):
+            numbers.setdefault(key, set()).add(digits)
+
+    for (a, b, _), nodes in covered.items():
+        digits = DIGITS.sub("", text[a:b])
+        key = key_of(text[a:b], digits)
+        if key is not None:
+            add(key, nodes, text[a:b], digits)
+            for node in nodes:
+                spanned.setdefault(node, set()).add(key)
+    for node, (word, digits) in enumerate(words, first):
+        key = key_of(word, digits)
+        if key is not None and key not in spanned.get(node, ()):
+            add(key, [node], word, digits)
+    starts = set()
+    free = first  # the first node that no run holds
+    for end in range(first + 1, first + len(words)) if numbers else ():
+        digits, best, node = "", None, end
+        while node >= free and not fixed[node] and "@" not in words[node - first][0] and not any(ch.isalpha() for ch in words[node - first][0]):
+            digits = words[node - first][1] + digits
+            if len(digits) > 19:
+                break
+            if node < end and len(digits) >= 7:
+                key = digits if len(digits) > 13 else digits[-7:]
+                if any(n.endswith(digits) for n in numbers.get(key, ())):
+                    best = key, node
+            if not linked[node - first]:
+                break
+            node -= 1
+        if best is not None:
+            found.append((best[0], list(range(best[1], end + 1))))
+            starts.add(best[1])
+            free = end + 1
+    keys: dict[str, list[list[int]]] = {}
+    for key, nodes in sorted(found, key=lambda f: f[1][0]):
+        keys.setdefault(key, []).append(nodes)
+    return keys, starts
+
+
 class Weights(NamedTuple):
     unary: np.ndarray  # feature x label
     chain: np.ndarray  # label x label
@@ -247,7 +303,7 @@ def plausible(word: str, kind: int) -> bool:
 
 
 def added_spans(g: Graph, found: np.ndarray, spans: list[list[Span]], texts: list[str | None]) -> list[list[Span]]:
-    """Spans of nodes with a label outside base spans; the parts of a phone number join across white space."""
+    """Spans of nodes with a label outside base spans; the parts of a phone or card number join across white space."""
     out: list[list[Span]] = [[] for _ in spans]
     joined = {(int(a), int(b)) for a, b in g.chain}
     last = None
@@ -258,7 +314,8 @@ def added_spans(g: Graph, found: np.ndarray, spans: list[list[Span]], texts: lis
         if any(a < end and b > start for a, b, _ in spans[doc]):
             continue
         mine = out[doc]
-        if mine and last == node - 1 and (last, node) in joined and mine[-1][2] == kind == KINDS.index("phone"):
+        parts = kind == KINDS.index("phone") or kind == KINDS.index("card") and len(DIGITS.sub("", texts[doc][start:end])) < 13
+        if mine and last == node - 1 and node not in g.starts and (last, node) in joined and mine[-1][2] == kind and parts:
             mine[-1] = (mine[-1][0], end, kind)
         else:
             mine.append((start, end, kind))
