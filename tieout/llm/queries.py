@@ -16,6 +16,7 @@ from tieout.llm.shard_packing import shard
 from tieout.llm.site_template import extract_main_text
 from tieout.llm.skip_chain_crf import find_personal_data
 from tieout.llm.telephony import UNIT, telephony
+from tieout.llm.token_alignment import align
 from tieout.llm.token_counts import count_tokens
 from tieout.llm.warc_segments import archive_pages
 
@@ -152,3 +153,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("piece_bpe_32k.model"))
