@@ -12,6 +12,7 @@ from tieout.llm.common import folder, table
 from tieout.llm.decontaminate import find_contamination
 from tieout.llm.mixing import mix
 from tieout.llm.ngram_join import near_duplicates
+from tieout.llm.periodic_runs import find_runs, repeating
 from tieout.llm.shard_packing import shard
 from tieout.llm.site_template import extract_main_text
 from tieout.llm.skip_chain_crf import find_personal_data
@@ -160,3 +161,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, vocabulary("piece_bpe_32k.model"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_runs(table(spark, sf_dir, "documents"), repeating)
