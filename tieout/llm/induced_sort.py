@@ -50,10 +50,19 @@ class DiskQueues:
         return np.fromfile(self.file, np.int64, block[1]), np.fromfile(self.file, np.int16, block[1])
 
     def pop(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Blocks from the front until the queue is empty, those that are pushed meanwhile included; they stay readable."""
-        n = 0
-        while n < len(self.blocks[byte]):
-            yield self._read(self.blocks[byte][n])
+        """Blocks from the front until the queue is empty, those that are pushed meanwhile included; they stay readable.
+
+        Small blocks that wait in memory are joined first.
+        """
+        n, blocks = 0, self.blocks[byte]
+        while n < len(blocks):
+            end, size = n, 0
+            while end < len(blocks) and isinstance(blocks[end][0], np.ndarray) and size + len(blocks[end][0]) <= BLOCK:
+                size += len(blocks[end][0])
+                end += 1
+            if end > n + 1:
+                blocks[n:end] = [tuple(map(np.concatenate, zip(*blocks[n:end])))]
+            yield self._read(blocks[n])
             n += 1
 
     def backwards(self, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,7 +79,7 @@ class Scan:
 
     def __init__(self, text: np.ndarray, wanted: np.ndarray, depth: int):
         self.text, self.wanted, self.depth = text, wanted, depth
-        self.since = np.zeros(256, np.int16)  # nothing before the first push
+        self.since = np.full(256, -1, np.int16)  # before the first push, so that its common prefix is 0
 
     def induce(self, suffix: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(byte, suffixes, common prefixes) to push, one step to the left of ``suffix``; ``wanted`` marks their type."""

@@ -13,6 +13,7 @@ from tieout.llm.decontaminate import find_contamination
 from tieout.llm.mixing import mix
 from tieout.llm.ngram_join import near_duplicates
 from tieout.llm.periodic_runs import find_runs, repeating
+from tieout.llm.repeated_bytes import remove_repeats
 from tieout.llm.shard_packing import shard
 from tieout.llm.site_template import extract_main_text
 from tieout.llm.skip_chain_crf import find_personal_data
@@ -166,3 +167,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_runs(table(spark, sf_dir, "documents"), repeating)
+
+
+@query("op11_repeated_bytes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
