@@ -407,7 +407,7 @@ WALK = {ON_BLANK: [1, 1, 2, 2], BEFORE_BLANK: [1, 2, 2, 2], BEHIND_BLOCK: [0, 1,
 def _blank_groups(rows: DataFrame) -> DataFrame:
     """Every blank row with the rows behind it; run 0 holds the rows before the first blank.
 
-    Columns: n (rows behind), total, first_row, first_value, last_value.
+    Columns: n (rows behind), total, first_row, first_value, last_value, last_row, blank_row.
     """
     blank = (F.trim(F.coalesce("label", F.lit(""))) == "") & F.col("value").isNull()
     slim = rows.select(*TABLE_KEY, "row_idx", "value", blank.alias("_blank"))
@@ -416,35 +416,55 @@ def _blank_groups(rows: DataFrame) -> DataFrame:
     return r.groupBy(*TABLE_KEY, "run").agg(
         F.count(filled).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min(filled).alias("first_row"),
         F.min_by("value", filled).alias("first_value"), F.max_by("value", filled).alias("last_value"),
+        F.max(filled).alias("last_row"), F.min(F.when(F.col("_blank"), F.col("row_idx"))).alias("blank_row"),
     )
 
 
-def block_walk(rows: DataFrame) -> DataFrame:
+def _entered(chunks: DataFrame, begin: str) -> DataFrame:
+    """The state in which the walk enters each chunk: maps of chunks are composed per span of WALK_CHUNK chunks,
+    spans are chained per table, then the chunks of each span."""
+    pair = lambda name: F.sort_array(F.collect_list(F.struct(name, "through")))
+    spans = chunks.withColumn("span", F.expr(f"chunk div {WALK_CHUNK}")).groupBy(*TABLE_KEY, "span").agg(
+        pair("chunk").alias("inner"), F.min_by("first_run", "chunk").alias("first_run")
+    ).withColumn("through", F.expr("aggregate(inner, array(0, 1, 2), (m, x) -> transform(m, s -> element_at(x.through, s + 1)))"))
+    chain = lambda items, start: (
+        f"aggregate({items}, array({start}), (e, x) -> concat(e, array(element_at(x.through, element_at(e, -1) + 1))))"
+    )
+    tables = spans.groupBy(*TABLE_KEY).agg(pair("span").alias("outer"), F.min("first_run").alias("first_run"))
+    tops = tables.select(*TABLE_KEY, F.expr(f"arrays_zip(transform(outer, x -> x.span), slice({chain('outer', begin)}, 1, size(outer)))").alias("z"))
+    tops = tops.select(*TABLE_KEY, F.inline("z").alias("span", "start"))
+    inside = spans.join(tops, [*TABLE_KEY, "span"]).select(
+        *TABLE_KEY, F.expr(f"arrays_zip(transform(inner, x -> x.chunk), slice({chain('inner', 'start')}, 1, size(inner)))").alias("z")
+    )
+    return inside.select(*TABLE_KEY, F.inline("z").alias("chunk", "enter"))
+
+
+def block_walk(rows: DataFrame, on_first: bool = False, edges: bool = False) -> DataFrame:
     """All blocks that a walk from blank row to blank row visits, above the table's last row.
 
     A blank closes a block that has a row; the row behind it is the block's sub-total and the next
     block begins behind that. A block of one row (a blank row may be that row) is not compared, and the
     next block begins with the blank that closed it. The walk has three states and its steps depend on
     row counts only, so chunks of blanks are composed as maps of states, chunk maps are chained per
-    table, and every chunk is then walked from its own entry state.
+    table, and every chunk is then walked from its own entry state. The walk begins in front of the first
+    row, or on it (a blank row) with ``on_first``.
 
     Columns: block, n_details, n_counted (a leading blank included), sum_details, compared, subtotal_row,
-    subtotal (NULL where that row is blank), ok.
+    subtotal (NULL where that row is blank), ok; with ``edges`` also start_row (where the walk stands), end_row
+    (the blank or last row that closes the block) and the rows from_row to to_row of its details.
     """
     groups = _blank_groups(rows).withColumn("chunk", F.expr(f"run div {WALK_CHUNK}"))
-    item = F.struct("run", "n", "total", "first_row", "first_value", "last_value")
-    # read twice below, and small: one row per WALK_CHUNK blank rows
+    item = F.struct("run", "n", "total", "first_row", "first_value", "last_value", "last_row", "blank_row")
+    # read three times below, and small: one row per WALK_CHUNK blank rows
     chunks = checkpoint(groups.groupBy(*TABLE_KEY, "chunk").agg(F.sort_array(F.collect_list(item)).alias("items")))
     table = "array(" + ", ".join("array(" + ", ".join(map(str, WALK[k])) + ")" for k in range(3)) + ")"
     step = f"element_at(element_at({table}, s + 1), cast(least(x.n, 3) AS int) + 1)"
     chunks = chunks.withColumn("through", F.expr(f"aggregate(items, array(0, 1, 2), (m, x) -> transform(m, s -> {step}))"))
-    heads = chunks.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(F.struct("chunk", "through", F.col("items")[0].alias("head")))).alias("c"))
-    # the walk begins in front of the first row: on a blank if rows come first, else before the blank
-    begin = f"IF(c[0].head.run = 0, {ON_BLANK}, {BEFORE_BLANK})"
-    enters = f"aggregate(c, array({begin}), (e, x) -> concat(e, array(element_at(x.through, element_at(e, -1) + 1))))"
-    heads = heads.withColumn("enters", F.expr(enters)).select(*TABLE_KEY, F.posexplode("c"), "enters", "c")
-    heads = heads.select(*TABLE_KEY, F.col("col.chunk").alias("chunk"), F.expr("enters[pos]").alias("enter"), F.expr("get(c, pos + 1).head").alias("behind"))
-    walked = chunks.join(heads, [*TABLE_KEY, "chunk"]).withColumn(
+    # in front of the first row the walk stands on a blank if rows come first, else before the blank
+    begin = str(ON_BLANK) if on_first else f"IF(first_run = 0, {ON_BLANK}, {BEFORE_BLANK})"
+    entered = _entered(chunks.select(*TABLE_KEY, "chunk", "through", F.expr("items[0].run").alias("first_run")), begin)
+    behind = chunks.select(*TABLE_KEY, (F.col("chunk") - 1).alias("chunk"), F.expr("items[0]").alias("behind"))
+    walked = chunks.join(entered, [*TABLE_KEY, "chunk"]).join(behind, [*TABLE_KEY, "chunk"], "left").withColumn(
         "states", F.expr(f"aggregate(items, array(enter), (e, x) -> concat(e, transform(array(element_at(e, -1)), s -> {step})))")
     )
     each = walked.select(*TABLE_KEY, F.posexplode("items").alias("pos", "g"), "states", "items", "behind").select(
@@ -458,11 +478,16 @@ def block_walk(rows: DataFrame) -> DataFrame:
     without = F.when(cut == 1, F.coalesce("last_value", zero)).otherwise(0.0) + F.when(led == 1, F.coalesce("first_value", zero)).otherwise(0.0)
     counted = details + (F.col("state") == BEFORE_BLANK).cast("int")
     compared = (counted >= 2) & ~F.col("last")
+    start = F.col("blank_row") + F.when(F.col("state") == ON_BLANK, 0).when(F.col("state") == BEFORE_BLANK, -1).otherwise(1)
+    bounds = [
+        F.coalesce(start, F.col("first_row") - 1).alias("start_row"), F.when(F.col("last"), F.coalesce("last_row", "blank_row")).otherwise(F.col("nxt.blank_row")).alias("end_row"),
+        F.when(details > 0, F.col("first_row") + led).alias("from_row"), F.when(details > 0, F.col("last_row") - cut).alias("to_row"),
+    ]
     out = each.select(
         *TABLE_KEY, F.col("run").alias("block"), details.alias("n_details"), counted.alias("n_counted"),
         F.when(details == 0, 0.0).otherwise(F.round(F.coalesce("total", zero) - without, 4)).alias("sum_details"),
         compared.alias("compared"), F.when(compared, F.col("nxt.first_row")).alias("subtotal_row"), F.when(compared, F.col("nxt.first_value")).alias("subtotal"),
-        (F.col("last") & (F.col("n") == 0)).alias("_end"),
+        (F.col("last") & (F.col("n") == 0)).alias("_end"), *(bounds if edges else []),
     )
     ok = F.abs(F.round(F.col("sum_details") - F.col("subtotal"), 4)) <= 0.5
     return out.where((F.col("n_counted") >= 1) & ~F.col("_end")).drop("_end").withColumn("ok", ok)
