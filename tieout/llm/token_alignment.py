@@ -15,6 +15,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,11 @@ class Tokenizers:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, text: str) -> tuple[list[int], list[int], bool]:
-        """(A ids, B ids, whether both join to space and ``text``)."""
-        ids_a, ids_b = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
+    def encode(self, words: list[str]) -> tuple[list[int], list[int], bool]:
+        """(A ids, B ids, whether both join to the words, each behind a space); B slows down on long texts."""
+        text = " ".join(words)
+        ids_a = self.a.encode_ordinary(" " + text)
+        ids_b = list(chain.from_iterable(self.b.encode([" ".join(words[i : i + 300]) for i in range(0, len(words), 300)], num_threads=1)))
         want = (" " + text).encode()
         exact = b"".join(map(self.bytes_a.__getitem__, ids_a)) == want and b"".join(map(self.bytes_b.__getitem__, ids_b)) == want
         return ids_a, ids_b, exact
@@ -66,10 +69,13 @@ def words_of(text: str) -> list[str]:
 
 
 class WordTable:
-    """Aligned words: numbers per word, pairs of all words in one row of arrays; emptied when it holds too much."""
+    """Aligned words: numbers per word, pairs of all words in one row of arrays; emptied when it holds too much.
 
-    def __init__(self, tokenizers: Tokenizers, held: int = HELD_WORDS):
-        self.tokenizers, self.held = tokenizers, held
+    The groups are written out only if ``spelled``.
+    """
+
+    def __init__(self, tokenizers: Tokenizers, held: int = HELD_WORDS, spelled: bool = True):
+        self.tokenizers, self.held, self.spelled = tokenizers, held, spelled
         self.clear()
 
     def clear(self) -> None:
@@ -93,13 +99,12 @@ class WordTable:
             new = sorted(words)
         plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         if plain:
-            text = " ".join(plain)
-            ids_a, ids_b, exact = self.tokenizers.encode(text)
+            ids_a, ids_b, exact = self.tokenizers.encode(plain)
             if exact:
                 self._align(plain, ids_a, ids_b)
         for w in new:
             if w not in self.ids:
-                ids_a, ids_b, exact = self.tokenizers.encode(w)
+                ids_a, ids_b, exact = self.tokenizers.encode([w])
                 if not exact:
                     self.inexact.add(len(self.ids))
                     ids_a, ids_b = [], []
@@ -123,6 +128,11 @@ class WordTable:
         tall = np.stack([words_a, words_b, group_w, words_n], 1)
         self.counts.append(np.diff(tall, axis=0, prepend=np.zeros((1, 4), np.int64)))
         self.pairs.append(links)
+        if not self.spelled:
+            self.ids.update(zip(words, range(len(self.groups), len(self.groups) + len(words))))
+            self.groups += [""] * len(words)
+            self.bytes += int(end_w[-1])
+            return
         text_a, text_b = list(map(str, ids_a)), list(map(str, ids_b))
         texts, i, j = [], 0, 0
         for x, y in zip(group_a.tolist(), group_b.tolist()):
@@ -146,7 +156,7 @@ class Slice:
         if table.inexact:
             ids = [[] if not table.inexact.isdisjoint(x) else x for x in ids]
         self.ids = ids
-        self.words = np.fromiter((i for x in ids for i in x), np.int64)
+        self.words = np.fromiter(chain.from_iterable(ids), np.int64)
         self.doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
         self.size = len(ids)
 
@@ -205,7 +215,7 @@ def align(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, block
     )
 
     def collect_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, waiting, size = shared_table(sent.value), PairCounts(), [], 0
+        table, seen, waiting, size = shared_table(sent.value, False), PairCounts(), [], 0
         for batch in batches:
             for _, texts in slices(batch):
                 found = pairs_per_document(Slice(table, texts), table)
@@ -248,15 +258,15 @@ def align(docs: DataFrame, ranks_path: str, pattern: str, model_path: str, block
     return every.groupBy("file", "row").agg(*whole, *sums, F.max("groups_sha256").alias("groups_sha256")).drop("file", "row")
 
 
-_TABLES: dict[int, WordTable] = {}
+_TABLES: dict[tuple[int, bool], WordTable] = {}
 
 
-def shared_table(vocabularies: tuple[bytes, str, bytes]) -> WordTable:
+def shared_table(vocabularies: tuple[bytes, str, bytes], spelled: bool) -> WordTable:
     """The word table of this worker process, kept from task to task."""
-    key = hash(vocabularies)
+    key = hash(vocabularies), spelled
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = WordTable(Tokenizers(*vocabularies))
+        _TABLES[key] = WordTable(Tokenizers(*vocabularies), spelled=spelled)
     return _TABLES[key]
 
 
@@ -265,7 +275,7 @@ def looked_up(narrow: DataFrame, sent, counted, first: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, counts, highest = counted.value
-        table = shared_table(sent.value)
+        table = shared_table(sent.value, True)
         scored, best, total, filled = None, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         for batch in batches:
             at = 0
