@@ -318,3 +318,218 @@ FORM_3 = [
     "share capital", "contributed capital",
 ]
 FORMS = [("1", FORM_1), ("1A", FORM_1A), ("1B", FORM_1B), ("2", FORM_2), ("3", FORM_3)]
+
+# --- tie-outs that start from note cells -------------------------------------------
+# Terms of headings without a total-only check; words of rows and columns that notes are read by.
+RELATED_PARTY_TERMS = ["related parties", "related party", "related companies", "related company"]
+COLUMN_WORDS = ["cost", "allowance", "carrying", "carrying amount", "carrying amounts", "quantity"]
+EQUITY_ACCOUNTS = [
+    ("contributed capital", "411"), ("share capital", "411"), ("capital surplus", "412"), ("share premium", "412"), ("convertible bonds", "413"),
+    ("other capital", "414"), ("own shares", "415"), ("revaluation", "416"), ("exchange differences", "417"), ("investment", "418"),
+    ("developement", "418"), ("other equity funds", "419"), ("retained profits", "420"), ("accumulated losses", "420"), ("non-controlling interest", "429"),
+]
+
+# The branch a note takes, first match first: (branch, groups, match, words). M: several sub-totals, S: one or
+# none, Z: no figure above the total row. match exact or any: one of the words; all: every word; form: a list of FORMS, with all words.
+NOTE_BRANCHES = [
+    ("total only", "Z", "any", [""]),
+    ("m held to maturity", "M", "any", ["held-to-maturity investments"]),
+    ("m bcc", "M", "any", ["other parties under bcc contracts"]),
+    ("m equity", "M", "any", ["changes in owners’ equity"]),
+    ("m capital", "M", "any", ["share capital", "business segments"]),
+    ("m convertible", "M", "any", ["convertible bonds"]),
+    ("m preference", "M", "any", ["preference shares"]),
+    ("m straight bonds", "M", "any", ["straight bonds and bonds convertible to a variable number of shares"]),
+    ("m bad debts", "M", "any", ["bad and doubtful debts"]),
+    ("m deferred tax", "M", "form 1A", ["recognised deferred tax"]),
+    ("m contracts payable", "M", "form 1A", ["payables on construction contracts"]),
+    ("m contracts receivable", "M", "form 1A", ["construction contracts"]),
+    ("m accrued short", "M", "exact", ["accrued expenses – short-term"]),
+    ("m accrued long", "M", "exact", ["accrued expenses – long-term"]),
+    ("m deferred revenue long", "M", "exact", ["deferred revenue – long-term"]),
+    ("m grand total", "M", "form 1A", [""]),
+    ("m first sub-total", "M", "form 1B", [""]),
+    ("m biological short", "M", "exact", ["biological assets – short-term"]),
+    ("m biological long", "M", "form 2", ["biological assets – long-term"]),
+    ("m revenue", "M", "form 2", [""]),
+    ("m receivables by customer", "M", "all", ["accounts receivable from customers", "by significant customer"]),
+    ("m borrowings long", "M", "any", ["long-term borrowing", "long-term bond"]),
+    ("m provisions long", "M", "exact", ["long-term provisions"]),
+    ("m provisions short", "M", "any", ["provisions"]),
+    ("m other", "M", "any", [""]),
+    ("s acquisition", "S", "form 3", ["acquisition of subsidiary"]),
+    ("s trading", "S", "exact", ["trading securities"]),
+    ("s held to maturity", "S", "form 3", ["held-to-maturity investments"]),
+    ("s other entities", "S", "exact", ["equity investments in other entity", "equity investments in other entities"]),
+    ("s receivables by customer", "S", "form 3", ["accounts receivable from customers", "by significant customer"]),
+    ("s receivables by term", "S", "form 3", ["accounts receivable from customers", "by payment term"]),
+    ("s other receivables long", "S", "form 3", ["other", "receivables", "long-term"]),
+    ("s other receivables", "S", "form 3", ["other", "receivables"]),
+    ("s bad debts", "S", "exact", ["bad and doubtful debts"]),
+    ("s shortage", "S", "exact", ["shortage of assets awaiting resolution"]),
+    ("s inventories", "S", "exact", ["inventories"]),
+    ("s biological short", "S", "exact", ["biological assets – short-term"]),
+    ("s biological long", "S", "form 3", ["biological assets – long-term"]),
+    ("s construction", "S", "exact", ["construction in progress"]),
+    ("s movement", "S", "exact", ["investment property held for capital appreciation", "long-term deferred expenses"]),
+    ("s work in progress", "S", "exact", ["long-term work in progress"]),
+    ("s payables", "S", "form 3", ["accounts payable to suppliers"]),
+    ("s taxes", "S", "form 3", ["taxes"]),
+    ("s borrowings short", "S", "form 3", ["short-term borrowing"]),
+    ("s bonds short", "S", "form 3", ["short-term bond"]),
+    ("s provisions long", "S", "exact", ["long-term provisions"]),
+    ("s provisions short", "S", "form 3", ["provisions"]),
+    ("s none", "S", "form 3", [""]),
+    ("s payables by supplier", "S", "all", ["accounts payable to suppliers", "by significant"]),
+    ("s payables by term", "S", "all", ["accounts payable to suppliers", "by payment"]),
+    ("s accrued short", "S", "exact", ["accrued expenses – short-term"]),
+    ("s accrued long", "S", "exact", ["accrued expenses – long-term"]),
+    ("s deferred revenue long", "S", "exact", ["deferred revenue – long-term"]),
+    ("s disposals", "S", "any", ["sales or disposals of investment"]),
+    ("s administration", "S", "any", ["general and administration"]),
+    ("s standard", "S", "any", [""]),
+]
+
+_SHORT_AR, _LONG_AR = "accounts receivable from customers", "accounts receivable from customers – long-term"
+_SHORT_AP, _LONG_AP = "accounts payable to suppliers", "long-term accounts payable to suppliers"
+_SHORT_BAD, _LONG_BAD = "allowance for doubtful debts", "allowance for doubtful long-term debts"
+_ONE_TIME, _SEASONAL = "livestock producing one-time products – long-term", "seasonal crops or plants producing one-time products – long-term"
+_IMPAIRED = "allowance for impairment of biological assets – long-term"
+
+# What a branch ties out: (branch, choice, rank, test, need, lack, mark, row, column, account, sign, once).
+# Of one choice, the first row applies whose test holds, whose account `need` has a fact as of the note, whose account
+# `lack` has none, and whose account `mark` (+ or -) was checked before or not. account '': the heading.
+TIE_OUT_PLAN = [
+    ("total only", 1, 1, "", "", "", "", "total", "period", "", 1, True),
+    ("m held to maturity", 1, 1, "", "", "", "", "T1", "cost", "123", 1, True),
+    ("m held to maturity", 2, 1, "", "", "", "", "TL", "cost", "265", 1, True),
+    ("m held to maturity", 3, 1, "", "", "", "", "T1", "allowance", "124", -1, True),
+    ("m held to maturity", 4, 1, "", "", "", "", "TL", "allowance", "266", -1, True),
+    ("m convertible", 1, 1, "", "", "", "", "after|T1", "last but one", "", 1, False),
+    ("m preference", 1, 1, "", "", "", "", "after|T1", "last", "", 1, False),
+    ("m bad debts", 1, 1, "short priced", "", "", "", "short", "allowance", _SHORT_BAD, -1, False),
+    ("m bad debts", 1, 2, "short", "", "", "", "short", "period", _SHORT_BAD, 1, False),
+    ("m bad debts", 1, 3, "priced", "", _LONG_BAD, "", "TL", "allowance", _SHORT_BAD, -1, False),
+    ("m bad debts", 1, 4, "", "", _LONG_BAD, "", "TL", "period", _SHORT_BAD, 1, False),
+    ("m bad debts", 2, 1, "long priced", "", "", "", "long", "allowance", _LONG_BAD, -1, False),
+    ("m bad debts", 2, 2, "long", "", "", "", "long", "period", _LONG_BAD, 1, False),
+    ("m bad debts", 2, 3, "priced", "", _SHORT_BAD, "", "TL", "allowance", _LONG_BAD, -1, False),
+    ("m bad debts", 2, 4, "", "", _SHORT_BAD, "", "TL", "period", _LONG_BAD, 1, False),
+    ("m deferred tax", 1, 1, "", "", "", "", "G", "period", "Net_DTA_DTL", 1, True),
+    ("m deferred tax", 2, 1, "rows left", "", "", "", "long-term assets", "period", "deferred tax assets", 1, True),
+    ("m deferred tax", 3, 1, "rows left", "", "", "", "long-term liabilities", "period", "deferred tax liabilities", -1, True),
+    ("m contracts payable", 1, 1, "", "", "", "", "G", "period", "", -1, True),
+    ("m contracts receivable", 1, 1, "", "", "", "", "G", "period", "", 1, True),
+    ("m accrued short", 1, 1, "", "", "", "", "G", "period", "accrued expenses", 1, True),
+    ("m accrued long", 1, 1, "", "", "", "", "G", "period", "long-term accrued expenses", 1, True),
+    ("m deferred revenue long", 1, 1, "", "", "", "", "G", "period", "long-term deferred revenue", 1, True),
+    ("m grand total", 1, 1, "", "", "", "", "G", "period", "", 1, True),
+    ("m first sub-total", 1, 1, "", "", "", "", "T1", "period", "", 1, True),
+    ("m biological short", 1, 1, "", "", "", "", "T1", "cost", "151", 1, True),
+    ("m biological short", 2, 1, "", "", "", "", "T2", "cost", "152", 1, True),
+    ("m biological short", 3, 1, "", "", "", "", "G", "allowance", "153", 1, True),
+    ("m biological long", 1, 1, "", _ONE_TIME, "", "", "T1", "cost", _ONE_TIME, 1, True),
+    ("m biological long", 2, 1, "two or three", _SEASONAL, "", "", "TP", "cost", _SEASONAL, 1, True),
+    ("m biological long", 3, 1, "two or three", "immature livestock producing periodic products", "", "", "TL", "cost", "immature livestock producing periodic products", 1, True),
+    ("m biological long", 4, 1, "", "", "", "", "G", "allowance", _IMPAIRED, 1, True),
+    ("m revenue", 1, 1, "", "", "", "", "T1", "period", "", 1, True),
+    ("m revenue", 2, 1, "", "", "", "", "T2", "period", "revenue deductions", -1, True),
+    ("m revenue", 3, 1, "", "", "", "", "G", "period", "10", 1, True),
+    ("m receivables by customer", 1, 1, "", "", _LONG_AR, "", "G", "carrying amount", _SHORT_AR, 1, True),
+    ("m receivables by customer", 1, 2, "", "", _SHORT_AR, "", "G", "carrying amount", _LONG_AR, 1, True),
+    ("m receivables by customer", 1, 3, "", "", "", "", "G", "carrying amount", "accounts receivable from customers-combined", 1, True),
+    ("m borrowings long", 1, 1, "", "", "", "", "G", "carrying", "", 1, True),
+    ("m provisions long", 1, 1, "", "", "", "", "G|opening", "last", "provisions – long-term", 1, True),
+    ("m provisions short", 1, 1, "", "", "", "", "G|opening", "last", "provisions – short-term", 1, True),
+    ("s trading", 1, 1, "", "", "", "", "T1", "cost", "", 1, True),
+    ("s trading", 2, 1, "", "", "", "", "T1", "allowance", "allowance for diminution in the value of trading securities", -1, True),
+    ("s held to maturity", 1, 1, "any short", "", "", "", "T1", "cost", "123", 1, True),
+    ("s held to maturity", 1, 2, "", "", "", "", "T1", "cost", "265", 1, True),
+    ("s held to maturity", 2, 1, "any short", "", "", "", "T1", "allowance", "124", -1, True),
+    ("s held to maturity", 2, 2, "", "", "", "", "T1", "allowance", "266", -1, True),
+    ("s other entities", 1, 1, "", "", "", "", "T1", "cost", "investments in other entities", 1, False),
+    ("s other entities", 2, 1, "", "", "", "", "T1", "carrying amounts", "investments in other entities", 1, False),
+    ("s other entities", 3, 1, "", "", "", "", "T1", "allowance", "264", -1, False),
+    ("s receivables by customer", 1, 1, "", "", _LONG_AR, "", "T1", "carrying amount", _SHORT_AR, 1, True),
+    ("s receivables by customer", 1, 2, "", "", _SHORT_AR, "", "T1", "carrying amount", _LONG_AR, 1, True),
+    ("s receivables by customer", 1, 3, "", "", "", "", "T1", "carrying amount", "accounts receivable from customers-combined", 1, True),
+    ("s receivables by term", 1, 1, "", "", "", "", "short or first", "carrying amount", _SHORT_AR, 1, True),
+    ("s receivables by term", 2, 1, "", "", "", "", "long or first", "carrying amount", _LONG_AR, 1, True),
+    ("s other receivables long", 1, 1, "", "", "", "", "T1", "carrying amount", "other long-term receivables", 1, True),
+    ("s other receivables", 1, 1, "", "", "", "+other short-term receivables", "T1", "carrying amount", "other short-term receivables", 1, True),
+    ("s other receivables", 1, 2, "", "", "", "", "T1", "carrying amount", "other receivables", 1, True),
+    ("s bad debts", 1, 1, "", "", "", "", "T1", "allowance", _SHORT_BAD, -1, True),
+    ("s shortage", 1, 1, "", "", "", "", "T1", "quantity", "", 1, True),
+    ("s inventories", 1, 1, "", "", "", "", "T1", "cost", "141", 1, True),
+    ("s inventories", 2, 1, "", "", "", "-142", "T1", "allowance", "142", 1, True),
+    ("s inventories", 2, 2, "", "", "", "", "G|opening", "second", "142", 1, False),
+    ("s biological short", 1, 1, "", "151", "", "", "T1", "cost", "151", 1, True),
+    ("s biological short", 1, 2, "", "", "", "", "T1", "cost", "152", 1, True),
+    ("s biological short", 2, 1, "", "", "", "", "T1", "allowance", "153", 1, True),
+    ("s biological long", 1, 1, "", _ONE_TIME, "", "", "T1", "cost", _ONE_TIME, 1, True),
+    ("s biological long", 1, 2, "", _SEASONAL, "", "", "T1", "cost", _SEASONAL, 1, True),
+    ("s biological long", 1, 3, "", "", "", "", "T1", "cost", "mmature livestock producing periodic products", 1, True),
+    ("s biological long", 2, 1, "", "", "", "", "T1", "allowance", _IMPAIRED, 1, True),
+    ("s construction", 1, 1, "", "", "", "", "G|opening", "second", "", 1, True),
+    ("s movement", 1, 1, "", "", "", "", "G|opening", "last", "", 1, True),
+    ("s work in progress", 1, 1, "", "", "", "", "T1", "cost", "", 1, True),
+    ("s payables", 1, 1, "", "", "", "", "T1", "cost", _SHORT_AP, 1, True),
+    ("s taxes", 1, 1, "split", "", "", "", "within", "taxes", "", 1, True),
+    ("s taxes", 1, 2, "unsplit", "", "", "", "T1", "taxes", "", 1, True),
+    ("s taxes", 2, 1, "split", "", "", "", "after", "taxes", "* – long-term", 1, True),
+    ("s borrowings short", 1, 1, "", "", "", "", "T1", "carrying", "", 1, True),
+    ("s bonds short", 1, 1, "", "", "", "", "T1", "carrying", "", 1, True),
+    ("s provisions long", 1, 1, "", "", "", "", "G|opening", "last", "provisions – long-term", 1, True),
+    ("s provisions short", 1, 1, "", "", "", "", "G|opening", "last", "provisions – short-term", 1, True),
+    ("s payables by supplier", 1, 1, "", "", _LONG_AP, "", "T1", "period", _SHORT_AP, 1, True),
+    ("s payables by supplier", 1, 2, "", "", _SHORT_AP, "", "T1", "period", _LONG_AP, 1, True),
+    ("s payables by supplier", 1, 3, "", "", "", "", "T1", "period", "accounts payable to suppliers-combined", 1, True),
+    ("s payables by term", 1, 1, "", "", "", "", "short or first", "period", _SHORT_AP, 1, True),
+    ("s payables by term", 2, 1, "", "", "", "", "long or first", "period", _LONG_AP, 1, True),
+    ("s accrued short", 1, 1, "", "", "", "", "T1", "period", "accrued expenses", 1, True),
+    ("s accrued long", 1, 1, "", "", "", "", "T1", "period", "long-term accrued expenses", 1, True),
+    ("s deferred revenue long", 1, 1, "", "", "", "", "T1", "period", "long-term deferred revenue", 1, True),
+    ("s disposals", 1, 1, "", "", "", "", "T1", "period", "21", 1, True),
+    ("s administration", 1, 1, "", "", "", "", "T1", "period", "26", 1, True),
+    ("s standard", 1, 1, "", "", "", "", "T1", "period", "", 1, True),
+]
+
+# Sums that anchors of special notes must satisfy, column by column: (branch, check, test, side, anchor, sign).
+# Both sides are signed sums; an empty cell of side 'whole' ends the comparison, elsewhere it counts as 0.
+NOTE_IDENTITIES = [
+    ("m bcc", "assets = liabilities", "", "part", "T1", 1), ("m bcc", "assets = liabilities", "", "total", "T2", 1),
+    ("m convertible", "blocks = total", "", "part", "blocks", 1), ("m convertible", "blocks = total", "", "whole", "total", 1),
+    ("m convertible", "blocks = after - within", "", "part", "blocks", 1), ("m convertible", "blocks = after - within", "", "whole", "after", 1),
+    ("m convertible", "blocks = after - within", "", "whole", "within", -1),
+    ("m preference", "blocks = total", "", "part", "blocks", 1), ("m preference", "blocks = total", "", "whole", "total", 1),
+    ("m preference", "blocks = after - within", "", "part", "blocks", 1), ("m preference", "blocks = after - within", "", "whole", "after", 1),
+    ("m preference", "blocks = after - within", "", "whole", "within", -1),
+    ("m straight bonds", "blocks = total", "", "part", "blocks", 1), ("m straight bonds", "blocks = total", "", "whole", "total", 1),
+    ("m straight bonds", "blocks = after - within", "", "part", "blocks", 1), ("m straight bonds", "blocks = after - within", "", "whole", "after", 1),
+    ("m straight bonds", "blocks = after - within", "", "whole", "within", -1),
+    ("m bad debts", "blocks = last row", "unpriced", "part", "blocks", 1), ("m bad debts", "blocks = last row", "unpriced", "whole", "G", 1),
+    ("m bad debts", "blocks = short + long", "priced", "part", "blocks", 1), ("m bad debts", "blocks = short + long", "priced", "whole", "short", 1),
+    ("m bad debts", "blocks = short + long", "priced", "whole", "long", 1),
+    ("m deferred tax", "blocks = net", "", "part", "blocks", 1), ("m deferred tax", "blocks = net", "", "total", "behind T2", 1),
+    ("m deferred tax", "assets + liabilities = last row", "rows left", "part", "long-term assets", 1),
+    ("m deferred tax", "assets + liabilities = last row", "rows left", "part", "long-term liabilities", 1),
+    ("m deferred tax", "assets + liabilities = last row", "rows left", "whole", "G", 1),
+    ("s taxes", "blocks = within + after", "split", "part", "blocks", 1), ("s taxes", "blocks = within + after", "split", "whole", "within", 1),
+    ("s taxes", "blocks = within + after", "split", "whole", "after", 1),
+    ("s acquisition", "consideration = net assets + goodwill", "", "part", "net acquired", 1),
+    ("s acquisition", "consideration = net assets + goodwill", "", "part", "goodwill", 1),
+    ("s acquisition", "consideration = net assets + goodwill", "", "total", "consideration", 1),
+    ("s acquisition", "outflow = consideration + cash", "", "part", "consideration", 1), ("s acquisition", "outflow = consideration + cash", "", "part", "cash acquired", 1),
+    ("s acquisition", "outflow = consideration + cash", "", "total", "cash outflow", 1),
+]
+# Notes whose blocks add up to their last row; long-term provisions compare with the total row and leave the last block out.
+_SUMMED = [
+    "m accrued short", "m accrued long", "m deferred revenue long", "m grand total", "m first sub-total", "m biological short", "m biological long",
+    "m revenue", "m receivables by customer", "m borrowings long", "m provisions short", "m other",
+]
+for _branch in _SUMMED:
+    NOTE_IDENTITIES += [(_branch, "blocks = last row", "", "part", "blocks", 1), (_branch, "blocks = last row", "", "total", "G", 1)]
+NOTE_IDENTITIES += [
+    ("m provisions long", "blocks = total", "", "part", "blocks", 1), ("m provisions long", "blocks = total", "", "total", "total", 1),
+    ("m provisions long", "last block = total", "", "part", "last block", 1), ("m provisions long", "last block = total", "", "total", "total", 1),
+]

@@ -135,6 +135,17 @@ def _key_match(keys: Sequence[str]) -> Column:
     return cond
 
 
+def join_tables(rows: DataFrame, frame: DataFrame, keys: Sequence[str], how: str = "inner", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``rows`` joined to one row per group, on the group and the row's chunk, so that no task sees a whole hot group.
+
+    ``frame`` is copied to the chunks that its group has, which one aggregation of ``rows`` finds.
+    """
+    keys = list(keys)
+    cut = rows.withColumn("_chunk", F.expr(f"row_idx div {chunk_rows}"))
+    chunks = cut.select(*keys, "_chunk").distinct()
+    return cut.join(chunks.join(frame, keys), [*keys, "_chunk"], how).drop("_chunk")
+
+
 def dense_positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Sequence[Column], name: str = "row_idx"
 ) -> DataFrame:

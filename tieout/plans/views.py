@@ -336,3 +336,82 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 5).alias("assertions"), ((k % 9) / 10.0).alias("numeric_evidence"),
         F.col("o_orderpriority").alias("validator_type"), F.col("o_orderstatus").alias("failure_reason_code"),
     )
+
+
+# Fixed values of the note view: headings that notes take in turn, words of their detail rows, column headers.
+NOTE_HEADINGS = [
+    "Cash", "Cash in banks", "Held-to-maturity investments", "Trading securities", "Inventories", "Long-term borrowings", "Short-term borrowings",
+    "Accrued expenses – short-term", "Accrued expenses", "Deferred revenue – long-term", "Revenue from sales of goods", "Biological assets – short-term",
+    "Biological assets – long-term, other than mature livestock producing periodic products", "Recognised deferred tax assets and liabilities",
+    "Bad and doubtful debts", "Convertible bonds", "Preference shares", "Other parties under BCC contracts", "Changes in owners’ equity", "Share capital",
+    "Accounts receivable from customers detailed by significant customers", "Accounts receivable from customers classified by payment term",
+    "Accounts payable to suppliers by significant supplier", "Accounts payable to suppliers by payment term", "Accounts payable to suppliers",
+    "Other short-term receivables", "Other long-term receivables", "Shortage of assets awaiting resolution", "Construction in progress",
+    "Long-term deferred expenses", "Long-term work in progress", "Taxes payable to State Treasury", "Long-term provisions", "Short-term provisions", "Provisions",
+    "Equity investments in other entities", "Acquisition of subsidiary", "Business segments", "Investment property", "Prepaid expenses",
+    "Gains from sales or disposals of investment", "General and administration expenses", "Payables on construction contracts according to stages of completion",
+    "Interest rate risk", "Related party balances",
+]
+NOTE_WORDS = [
+    "Item", "Opening balance", "Short-term part", "Long-term part", "Due within twelve months", "Due after twelve months", "Balance at 31 December", "Balance at 1 January",
+    "Long-term assets", "Long-term liabilities", "Net identifiable assets acquired", "Goodwill", "Consideration paid", "Cash acquired", "Net cash outflow",
+    "Segment revenue", "Profit after tax", "Held to earn rental", "Held for capital appreciation", "Other obligations", "Overdue days",
+]
+NOTE_COLUMNS = [
+    ("Quantity", "Cost", "Allowance"), ("Carrying amount", "31/12/2024", "Carrying amounts"), ("Cost", "Carrying amount", "Allowance for cost"),
+    ("Share capital", "Retained profits", "Other capital"), ("Movement", "2024", "2023"),
+]
+
+
+def note_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, headings): every order as a note of four columns under one of the headings above.
+
+    A header row and a blank row; per return flag (in odd orders for all lines at once) the lines, a blank row, their
+    sub-totals, wrong for every eleventh order, and another blank row, which odd orders and every thirteenth leave out; at
+    last the total. Notes whose key leaves 5 of 7 have no figures above the total. Cells: doc_id, table_idx, row_idx, col_idx, text, value.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.when(F.col("l_orderkey") % 2 == 1, "A").otherwise(F.col("l_returnflag")).alias("l_returnflag"),
+    )
+    k, none = F.col("l_orderkey"), F.lit(0).cast("bigint")
+    price, quantity = F.col("l_extendedprice"), F.when(F.col("l_quantity") != 7, F.col("l_quantity"))
+    shown = k % 7 != 5
+    words = literal_array(NOTE_WORDS)
+    details = li.select(
+        "l_orderkey", F.col("l_returnflag").alias("b"), F.lit(0).alias("part"), "l_linenumber", "l_partkey", "l_suppkey", price.alias("tie"),
+        F.get(words, ((F.col("l_partkey") + F.col("l_linenumber")) % len(NOTE_WORDS)).cast("int")).alias("label"),
+        F.when(shown, F.array(quantity, price, F.round(price - F.col("l_quantity"), 2))).alias("amounts"),
+    )
+    money = lambda c: F.round(F.sum(c), 2)
+    sums = li.groupBy("l_orderkey", "l_returnflag").agg(money(quantity).alias("q"), money(price).alias("p"), money(F.round(price - F.col("l_quantity"), 2)).alias("r"))
+    off = F.when(k % 11 == 4, 5.0).otherwise(0.0)
+    tails = sums.withColumn("part", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where((F.col("part") < 3) | ((k % 2 != 1) & (k % 13 != 0))).select(
+        "l_orderkey", F.col("l_returnflag").alias("b"), "part", F.lit(0).alias("l_linenumber"), none.alias("l_partkey"), none.alias("l_suppkey"), F.lit(0.0).alias("tie"), F.lit("").alias("label"),
+        F.when((F.col("part") == 2) & shown, F.array("q", F.round(F.col("p") + off, 2), "r")).alias("amounts"),
+    )
+    whole = sums.groupBy("l_orderkey").agg(money("q").alias("q"), money("p").alias("p"), money("r").alias("r"))
+    ends = whole.withColumn("part", F.explode(F.array(F.lit(-2), F.lit(-1), F.lit(4)))).select(
+        "l_orderkey", F.when(F.col("part") == 4, "Z").otherwise("0").alias("b"), "part", F.lit(0).alias("l_linenumber"), none.alias("l_partkey"), none.alias("l_suppkey"), F.lit(0.0).alias("tie"),
+        F.when(F.col("part") == 4, "Total").otherwise("").alias("label"), F.when(F.col("part") == 4, F.array("q", "p", "r")).alias("amounts"),
+    )
+    rows = dense_positions(
+        details.unionByName(tails).unionByName(ends), ["l_orderkey"], ["b", "part", "l_linenumber", "l_partkey", "l_suppkey", "tie"],
+        [F.col("b"), F.col("part"), F.col("l_linenumber")],
+    )
+    heads = F.array(*[F.array(*[F.lit(x) for x in c]) for c in NOTE_COLUMNS])
+    head = F.get(heads, F.expr(f"cast((l_orderkey + l_orderkey div {len(NOTE_HEADINGS)}) % {len(NOTE_COLUMNS)} AS int)"))
+    place = F.col("col_idx")
+    amount = F.get(F.col("amounts"), place - 1)
+    text = (
+        F.when(place == 0, F.col("label")).when(F.col("part") == -2, F.get(head, place - 1))
+        .when(amount.isNotNull(), amount.cast("decimal(20,2)").cast("string")).when(F.col("amounts").isNotNull(), "-").otherwise("")
+    )
+    owner = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("l_orderkey"))
+    cells = rows.join(owner, "l_orderkey").withColumn("col_idx", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        "doc_id", k.alias("table_idx"), "row_idx", "col_idx", text.alias("text"), F.when(place > 0, amount).alias("value")
+    )
+    names = owner.join(whole.select("l_orderkey"), "l_orderkey").select(
+        "doc_id", k.alias("table_idx"), F.get(literal_array(NOTE_HEADINGS), (k % len(NOTE_HEADINGS)).cast("int")).alias("heading")
+    )
+    return cells, names
