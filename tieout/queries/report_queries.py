@@ -102,11 +102,12 @@ def equity_slices(spark, sf):
 
 @query(
     "tax_remaining_tables",
-    f"""WITH {O.BLOCKS}, x AS (SELECT *, count(*) OVER (PARTITION BY table_idx) AS n, coalesce(min(row_idx) FILTER (label = '' AND value IS NULL) OVER (PARTITION BY table_idx), count(*) OVER (PARTITION BY table_idx)) AS e1 FROM blocks),
-      y AS (SELECT *, CASE WHEN e1 = 1 THEN e1 ELSE e1 + 2 END AS s2 FROM x WHERE n - 1 > e1 + 1),
-      z AS (SELECT *, coalesce(min(row_idx) FILTER (label = '' AND value IS NULL AND row_idx >= s2) OVER (PARTITION BY table_idx), n) AS e2 FROM y),
-      t AS (SELECT doc_id, table_idx, n, round(CAST(sum(CASE WHEN row_idx < e1 OR (row_idx >= s2 AND row_idx < e2) THEN CAST(value AS DECIMAL(20,2)) ELSE 0 END) AS DOUBLE), 4) AS expected FROM z GROUP BY 1, 2, 3)
-      SELECT t.doc_id, t.table_idx, expected, value AS actual, abs(round(expected - value, 4)) <= 0.5 AS ok FROM t JOIN blocks ON blocks.table_idx = t.table_idx AND blocks.row_idx = t.n - 1""",
+    f"""WITH {O.BLOCKS}, m AS MATERIALIZED (SELECT * FROM blocks),
+      x AS MATERIALIZED (SELECT table_idx, count(*) AS n, coalesce(min(row_idx) FILTER (label = '' AND value IS NULL), count(*)) AS e1 FROM m GROUP BY 1),
+      y AS MATERIALIZED (SELECT table_idx, n, e1, CASE WHEN e1 = 1 THEN e1 ELSE e1 + 2 END AS s2 FROM x WHERE n - 1 > e1 + 1),
+      z AS MATERIALIZED (SELECT y.table_idx, n, e1, s2, coalesce(min(row_idx) FILTER (label = '' AND value IS NULL AND row_idx >= s2), n) AS e2 FROM y JOIN m USING (table_idx) GROUP BY 1, 2, 3, 4),
+      t AS MATERIALIZED (SELECT table_idx, n, round(CAST(sum(CASE WHEN row_idx < e1 OR (row_idx >= s2 AND row_idx < e2) THEN CAST(value AS DECIMAL(20,2)) ELSE 0 END) AS DOUBLE), 4) AS expected FROM z JOIN m USING (table_idx) GROUP BY 1, 2)
+      SELECT doc_id, table_idx, expected, value AS actual, abs(round(expected - value, 4)) <= 0.5 AS ok FROM t JOIN m USING (table_idx) WHERE m.row_idx = t.n - 1""",
 )
 def tax_remaining_tables(spark, sf):
     return N.two_block_total(V.block_rows(spark, sf))

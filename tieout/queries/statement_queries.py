@@ -65,15 +65,14 @@ def _with_gaps(spark, sf):
     return rows.withColumn("code", F.when(F.col("code") == "18", "").otherwise(F.col("code")))
 
 
-_CF_FACTS = """SELECT * FROM (WITH g AS (SELECT * REPLACE (CASE WHEN code = '18' THEN '' ELSE code END AS code) FROM fs),
-   f AS (SELECT doc_id, min({'t': table_idx, 'r': row_idx}) AS first FROM g WHERE code BETWEEN '14' AND '20' GROUP BY 1),
-   p AS (SELECT g.doc_id, arg_max({'code': code, 'cy': cy, 'py': py}, {'t': table_idx, 'r': row_idx}) AS p FROM g JOIN f USING (doc_id)
-         WHERE {'t': table_idx, 'r': row_idx} < first GROUP BY 1),
-   i AS (SELECT doc_id, p.cy AS cy, p.py AS py FROM p WHERE p.code = '' AND abs(p.cy) + abs(p.py) <> 0),
-   s AS (SELECT doc_id, code, round(CAST(sum(CAST(cy AS DECIMAL(20,4))) AS DOUBLE), 4) AS cy,
+_CF_FACTS = """SELECT * FROM (WITH g AS MATERIALIZED (SELECT doc_id, CASE WHEN code = '18' THEN '' ELSE code END AS code, cy, py, CAST(table_idx AS HUGEINT) * 1000000000000000000 + row_idx AS pos FROM fs),
+   f AS MATERIALIZED (SELECT doc_id, min(pos) AS first FROM g WHERE code BETWEEN '14' AND '20' GROUP BY 1),
+   b AS MATERIALIZED (SELECT doc_id, max(pos) AS pos FROM g JOIN f USING (doc_id) WHERE pos < first GROUP BY 1),
+   i AS (SELECT g.doc_id, cy, py FROM g JOIN b USING (doc_id, pos) WHERE code = '' AND abs(cy) + abs(py) <> 0),
+   s AS MATERIALIZED (SELECT doc_id, code, round(CAST(sum(CAST(cy AS DECIMAL(20,4))) AS DOUBLE), 4) AS cy,
            round(CAST(sum(CAST(py AS DECIMAL(20,4))) AS DOUBLE), 4) AS py FROM g WHERE regexp_matches(code, '^[0-9]+[A-Z]?$') GROUP BY 1, 2
          UNION ALL SELECT doc_id, '18', cy, py FROM i)
-   SELECT doc_id, code, period_ord, CASE period_ord WHEN 0 THEN cy ELSE py END AS value FROM s, (VALUES (0), (1)) p(period_ord))"""
+   SELECT doc_id, code, 0 AS period_ord, cy AS value FROM s UNION ALL SELECT doc_id, code, 1, py FROM s)"""
 
 
 @query(
