@@ -130,7 +130,13 @@ def common_prefix(text: np.ndarray, one: np.ndarray, two: np.ndarray, depth: int
 
 def refined(rank: np.ndarray, rows: np.ndarray, key: np.ndarray) -> None:
     """Split the groups of equal ``rank`` among ``rows`` by ``key``; a rank is the place of its group's first member."""
-    order = np.lexsort((key, rank[rows]))
+    first = rank[rows]
+    if not first.any():
+        order = np.argsort(key)
+    elif key.dtype == np.int64:  # names, which fit beside a rank
+        order = np.argsort(first * (len(rank) + 1) + key + 1)
+    else:
+        order = np.lexsort((key, first))
     rows, key, old = rows[order], key[order], rank[rows[order]]
     group = np.append(True, old[1:] != old[:-1])
     part = group | np.append(True, key[1:] != key[:-1])
