@@ -6,7 +6,9 @@ where all pieces of an anchor are one string, all their windows repeat. What is
 different piece, is dealt by anchor into shards whose suffixes ``induced_sort`` puts in order with their
 common prefixes: a window repeats if its suffix shares ``width`` bytes with a neighbour. Anchors with more
 than ``split`` different pieces (the edges of a passage that very many documents share) would fill a shard
-of their own: their windows are counted by a 128-bit hash of all their bytes instead.
+of their own: such pieces are cut into parts of 16 windows, counted from the anchor, and dealt by a hash of
+the bytes that all windows of a part share. Parts of which more than ``split`` share these bytes, too, differ
+in 15 bytes at most; their windows are counted by a 128-bit hash of all their bytes instead.
 
 Positions flow back to the documents, never texts to the driver: two shuffles of the texts, the others of
 pieces by hash.
@@ -31,6 +33,7 @@ GRAM = 24
 STRETCH = 8_000_000
 SHARD_BYTES = 4_000_000
 SPLIT = 2_000
+PART = 16
 TABLE = np.random.default_rng(20).integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = np.uint64((1 << 24) - 1)
 BITS = "anchor long, content long, bits binary"
@@ -51,7 +54,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def pieces(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, anchor) of the pieces of texts that lie one after another in ``data``."""
+    """(first window, windows and place of the anchor, anchor) of the pieces of texts that lie one after another in ``data``.
+
+    The number of windows is in the lowest byte, the anchor's distance from the first window in the next one.
+    """
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -67,7 +73,8 @@ def pieces(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
             whole[end - width + 1] -= 1
     at = np.flatnonzero(np.cumsum(whole[:-1]))
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]]))) if len(at) else at
-    return at[first], np.diff(first, append=len(at)), hashes[anchor[at[first]].astype(np.int64)]
+    start, place = at[first], anchor[at[first]].astype(np.int64)
+    return start, np.diff(first, append=len(at)) | (place - start) << 8, hashes[place]
 
 
 def stretches(texts: list[str | None], width: int) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -92,7 +99,7 @@ def found_pieces(width: int):
                 for n, offset, data, ends in stretches(texts, width):
                     at, windows, anchor = pieces(np.frombuffer(data, np.uint8), ends, width)
                     owner = np.searchsorted(ends, at, "right")
-                    content = [xxhash.xxh3_64_intdigest(data[a : a + w]) for a, w in zip(at.tolist(), (windows + width - 1).tolist())]
+                    content = [xxhash.xxh3_64_intdigest(data[a : a + w]) for a, w in zip(at.tolist(), ((windows & 0xFF) + width - 1).tolist())]
                     starts = np.append(0, ends[:-1])
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -123,24 +130,50 @@ def unpacked(value: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value) if value else b""
 
 
+CUT = "anchor long, content long, window int, string binary, h1 long, h2 long"
+
+
+def _halves(data: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(data)
+    return (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63
+
+
+def _cut_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 6, kinds)], names=[f.split()[0] for f in CUT.split(", ")])
+
+
 def cut_out(width: int):
-    """Rows of wanted pieces with their strings, or with one hash for each window where the anchor is ``hot``."""
+    """Wanted pieces as strings, dealt by anchor; where the anchor is ``hot``, their parts, dealt by what their windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(0), batch.column(1)):
                 data, rows = unpacked(text.as_py()), []
                 for w in wanted.as_py():
-                    start, size = w["at"] >> 16, w["at"] & 0xFFFF
+                    start, place, size = w["at"] >> 16, w["at"] >> 8 & 0xFF, w["at"] & 0xFF
                     if not w["hot"]:
-                        rows.append((w["anchor"], w["content"], data[start : start + size + width - 1], -1, 0, 0))
+                        rows.append((w["anchor"], w["content"], 0, data[start : start + size + width - 1], w["anchor"], None))
                         continue
-                    for k in range(size):
-                        h = xxhash.xxh3_128_intdigest(data[start + k : start + k + width])
-                        rows.append((w["anchor"], w["content"], None, k, (h >> 64) - 2**63, (h & (2**64 - 1)) - 2**63))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["anchor", "content", "string", "window", "h1", "h2"])
+                    # windows are counted back from the anchor, so that parts of equal strings are cut alike
+                    first = 0
+                    while first < size:
+                        end = min(size, place - (place - first) // PART * PART + 1)
+                        shared = data[start + place - (place - first) // PART * PART : start + place - (place - first) // PART * PART + width - PART + 1]
+                        rows.append((w["anchor"], w["content"], first, data[start + first : start + end + width - 1], *_halves(shared)))
+                        first = end
+                yield _cut_batch(rows)
+
+    return run
+
+
+def single_windows(width: int):
+    """The windows of parts, one row each with a hash of all its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, content, window, string in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _cut_batch([(anchor, content, window + k, None, *_halves(string[k : k + width])) for k in range(len(string) - width + 1)])
 
     return run
 
@@ -149,27 +182,31 @@ def sort_shard(width: int):
     def run(table: pa.Table) -> pa.Table:
         flags = repeated_starts(table["string"].to_pylist(), width)
         bits = pa.array([np.packbits(f, bitorder="little").tobytes() if f.any() else None for f in flags], pa.binary())
-        return pa.table({"anchor": table["anchor"], "content": table["content"], "bits": bits}).filter(bits.is_valid())
+        return pa.table({"anchor": table["anchor"], "content": table["content"], "window": table["window"], "bits": bits}).filter(bits.is_valid())
 
     return run
 
 
 def as_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of window numbers as bits."""
+    """Repeated windows of each piece as one row of bits, from lists of (first window, bits); NULL bits are that window."""
     for batch in batches:
-        bits = []
-        for windows in batch.column(2).to_pylist():
-            flags = np.zeros(max(windows) + 1, bool)
-            flags[windows] = True
-            bits.append(np.packbits(flags, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["anchor", "content", "bits"])
+        out = []
+        for parts in batch.column(2).to_pylist():
+            flags = np.zeros(256, bool)
+            for p in parts:
+                own = np.array([True]) if p["bits"] is None else np.unpackbits(np.frombuffer(p["bits"], np.uint8), bitorder="little").astype(bool)
+                at = p["window"] + np.flatnonzero(own)
+                flags[at] = True
+            out.append(np.packbits(flags, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["anchor", "content", "bits"])
 
 
 def repeated_windows(narrow: DataFrame, width: int, shard_bytes: int, split: int) -> DataFrame:
     """(file, row, spans): per text that holds any, its pieces with repeated windows as (at, bits); NULL bits are all of them."""
     found = narrow.select("file", "row", "text").mapInArrow(found_pieces(width), "file long, row long, at long, anchor long, content long")
     shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("least"), F.max("content").alias("most"))
-    shared = shared.filter("n > 1").select("anchor", F.expr("least <> most").alias("mixed"))
+    # written first: only a join of two plain shuffles is split where an anchor is hot
+    shared = stored(shared.filter("n > 1").select("anchor", F.expr("least <> most").alias("mixed")))
     shared = stored(found.join(shared, "anchor"))
     kinds = shared.filter("mixed").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "row", "at")).alias("sample"))
     kinds = stored(kinds)
@@ -178,17 +215,19 @@ def repeated_windows(narrow: DataFrame, width: int, shard_bytes: int, split: int
     wanted = wanted.groupBy("file", "row").agg(F.collect_list(F.struct("at", "anchor", "content", "hot")).alias("wanted"))
     texts = narrow.select("file", "row", "doc_id", "text").mapInArrow(packed, "file long, row long, doc_id long, packed binary")
     cut = texts.join(wanted, ["file", "row"]).select("packed", "wanted")
-    cut = stored(cut.mapInArrow(cut_out(width), "anchor long, content long, string binary, window int, h1 long, h2 long"))
+    cut = stored(cut.mapInArrow(cut_out(width), CUT))
 
-    total = cut.filter("string IS NOT NULL").agg(F.sum(F.length("string"))).first()[0] or 0
+    full = cut.filter("h2 IS NOT NULL").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > split).select("h1", "h2", F.lit(True).alias("full"))
+    parts = stored(cut.join(full, ["h1", "h2"], "left").withColumn("full", F.coalesce("full", F.lit(False))))
+    total = parts.filter("NOT full").agg(F.sum(F.length("string"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = cut.filter("string IS NOT NULL").select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "anchor", "content", "string")
-    by_sort = dealt.groupBy("shard").applyInArrow(sort_shard(width), BITS)
-    windows = cut.filter("string IS NULL").select("anchor", "content", "window", "h1", "h2")
+    dealt = parts.filter("NOT full").select(F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)).alias("shard"), "anchor", "content", "window", "string")
+    by_sort = dealt.groupBy("shard").applyInArrow(sort_shard(width), "anchor long, content long, window int, bits binary")
+    windows = parts.filter("full").select("anchor", "content", "window", "string").mapInArrow(single_windows(width), CUT).drop("string")
     twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    by_hash = windows.join(twice, ["h1", "h2"]).groupBy("anchor", "content").agg(F.collect_list("window").alias("w"))
-    by_hash = by_hash.mapInArrow(as_bits, BITS)
-    known = kinds.select("anchor", "content", "n").join(by_sort.unionByName(by_hash), ["anchor", "content"], "left")
+    by_hash = windows.join(twice, ["h1", "h2"]).select("anchor", "content", "window", F.lit(None).cast("binary").alias("bits"))
+    found_bits = by_sort.unionByName(by_hash).groupBy("anchor", "content").agg(F.collect_list(F.struct("window", "bits")).alias("parts")).mapInArrow(as_bits, BITS)
+    known = kinds.select("anchor", "content", "n").join(found_bits, ["anchor", "content"], "left")
     known = stored(known.filter("n > 1 OR bits IS NOT NULL").select("anchor", "content", F.expr("CASE WHEN n = 1 THEN bits END").alias("bits")))
     mixed = shared.filter("mixed").join(known, ["anchor", "content"]).select("file", "row", "at", "bits")
     plain = shared.filter("NOT mixed").select("file", "row", "at", F.lit(None).cast("binary").alias("bits"))
@@ -199,7 +238,7 @@ def removed(data: bytes, spans: list[dict], width: int) -> np.ndarray:
     """True for each byte that a repeated window covers."""
     edges = np.zeros(len(data) + 1, np.int64)
     for s in spans:
-        start, size = s["at"] >> 16, s["at"] & 0xFFFF
+        start, size = s["at"] >> 16, s["at"] & 0xFF
         if s["bits"] is None:  # all of them
             edges[start] += 1
             edges[start + size + width - 1] -= 1
@@ -217,7 +256,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, shard_bytes: int = SHARD_B
     strings are judged on the input. NULL counts as empty; texts shorter than ``width`` stay whole; repeated
     rows are places of their own, so both copies go; a NULL doc_id stays NULL; ties don't arise; further
     columns are ignored; an empty table gives an empty result. Very long texts are taken in stretches that
-    overlap by a window, whose cuts change no result. ``width`` is at least 32.
+    overlap by a window, whose cuts change no result. ``width`` is 40 to 270.
     """
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
