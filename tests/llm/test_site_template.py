@@ -83,3 +83,30 @@ def test_template_of_a_large_host(table, monkeypatch):
     monkeypatch.setattr(s, "HOST_ELEMENTS", 10)
     got = s.extract_main_text(pages).collect()
     assert {r.page_id: r.text for r in got} == want and len(got) == 901
+
+
+def test_articles_survive_any_wrapper():
+    for start, end in [
+        ("<div id=content-with-sidebar>", "</div>"), ("<div class=has-sidebar><div class=header-fixed>", "</div></div>"), ("<form id=aspnet>", "</form>"),
+        ("<header>", "</header>"), ("<div class=sidebar>", "</div>"), ("<aside>", "</aside>"), ("<div class='ad'><section class=menu>", "</section></div>"),
+    ]:
+        assert text(f"<body>{start}<nav>menu</nav><article><h1>title</h1><p>story</p></article>{end}<footer>foot</footer>") == ["title", "story"]
+    # a teaser in a sidebar is no article beside another one
+    assert text("<aside><article>teaser</article></aside><article>story</article>") == ["story"]
+
+
+def test_names_are_whole_words_or_compounds():
+    page = "<article><div class='article-header'><h1>title</h1></div><section class='skip-lists'>a</section><p class=social>b</p>{}<p>c</p></article>"
+    kept = ["title", "a", "b", "c"]
+    for part in ("<div class=ad>x</div>", "<div class='box share-buttons'>x</div>", "<section id=comments>x</section>", "<div class=main-nav>x</div>", "<div role=navigation>x</div>", "<form>x</form>", "<div class=cookie-banner>x</div>"):
+        assert text(page.format(part)) == kept, part
+    for part in ("<div class=has-comments>x</div>", "<h2 class=notice>x</h2>", "<div class=adapter>x</div>", "<div class=headers>x</div>"):
+        assert text(page.format(part)) == ["title", "a", "b", "x", "c"], part
+
+
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    assert text("<font>" * 40_000 + "x" + "</b>" * 40_000) == ["x"] and text("<font>" * 20_000 + "<p>y" * 20_000) == ["y"] * 20_000
+    assert time.time() - start < 20

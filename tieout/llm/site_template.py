@@ -4,7 +4,9 @@ Each page is parsed into a tree of elements. Every element outside the article,
 (division, section, list, table) inside it, has a hash of its whole subtree (names, classes, text).
 Spark counts, per host, on how many different pages a subtree occurs; subtrees that recur on many
 pages of their host are its template and are deleted. What the markup itself names as menu, header,
-footer, sidebar, notice, advert, form, comment or script is deleted as well. The text of the article
+footer, sidebar, notice, advert, form, comment or script is deleted as well, by tag or by a class, id or
+role that is such a name as a whole (or a compound of it); never what holds the article, and inside the
+article, by class, only boxes. The text of the article
 (of the body where no article is marked) is left, block by block. A paragraph, heading or quotation
 that many articles share is content, and so is a box with most of an article's text.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +45,15 @@ DROPPED = frozenset("aside button datalist dialog footer form head header iframe
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that make a compound of a name with them a part ("ad-slot", "share-buttons"), and words that make it a statement about
+#: something else ("has-sidebar", "article-header").
+HOLDERS = frozenset("area bar block box button buttons container form inner item items left link links list outer panel posts right section slot thread top unit widget wrap wrapper".split())
+ABOUT = frozenset("article body content entry fixed has is main no off on page post sticky story text title with without".split())
+#: Parts that stay parts in compounds with a word for the page ("main-nav", "page-footer").
+CLEAR = frozenset("ad ads advert breadcrumb breadcrumbs comments cookie footer menu nav navbar navigation newsletter sidebar".split())
+OF_PAGE = frozenset("main page post".split())
+#: Tags that are dropped although they hold an article (a teaser), as long as another article is left.
+ASIDES = frozenset("aside dialog footer menu nav noscript template".split())
 ROOTS = ("article", "main")
 #: Elements inside an article that are compared; paragraphs, headings, items and cells by themselves are content.
 BOXES = frozenset("address center details dir div dl fieldset figure ol section table ul".split())
@@ -66,6 +78,7 @@ def parse(page: str) -> Node:
     root = node = Node("", "", None)
     at = 0
     find = TAG.search
+    opened: Counter[str] = Counter()  # open elements by tag: what is not open is not searched for
     while True:
         m = find(page, at)
         if m is None:
@@ -80,16 +93,16 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            while opened[tag]:
+                opened[node.tag] -= 1
+                node, ended = node.parent, node.tag
+                if ended == tag:
+                    break
             continue
         if tag in CLOSES_P:
-            node = _close(node, ("p",), ("button", "table", "td", "th", "caption", "article", "section", "div", "body", "li", "blockquote"))
+            node = _close(node, ("p",), ("button", "table", "td", "th", "caption", "article", "section", "div", "body", "li", "blockquote"), opened)
         elif tag in ENDS:
-            node = _close(node, *ENDS[tag])
+            node = _close(node, *ENDS[tag], opened)
         attributes = m[3]
         words = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)).lower() if "=" in attributes else ""
         child = Node(tag, words, node)
@@ -100,15 +113,21 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS):
             node = child
+            opened[tag] += 1
 
 
-def _close(node: Node, tags: tuple[str, ...], stops: tuple[str, ...]) -> Node:
+def _close(node: Node, tags: tuple[str, ...], stops: tuple[str, ...], opened: Counter[str]) -> Node:
     """The node to go on from once the outermost open element of ``tags`` up to a stop is ended."""
+    left = sum(opened[t] for t in tags)
     up, out = node, node
-    while up.parent is not None and up.tag not in stops:
+    while left and up.parent is not None and up.tag not in stops:
         if up.tag in tags:
             out = up.parent
+            left -= 1
         up = up.parent
+    while node is not out:
+        opened[node.tag] -= 1
+        node = node.parent
     return out
 
 
@@ -116,11 +135,26 @@ def is_root(node: Node) -> bool:
     return node.tag in ROOTS or "main" in node.words.split()
 
 
-def named_part(node: Node) -> bool:
-    """True if the markup says that an element is not main text."""
+def names_part(token: str) -> bool:
+    """True for a class, id or role that names a part outside the main text."""
+    if token in PARTS:
+        return True
+    words = [w for w in WORD.findall(token)]
+    if len(words) < 2 or PARTS.isdisjoint(words):
+        return False
+    about = ABOUT.intersection(words)
+    if about:
+        return about <= OF_PAGE and words[-1] in CLEAR
+    return words[-1] in PARTS or (words[0] in PARTS and words[-1] in HOLDERS)
+
+
+def named_part(node: Node, inside: bool = False) -> bool:
+    """True if the markup says that an element is not main text; ``inside`` an article, classes count for boxes only."""
     if node.tag in DROPPED:
         return True
-    return bool(node.words) and node.tag not in ("html", "body", "main") and not PARTS.isdisjoint(WORD.findall(node.words))
+    if not node.words or node.tag in ("html", "body", "main") or (inside and node.tag not in BOXES):
+        return False
+    return any(map(names_part, node.words.split()))
 
 
 def subtree_hashes(root: Node) -> dict[Node, int]:
@@ -168,18 +202,33 @@ def subtree_hashes(root: Node) -> dict[Node, int]:
 def blocks(root: Node, template: frozenset[int] | set[int], hashes: dict[Node, int]) -> list[str]:
     """The blocks of main text in page order."""
 
-    def dropped(node: Node) -> bool:
-        return named_part(node) or hashes.get(node) in template
-
-    articles, open_nodes = [], [root]
+    holding, open_nodes = set(), [root]
     while open_nodes:
         node = open_nodes.pop()
-        if node is not root and dropped(node):
-            continue
         if is_root(node):
-            articles.append(node)
-        else:
-            open_nodes += [c for c in reversed(node.children) if not isinstance(c, str)]
+            up = node.parent
+            while up is not None and up not in holding:
+                holding.add(up)
+                up = up.parent
+        open_nodes += [c for c in node.children if not isinstance(c, str)]
+
+    def dropped(node: Node, inside: bool = False) -> bool:
+        return named_part(node, inside) or hashes.get(node) in template
+
+    articles: list[Node] = []
+    for through in ((), ASIDES):  # through menus and sidebars only where no article is left otherwise
+        open_nodes = [] if articles else [root]
+        while open_nodes:
+            node = open_nodes.pop()
+            if node in holding:
+                if node.tag in ASIDES and node.tag not in through:
+                    continue
+            elif node is not root and dropped(node):
+                continue
+            if is_root(node):
+                articles.append(node)
+            else:
+                open_nodes += [c for c in reversed(node.children) if not isinstance(c, str)]
     out, line = [], []
 
     def flush() -> None:
@@ -196,7 +245,7 @@ def blocks(root: Node, template: frozenset[int] | set[int], hashes: dict[Node, i
                 line.append(html.unescape(node) if "&" in node else node)
             elif leave:
                 flush()
-            elif node is not start and dropped(node):
+            elif node is not start and dropped(node, bool(articles)):
                 if node.tag in BLOCKS:
                     flush()
             elif node.tag == "br":
