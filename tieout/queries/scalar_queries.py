@@ -76,17 +76,17 @@ def amount_parse_rule(spark, sf):
           SELECT *, 4, round(l_extendedprice - l_quantity, 2) FROM lines)
         SELECT l_orderkey AS table_idx, row_idx + 1 AS row_idx, col_idx,
           CASE l_partkey % 8 WHEN 3 THEN -v WHEN 4 THEN -v WHEN 6 THEN floor(v) WHEN 7 THEN NULL ELSE v END AS value
-        FROM t""",
+        FROM t
+        UNION ALL SELECT l_orderkey, row_idx + 1, c, CASE WHEN c = 0 THEN CAST(l_partkey AS DOUBLE) WHEN c = 2 AND l_partkey % 4 = 0 THEN CAST(l_partkey % 30 AS DOUBLE) END
+        FROM lines, (VALUES (0), (1), (2)) x(c)""",
 )
 def numeric_view(spark, sf):
     from tieout.operators.columns import amounts_of
 
-    cells = V.cell_rows(spark, sf).where("row_idx > 0")
-    # the code column is masked, the label and note columns are left out of the report
-    return (
-        amounts_of(cells.where("col_idx >= 3"))
-        .select(F.col("table_idx"), "row_idx", "col_idx", "value")
-    )
+    cells = V.cell_rows(spark, sf)
+    # the code column of each table, found by its header, is masked
+    codes = cells.where("row_idx = 0 AND lower(text) RLIKE 'code'").select("doc_id", "table_idx", "col_idx")
+    return amounts_of(cells.where("row_idx > 0"), codes).select("table_idx", "row_idx", "col_idx", "value")
 
 
 @query(
