@@ -30,6 +30,15 @@ def test_counts_equal_the_library(processor):
     assert got == [len(processor.encode(x or "")) for x in texts]
 
 
+def test_texts_without_spaces_are_not_kept(processor):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("漢字かな漢語abc", k=rng.randint(1, 400))) for _ in range(300)]
+    counter = t.TokenCounter(processor, t.whole_tokens(processor))
+    got = [n for a in range(0, 300, 50) for n, _ in counter.counts(texts[a : a + 50])]
+    assert got == [len(processor.encode(x)) for x in texts] and max(map(len, counter.merged)) <= t.LONGEST
+    assert len(counter.long) <= 50
+
+
 def test_table(docs):
     rows = docs((1, "hello world"), (2, None), (None, ""), (1, "hello world"), (3, "a " * 5000))
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in t.count_tokens(rows, PATH).collect())

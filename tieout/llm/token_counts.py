@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tieout.llm.common import slices
 
 MARK = "▁"
+#: Characters of the longest pre-token that is kept from slice to slice.
+LONGEST = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, n_whole long"
 
 
@@ -40,24 +42,34 @@ def whole_tokens(processor: sentencepiece.SentencePieceProcessor) -> frozenset[s
 
 
 class TokenCounter:
-    """Counts tokens; ``held`` bounds the table of merged pre-tokens, which is emptied when full."""
+    """Counts tokens; ``held`` bounds the table of merged pre-tokens, which is emptied when full.
+
+    Pre-tokens of more than LONGEST characters (texts without spaces) are kept for one slice only, so the table
+    is bounded in bytes, too.
+    """
 
     def __init__(self, processor, whole: frozenset[str], held: int = 400_000):
         self.processor, self.whole, self.held = processor, whole, held
         self.merged: dict[str, int] = {}
+        self.long: dict[str, int] = {}
 
     def _learn(self, words: set[str]) -> None:
+        long = [w for w in words if len(w) > LONGEST]
+        self.long = dict(zip(long, map(len, self.processor.encode(long, num_threads=1)))) if long else {}
         if len(self.merged) + len(words) > self.held:
             self.merged = {}
-        new = [w for w in words if w not in self.merged]
+        new = [w for w in words if w not in self.merged and len(w) <= LONGEST]
         self.merged.update(zip(new, map(len, self.processor.encode(new, num_threads=1))))
 
+    def _size(self, word: str) -> int:
+        return self.long[word] if len(word) > LONGEST else self.merged[word]
+
     def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(tokens, of these whole tokens) of each text."""
         split = [pre_tokens(t) for t in texts]
         rest = [[w for w in words if w not in self.whole] for words, _ in split]
         self._learn({w for words in rest for w in words})
-        size = self.merged.__getitem__
+        size = self._size if self.long else self.merged.__getitem__
         return [
             (len(words) - len(r) + sum(map(size, r)) + (len(self.processor.encode(" " * (tail - 1))) if tail > 1 else tail), len(words) - len(r))
             for (words, tail), r in zip(split, rest)
