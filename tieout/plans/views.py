@@ -254,8 +254,8 @@ def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = details.unionByName(tails).unionByName(grand)
     numbered = dense_positions(
-        rows, ["l_orderkey"], ["b", "part", "l_linenumber", "l_partkey", "l_suppkey"],
-        [F.col("b"), F.col("part"), F.floor(F.col("l_partkey") / 8192)],
+        rows, ["l_orderkey"], ["b", "part", "l_linenumber", "l_partkey", "l_suppkey", "value"],
+        [F.col("b"), F.col("part"), F.col("l_linenumber")],
     )
     return numbered.select(
         (F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), "row_idx", "label", "value"

@@ -91,7 +91,7 @@ braw AS (
      CASE part WHEN 2 THEN round(s + CASE WHEN l_orderkey % 4 = 0 THEN 5 ELSE 0 END, 2) END FROM bsums, (VALUES (1), (2), (3)) p(part)
   UNION ALL SELECT l_orderkey, 'Z', 4, 0, 0, 0, 'Total', round(sum(s), 2) FROM bsums GROUP BY 1),
 blocks AS (SELECT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx,
-  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY b, part, ln, pk, sk) - 1 AS INTEGER) AS row_idx, label, value, b, part FROM braw)"""
+  CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY b, part, ln, pk, sk, value) - 1 AS INTEGER) AS row_idx, label, value, b, part FROM braw)"""
 
 NETTING = LINES + """,
 netting AS (SELECT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx, row_idx,
