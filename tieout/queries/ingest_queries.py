@@ -319,3 +319,40 @@ def period_columns_merged(spark, sf):
 def rectangular_rows(spark, sf):
     c = V.cell_rows(spark, sf).where(~((F.col("row_idx") % 2 == 1) & (F.col("col_idx") >= 3)))
     return I.rectangular(c).groupBy("doc_id", "table_idx", "row_idx").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text") == "").alias("empty"))
+
+
+_SPANS = """sp AS MATERIALIZED (SELECT doc_id, table_idx, row_idx, col_idx, CASE WHEN row_idx = 0 AND col_idx = 4 AND table_idx % 11 = 3 THEN 'Note' WHEN table_idx % 3 = 0 AND row_idx > 0 AND col_idx > 0 THEN '' ELSE text END AS text,
+    CASE WHEN table_idx % 7 = 0 AND row_idx = 1 AND col_idx = 0 THEN 2 END AS row_span, CASE WHEN (table_idx % 5 = 0 AND row_idx = 1 AND col_idx = 3) OR (table_idx % 19 = 0 AND row_idx = 1 AND col_idx = 2) THEN 2 END AS col_span
+    FROM cells WHERE NOT (row_idx = 1 AND col_idx = 4 AND (table_idx % 5 = 0 OR table_idx % 9 = 4)) AND table_idx % 17 <> 1)"""
+
+
+@query(
+    "grid_invariants",
+    f"""WITH {O.CELLS}, {_SPANS},
+      ow AS (SELECT doc_id, table_idx, max(row_idx) + 1 AS nr FROM sp GROUP BY 1, 2),
+      po AS (SELECT doc_id, table_idx, pr, pc, count(*) AS n, bool_or(pr > row_idx) AS merged, bool_or(trim(text) <> '') AS f FROM (
+        SELECT *, unnest(range(col_idx, col_idx + coalesce(col_span, 1))) AS pc FROM (SELECT *, unnest(range(row_idx, row_idx + coalesce(row_span, 1))) AS pr FROM sp)) GROUP BY 1, 2, 3, 4),
+      ro AS (SELECT doc_id, table_idx, nr, pr, count(*) AS width, max(pc) + 1 AS reach, count(*) FILTER (f) AS filled, bool_or(merged AND (n > 1 OR pr >= nr)) AS mis, bool_or(n > 1 AND NOT merged) AS col FROM po JOIN ow USING (doc_id, table_idx) GROUP BY 1, 2, 3, 4),
+      gr AS (SELECT doc_id, table_idx, nr, max(reach) FILTER (pr < nr) AS cols, min(width) FILTER (pr < nr) AS narrow, count(*) FILTER (pr < nr) AS held, sum(filled) FILTER (pr < nr) AS filled, bool_or(mis) AS mis, bool_or(col) AS col FROM ro GROUP BY 1, 2, 3),
+      hd AS (SELECT doc_id, table_idx, count(*) <> count(DISTINCT trim(text)) AS twice FROM sp WHERE row_idx = 0 GROUP BY 1, 2),
+      fl AS (SELECT t.doc_id, t.table_idx, nr IS NULL AS empty, coalesce(narrow <> cols OR held <> nr, false) AS ragged, coalesce(twice, false) AS twice, coalesce(CASE WHEN t.table_idx % 13 = 2 THEN cols <> 6 END, false) AS mism, coalesce(mis, false) AS mis, coalesce(col, false) AS col,
+        filled / (nr * cols) AS fill FROM (SELECT DISTINCT l_orderkey % 1000 AS doc_id, l_orderkey AS table_idx FROM lineitem) t LEFT JOIN gr USING (doc_id, table_idx) LEFT JOIN hd USING (doc_id, table_idx)),
+      sc AS (SELECT *, greatest(0, least(1, 1.0 - CASE WHEN ragged THEN 0.5 ELSE 0 END - CASE WHEN twice THEN 0.5 ELSE 0 END - CASE WHEN mism THEN 0.2 ELSE 0 END - CASE WHEN mis THEN 0.2 ELSE 0 END - CASE WHEN col THEN 0.1 ELSE 0 END
+        - CASE WHEN fill < 0.1 THEN 0.3 WHEN fill < 0.5 THEN 0.1 ELSE 0 END)) AS raw FROM fl),
+      fs AS (SELECT *, CASE WHEN empty THEN 0.0 WHEN ragged OR twice THEN least(raw, 0.55) ELSE raw END AS s FROM sc)
+      SELECT doc_id, table_idx, round(s, 2)::DOUBLE AS quality_score, concat_ws(',', CASE WHEN empty THEN 'empty_grid' END, CASE WHEN ragged THEN 'row_col_count' END, CASE WHEN twice THEN 'duplicate_periods' END, CASE WHEN mism THEN 'grid_col_mismatch' END,
+        CASE WHEN mis THEN 'vmerge_misalign' END, CASE WHEN col THEN 'soft_anomaly' END) AS violations, s >= 0.6 AND NOT empty AND NOT ragged AND NOT twice AS usable FROM fs""",
+)
+def grid_invariants(spark, sf):
+    """Cells of orders with merges over columns and rows, some onto other cells, out of the table, or missing."""
+    from tieout.operators import grids as G
+
+    k, r, c = F.col("table_idx"), F.col("row_idx"), F.col("col_idx")
+    cells = V.cell_rows(spark, sf).where(~((r == 1) & (c == 4) & ((k % 5 == 0) | (k % 9 == 4))) & (k % 17 != 1))
+    text = F.when((r == 0) & (c == 4) & (k % 11 == 3), "Note").when((k % 3 == 0) & (r > 0) & (c > 0), "").otherwise(F.col("text"))
+    cells = cells.withColumns({
+        "text": text, "row_span": F.when((k % 7 == 0) & (r == 1) & (c == 0), 2),
+        "col_span": F.when(((k % 5 == 0) & (r == 1) & (c == 3)) | ((k % 19 == 0) & (r == 1) & (c == 2)), 2),
+    })
+    tables = V.table(spark, sf, "lineitem").select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx")).distinct().withColumn("expected_cols", F.when(F.col("table_idx") % 13 == 2, 6))
+    return G.grid_invariants(cells, tables).select("doc_id", "table_idx", "quality_score", F.array_join("violations", ",").alias("violations"), "usable")
