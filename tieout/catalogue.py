@@ -6,81 +6,77 @@ Everything here is data that results depend on; keep it literal and in natural o
 # --- signed statement formulas: (formula, parent, children); '-' marks a negative term
 
 
-def _codes(text: str) -> list[str]:
-    return text.split()
-
-
 BALANCE_RULES = [
-    ("100", "100", _codes("110 120 130 140 150 160")),
-    ("110", "110", _codes("111 112")),
-    ("120", "120", _codes("121 122 123 124 125 126")),
-    ("130", "130", _codes("131 132 133 134 135 136 137")),
-    ("140", "140", _codes("141 142")),
-    ("150", "150", _codes("151 152 153")),
-    ("160", "160", _codes("161 162 163 164 165")),
-    ("200", "200", _codes("210 220 230 240 250 260 270")),
-    ("210", "210", _codes("211 212 213 214 215 216")),
-    ("220", "220", _codes("221 224 227")),
-    ("221", "221", _codes("222 223")),
-    ("224", "224", _codes("225 226")),
-    ("227", "227", _codes("228 229")),
-    ("230", "230", _codes("231 236 237 238")),
-    ("231", "231", _codes("232 233")),
-    ("233", "233", _codes("234 235")),
-    ("240", "240", _codes("241 242")),
-    ("250", "250", _codes("251 252")),
-    ("260", "260", _codes("261 262 263 264 265 266")),
-    ("270", "270", _codes("271 272 273 274 279")),
-    ("280", "280", _codes("100 200")),
-    ("300", "300", _codes("310 330")),
+    ("100", "100", ["110", "120", "130", "140", "150", "160"]),
+    ("110", "110", ["111", "112"]),
+    ("120", "120", ["121", "122", "123", "124", "125", "126"]),
+    ("130", "130", ["131", "132", "133", "134", "135", "136", "137"]),
+    ("140", "140", ["141", "142"]),
+    ("150", "150", ["151", "152", "153"]),
+    ("160", "160", ["161", "162", "163", "164", "165"]),
+    ("200", "200", ["210", "220", "230", "240", "250", "260", "270"]),
+    ("210", "210", ["211", "212", "213", "214", "215", "216"]),
+    ("220", "220", ["221", "224", "227"]),
+    ("221", "221", ["222", "223"]),
+    ("224", "224", ["225", "226"]),
+    ("227", "227", ["228", "229"]),
+    ("230", "230", ["231", "236", "237", "238"]),
+    ("231", "231", ["232", "233"]),
+    ("233", "233", ["234", "235"]),
+    ("240", "240", ["241", "242"]),
+    ("250", "250", ["251", "252"]),
+    ("260", "260", ["261", "262", "263", "264", "265", "266"]),
+    ("270", "270", ["271", "272", "273", "274", "279"]),
+    ("280", "280", ["100", "200"]),
+    ("300", "300", ["310", "330"]),
     ("310", "310", [str(c) for c in range(311, 326)]),
     ("330", "330", [str(c) for c in range(331, 345)]),
-    ("400", "400", _codes("411 412 413 414 415 416 417 418 419 420 429")),
-    ("411", "411", _codes("411A 411B")),
-    ("420", "420", _codes("420A 420B")),
-    ("440", "440", _codes("300 400")),
+    ("400", "400", ["411", "412", "413", "414", "415", "416", "417", "418", "419", "420", "429"]),
+    ("411", "411", ["411A", "411B"]),
+    ("420", "420", ["420A", "420B"]),
+    ("440", "440", ["300", "400"]),
 ]
 
 INCOME_RULES_BASELINE = [
-    ("10", "10", _codes("01 -02")),
-    ("20 from 10", "20", _codes("10 -11")),
-    ("20 from 01", "20", _codes("01 -02 -11")),
-    ("30", "30", _codes("20 21 22 -23 -25 -26 27")),
-    ("40", "40", _codes("31 -32")),
-    ("50", "50", _codes("30 40")),
-    ("60 after tax", "60", _codes("50 -51 -52")),
-    ("60 by owner", "60", _codes("61 62")),
+    ("10", "10", ["01", "-02"]),
+    ("20 from 10", "20", ["10", "-11"]),
+    ("20 from 01", "20", ["01", "-02", "-11"]),
+    ("30", "30", ["20", "21", "22", "-23", "-25", "-26", "27"]),
+    ("40", "40", ["31", "-32"]),
+    ("50", "50", ["30", "40"]),
+    ("60 after tax", "60", ["50", "-51", "-52"]),
+    ("60 by owner", "60", ["61", "62"]),
 ]
 
 CASH_FLOW_RULES_BASELINE = [
-    ("08", "08", _codes("01 02 03 04 05 06 07")),
-    ("18", "18", _codes("08 09 10 11 12 13")),
-    ("20", "20", _codes("08 09 10 11 12 13 14 15 16 17")),
-    ("30", "30", _codes("21 22 23 24 25 26 27")),
-    ("40", "40", _codes("31 32 33 34 35 36")),
-    ("50", "50", _codes("20 30 40")),
-    ("70", "70", _codes("50 60 61")),
+    ("08", "08", ["01", "02", "03", "04", "05", "06", "07"]),
+    ("18", "18", ["08", "09", "10", "11", "12", "13"]),
+    ("20", "20", ["08", "09", "10", "11", "12", "13", "14", "15", "16", "17"]),
+    ("30", "30", ["21", "22", "23", "24", "25", "26", "27"]),
+    ("40", "40", ["31", "32", "33", "34", "35", "36"]),
+    ("50", "50", ["20", "30", "40"]),
+    ("70", "70", ["50", "60", "61"]),
 ]
 
 CASH_FLOW_PROFILES = [
-    ("08", "08", _codes("01 02 03 04 05 06 07")),
-    ("18", "18", _codes("14 15 16 17")),
-    ("20", "20", _codes("08 09 10 11 12 13 14 15 16 17")),
-    ("30", "30", _codes("21 22 23 24 25 26 27")),
-    ("40", "40", _codes("31 32 33 34 35 36")),
-    ("50", "50", _codes("20 30 40")),
-    ("60", "60", _codes("50 51 52 53 54 55 56 57")),
-    ("70", "70", _codes("60 61")),
+    ("08", "08", ["01", "02", "03", "04", "05", "06", "07"]),
+    ("18", "18", ["14", "15", "16", "17"]),
+    ("20", "20", ["08", "09", "10", "11", "12", "13", "14", "15", "16", "17"]),
+    ("30", "30", ["21", "22", "23", "24", "25", "26", "27"]),
+    ("40", "40", ["31", "32", "33", "34", "35", "36"]),
+    ("50", "50", ["20", "30", "40"]),
+    ("60", "60", ["50", "51", "52", "53", "54", "55", "56", "57"]),
+    ("70", "70", ["60", "61"]),
 ]
 
 BALANCE_IDENTITIES = [
-    ("270 = 100 + 200", "270", _codes("100 200")),
-    ("440 = 300 + 400", "440", _codes("300 400")),
-    ("270 = 440", "270", _codes("440")),
+    ("270 = 100 + 200", "270", ["100", "200"]),
+    ("440 = 300 + 400", "440", ["300", "400"]),
+    ("270 = 440", "270", ["440"]),
 ]
 
-NEW_FORM_MARKERS = _codes("160 161 162 163 164 165 280 325 344")
-OLD_FORM_MARKERS = _codes("270 410 430 440")
+NEW_FORM_MARKERS = ["160", "161", "162", "163", "164", "165", "280", "325", "344"]
+OLD_FORM_MARKERS = ["270", "410", "430", "440"]
 
 SUBTOTAL_WORDS_CASH_FLOW = [
     "subtotal", "cash generated from operations", "total from operating",

@@ -13,11 +13,20 @@ from tieout import catalogue as C
 TABLE_KEY = ["doc_id", "table_idx"]
 
 # Code sets and wording per statement family.
-BS_CODES = "100 110 120 130 140 150 200 210 220 230 240 250 260 261 262 270 300 310 311 312 313 314 315 320 330 400 410 411 412 420 421 430 440".split()
-IS_CODES = "01 02 10 11 20 21 22 23 24 25 26 30 31 32 40 50 51 52 60 61 62".split()
-CF_CODES = "01 02 03 04 05 06 07 08 09 10 11 12 13 14 15 16 17 20 21 22 23 24 25 26 27 30 31 32 33 34 35 36 40 50 60 61 70".split()
-IS_ONLY = "51 52 62 71".split()
-CF_ONLY = "03 04 05 06 07 08 09 12 13 14 15 16 17 18 27 33 34 35 36".split()
+BS_CODES = [
+    "100", "110", "120", "130", "140", "150", "200", "210", "220", "230", "240", "250", "260", "261", "262", "270", "300", "310", "311", "312",
+    "313", "314", "315", "320", "330", "400", "410", "411", "412", "420", "421", "430", "440",
+]
+IS_CODES = [
+    "01", "02", "10", "11", "20", "21", "22", "23", "24", "25", "26", "30", "31", "32", "40", "50", "51", "52", "60", "61",
+    "62",
+]
+CF_CODES = [
+    "01", "02", "03", "04", "05", "06", "07", "08", "09", "10", "11", "12", "13", "14", "15", "16", "17", "20", "21", "22",
+    "23", "24", "25", "26", "27", "30", "31", "32", "33", "34", "35", "36", "40", "50", "60", "61", "70",
+]
+IS_ONLY = ["51", "52", "62", "71"]
+CF_ONLY = ["03", "04", "05", "06", "07", "08", "09", "12", "13", "14", "15", "16", "17", "18", "27", "33", "34", "35", "36"]
 KEYWORDS = {
     "assets": ["assets", "tài sản"],
     "liabilities": ["liabilities", "nợ phải trả"],

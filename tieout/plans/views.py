@@ -72,10 +72,11 @@ def note_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The codes of the balance-sheet catalogue that views draw from.
-BALANCE_CODES = (
-    "100 110 111 112 120 121 122 130 131 132 140 141 142 150 151 200 210 211 212 220 "
-    "221 222 223 250 260 270 280 300 310 311 312 330 331 332 400 411 411A 411B 420 420A 420B 440"
-).split()
+BALANCE_CODES = [
+    "100", "110", "111", "112", "120", "121", "122", "130", "131", "132", "140", "141", "142", "150", "151", "200",
+    "210", "211", "212", "220", "221", "222", "223", "250", "260", "270", "280", "300", "310", "311", "312", "330",
+    "331", "332", "400", "411", "411A", "411B", "420", "420A", "420B", "440",
+]
 
 
 def statement_rows(spark: SparkSession, sf_dir: str, family: str = "FS_INCOME_STATEMENT") -> DataFrame:
