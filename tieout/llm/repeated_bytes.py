@@ -224,7 +224,8 @@ def repeated_windows(narrow: DataFrame, width: int, shard_bytes: int, split: int
     dealt = parts.filter("NOT full").select(F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)).alias("shard"), "anchor", "content", "window", "string")
     by_sort = dealt.groupBy("shard").applyInArrow(sort_shard(width), "anchor long, content long, window int, bits binary")
     windows = parts.filter("full").select("anchor", "content", "window", "string").mapInArrow(single_windows(width), CUT).drop("string")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
+    windows = stored(windows)
+    twice = stored(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"))
     by_hash = windows.join(twice, ["h1", "h2"]).select("anchor", "content", "window", F.lit(None).cast("binary").alias("bits"))
     found_bits = by_sort.unionByName(by_hash).groupBy("anchor", "content").agg(F.collect_list(F.struct("window", "bits")).alias("parts")).mapInArrow(as_bits, BITS)
     known = kinds.select("anchor", "content", "n").join(found_bits, ["anchor", "content"], "left")
