@@ -326,7 +326,8 @@ def assign_tokens(tokens: DataFrame, boxes: DataFrame, tile: int = 64) -> DataFr
     """Each token to its best-scored box whose area holds the token's centre.
 
     Tokens and boxes meet per tile of the page, so a page with many of both never forms all pairs;
-    a pair seen in several tiles is collapsed by the final aggregation.
+    of the tiles that a pair shares, that with the first corner of its overlap keeps it. Only overlapping
+    pairs are scored. The join is a merge join: sizes estimated before tiles are exploded are far too small.
     """
     def tiles(df: DataFrame) -> DataFrame:
         span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
@@ -335,7 +336,9 @@ def assign_tokens(tokens: DataFrame, boxes: DataFrame, tile: int = 64) -> DataFr
     side = {c: F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")}
     tok = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
     b = tiles(boxes).select(*TABLE_KEY, "_tx", "_ty", "row_idx", "col_idx", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    j = tiles(tokens).join(b, [*TABLE_KEY, "_tx", "_ty"]).withColumn("score", F.round(box_score(tok, side), 9)).where("score > 0")
+    left, top = F.greatest("x1", "b_x1"), F.greatest("y1", "b_y1")
+    met = (left < F.least("x2", "b_x2")) & (top < F.least("y2", "b_y2")) & (F.floor(left / tile) == F.col("_tx")) & (F.floor(top / tile) == F.col("_ty"))
+    j = tiles(tokens).join(b.hint("merge"), [*TABLE_KEY, "_tx", "_ty"]).where(met).withColumn("score", F.round(box_score(tok, side), 9)).where("score > 0")
     best = j.groupBy(*TABLE_KEY, "token_id").agg(
         F.max_by(
             F.struct("row_idx", "col_idx", "score", "text", "x1", "y1", centre_inside(tok, side).alias("inside")),
