@@ -2,7 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tieout.operators import scans
 from tieout.operators.scans import Scan, dense_positions, scan
+from tieout.session import checkpoint
 
 
 def brute(rows):
@@ -43,3 +45,27 @@ def test_dense_positions(spark):
     df = spark.createDataFrame([("a", i * 37 % 101) for i in range(101)], "k string, v int")
     got = dense_positions(df, ["k"], ["v"], [F.floor(F.col("v") / 10)])
     assert all(r.row_idx == r.v for r in got.collect())
+
+
+def test_small_groups_need_one_shuffle_and_no_join(spark, capsys, monkeypatch):
+    rnd = random.Random(3)
+    data = [(k, rnd.randint(0, 50), i) for k in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(data, "k string, v int, i int")
+    plain = dense_positions(df, ["k"], ["v", "i"], [F.floor(F.col("v") / 10)])
+    run = scan(checkpoint(plain), ["k"], "row_idx", [Scan("s", "sum", "i"), Scan("p", "lag", "i")])
+    for out in (plain, run):
+        out.explain()
+        plan = capsys.readouterr().out
+        assert "Join" not in plan and plan.count("Exchange") == 1
+    few = sorted(map(tuple, plain.collect()))
+    monkeypatch.setattr(scans, "CHUNK_ROWS", 7)  # groups are larger now: in chunks, with the same numbers
+    assert sorted(map(tuple, dense_positions(df, ["k"], ["v", "i"], [F.floor(F.col("v") / 10)]).collect())) == few
+    cut = scan(plain, ["k"], "row_idx", [Scan("s", "sum", "i"), Scan("p", "lag", "i")], chunk_rows=7)
+    assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, run.collect()), key=repr)
+
+
+def test_checkpoint_is_columnar(spark, capsys):
+    kept = checkpoint(spark.createDataFrame([(1, "x", [1.0, None])], "k int, `two words` string, a array<double>"))
+    kept.select("k").explain()
+    assert "FileScan parquet" in capsys.readouterr().out
+    assert [tuple(r) for r in kept.collect()] == [(1, "x", [1.0, None])]
