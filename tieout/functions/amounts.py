@@ -10,7 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
-PLAIN = r"^-?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"
+_GROUPED = r"(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+PLAIN = rf"^-?{_GROUPED}$"
+#: A plain number in parentheses, or behind a word, or in front of a minus sign.
+MARKED = rf"^(?:\({_GROUPED}\)|(?:[A-Za-z]+ )?{_GROUPED}(?: -)?)\z"
+#: Thousands marked by dots in front of a decimal comma, or by spaces in a whole number.
+SWAPPED = r"^\d{1,3}(?:(?:\.\d{3})+,\d+|(?:[ \u00a0]\d{3})+)\z"
 MAX_PARSE_LENGTH = 1000
 MAX_ABS_AMOUNT = 1e15
 
@@ -29,10 +34,16 @@ def parse_simple(c: Column) -> Column:
 def parse_amount(c: Column) -> Column:
     """Locale-tolerant amount parse; NULL for blanks, dashes and junk.
 
-    Plain and comma-grouped numbers take one pattern test; only the rest pays for the chain.
+    Usual notations take a pattern test or two, text without digits is no amount; only the rest pays for the chain.
     """
     plain = F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    return F.when(c.rlike(PLAIN), plain).otherwise(_parse_messy(c))
+    size = F.replace(F.regexp_extract(c, _GROUPED, 0), F.lit(","), F.lit("")).try_cast("double")
+    marked = F.when(c.startswith("(") | c.endswith("-"), -size).otherwise(size)
+    swapped = F.translate(c, ",. \u00a0", ".").try_cast("double")
+    return (
+        F.when(c.rlike(PLAIN), plain).when(~c.rlike("[0-9]"), None).when(c.rlike(MARKED), marked).when(c.rlike(SWAPPED), swapped)
+        .otherwise(_parse_messy(c))
+    )
 
 
 def _parse_messy(c: Column) -> Column:

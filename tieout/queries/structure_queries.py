@@ -21,10 +21,8 @@ _BODY = f"""{O.CELLS}, body AS (SELECT doc_id, table_idx, row_idx - 1 AS row_idx
 
 
 def _split(spark, sf):
-    cells = V.cell_rows(spark, sf)
-    body = cells.where("row_idx > 0").withColumn("row_idx", F.col("row_idx") - 1)
-    headers = cells.where("row_idx = 0").select("doc_id", "table_idx", "col_idx", F.col("text").alias("header"))
-    return body, headers
+    body, heads = V.cell_parts(spark, sf)
+    return body.withColumn("row_idx", F.col("row_idx") - 1), heads.select("doc_id", "table_idx", "col_idx", F.col("text").alias("header"))
 
 
 @query(
