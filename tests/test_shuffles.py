@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tieout.operators import crosscheck as X
 from tieout.operators import tie_outs as T
 from tieout.session import deal
 
@@ -27,3 +28,12 @@ def test_dealt_notes_give_the_same_sums(rows):
     want = T.segment_sums(cells(notes), heads).collect()
     got = T.segment_sums(cells(deal(notes, KEY, 90)), heads, 90).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 18
+
+
+def test_facts_of_small_documents_are_moved_once(rows):
+    schema = "doc_id long, account_key string, seq long, cy double, py double"
+    facts = rows(schema, *[(d, a, s, float(s), 1.0) for d in (1, 2) for a in ("cash", "tax") for s in (1, 5, 900000)], (1, None, 1, 3.0, 1.0))
+    notes = rows(schema, *[(d, a, s, 2.0, 2.0) for d in (1, 3) for a in ("cash", "tax") for s in (1, 2, 6, 1000000)], (1, None, 7, 2.0, 2.0))
+    small, cut = X.as_of_facts(notes, facts), X.as_of_facts(notes, facts, chunk_rows=2)
+    assert plan(small).count("Exchange hashpartitioning") == 1 < plan(cut).count("Exchange hashpartitioning")
+    assert sorted(map(str, small.collect())) == sorted(map(str, cut.collect()))

@@ -13,7 +13,7 @@ from tieout import catalogue as C
 from tieout.functions.evidence import to_evidence
 from tieout.functions.literals import literal_array
 from tieout.functions.tolerance import Materiality, amounts_match
-from tieout.operators.scans import CHUNK_ROWS, Scan, scan
+from tieout.operators.scans import CHUNK_ROWS, Scan, groups_fit, scan
 from tieout.session import fixed_table
 
 TABLE_KEY = ["doc_id", "table_idx"]
@@ -29,8 +29,10 @@ def as_of_facts(probes: DataFrame, facts: DataFrame, chunk_rows: int = CHUNK_ROW
     log = facts.select(*ACCOUNT, "seq", F.struct("cy", "py").alias("_fact"), F.lit(1).alias("_side"))
     ask = probes.withColumn("_side", F.lit(0))
     both = ask.unionByName(log, allowMissingColumns=True).withColumn("_pos", F.col("seq") * 2 + F.col("_side"))
+    # documents without many facts and probes have no large account either: one shuffle of the rows does
+    small = groups_fit(both, ["doc_id"], chunk_rows)
     seen = scan(both, ACCOUNT, "_pos", [Scan("_seen", "last", F.col("_fact"), inclusive=False)],
-                chunk=F.floor(F.col("_pos") / chunk_rows))
+                chunk=None if small else F.floor(F.col("_pos") / chunk_rows), small=small)
     return seen.where("_side = 0").select(
         *ACCOUNT, "seq", *cols, F.col("_seen.cy").alias("fact_cy"), F.col("_seen.py").alias("fact_py")
     )
