@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tieout.operators import crosscheck as X
+from tieout.operators import ingest as I
 from tieout.operators import tie_outs as T
 from tieout.session import deal
 
@@ -37,3 +38,11 @@ def test_facts_of_small_documents_are_moved_once(rows):
     small, cut = X.as_of_facts(notes, facts), X.as_of_facts(notes, facts, chunk_rows=2)
     assert plan(small).count("Exchange hashpartitioning") == 1 < plan(cut).count("Exchange hashpartitioning")
     assert sorted(map(str, small.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_header_range_joins_nothing(rows):
+    texts = [["Item", "x", "y"], ["Code", "Note", "2024"], ["", "", "VND"], ["A long description of a balance", "1", "2,000"], ["Code", "Note", "2023"]]
+    cells = rows("doc_id int, table_idx int, row_idx int, col_idx int, text string", *[(1, 1, r, c, t) for r, line in enumerate(texts) for c, t in enumerate(line)], (1, 2, 0, 0, "no header"))
+    got = I.header_range(cells, ["code"], ["note"])
+    assert "Join" not in plan(got)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 1, 2)]

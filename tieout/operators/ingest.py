@@ -147,7 +147,7 @@ def heading_from_first_row(cells: DataFrame) -> DataFrame:
 def header_range(cells: DataFrame, code_words: list[str], note_words: list[str], scan_rows: int = 15) -> DataFrame:
     """First header-like row (code 2, note 1, year 1 points; ≥ 3) and how far the header reaches down."""
     t = F.lower(F.trim(F.coalesce("text", F.lit(""))))
-    starts = lambda words: t.isin(words) | F.exists(literal_array(words), lambda w: F.startswith(t, w))
+    starts = lambda words: t.rlike("^(?:" + "|".join(f"\\Q{w}\\E" for w in words) + ")") if words else F.lit(False)
     year = t.rlike(r"20\d{2}|19\d{2}|\d{1,2}/\d{1,2}/\d{2,4}")
     filled = t != ""
     points = F.when(~filled, 0).otherwise(
@@ -160,12 +160,13 @@ def header_range(cells: DataFrame, code_words: list[str], note_words: list[str],
     )
     strong = (F.col("score") >= 3) & (F.col("code") | (F.col("note") & F.col("year")))
     soft = (F.col("density") < 0.5) & ((F.col("score") >= 2) | (F.col("longest") < 20))
-    rows = rows.withColumn("_strong", strong).withColumn("_go", strong | soft)
-    start = rows.where("_strong").groupBy(*TABLE_KEY).agg(F.min("row_idx").alias("start_row"))
-    j = rows.join(start, TABLE_KEY).where("row_idx >= start_row")
-    return j.groupBy(*TABLE_KEY, "start_row").agg(
-        (F.coalesce(F.min(F.when(~F.col("_go"), F.col("row_idx"))), F.max("row_idx") + 1) - 1).alias("end_row")
-    )
+    # no more rows per table than are scanned, so they meet in one array
+    r = rows.groupBy(*TABLE_KEY).agg(F.collect_list(F.struct("row_idx", strong.alias("strong"), (strong | soft).alias("go"))).alias("_r"))
+    first = lambda held: F.array_min(F.transform(F.filter("_r", held), lambda x: x["row_idx"]))
+    r = r.withColumn("start_row", first(lambda x: x["strong"])).where("start_row is not null")
+    stop = first(lambda x: ~x["go"] & (x["row_idx"] >= F.col("start_row")))
+    end = F.coalesce(stop, F.array_max(F.transform("_r", lambda x: x["row_idx"])) + 1) - 1
+    return r.select(*TABLE_KEY, "start_row", end.alias("end_row"))
 
 
 def consolidate_headers(cells: DataFrame, ranges: DataFrame) -> DataFrame:
