@@ -46,3 +46,12 @@ def test_header_range_joins_nothing(rows):
     got = I.header_range(cells, ["code"], ["note"])
     assert "Join" not in plan(got)
     assert [tuple(r) for r in got.collect()] == [(1, 1, 1, 2)]
+
+
+def test_merged_columns_count_different_values(rows):
+    cells = rows("doc_id int, table_idx int, row_idx int, col_idx int, text string", (1, 1, 0, 1, " a "), (1, 1, 0, 2, "b"), (1, 1, 1, 1, ""), (1, 1, 1, 2, "c"), (1, 1, 0, 3, "v"), (1, 1, 0, 4, "no header"))
+    heads = rows("doc_id int, table_idx int, col_idx int, header string", (1, 1, 1, "Code"), (1, 1, 2, "Code.1"), (1, 1, 3, "Amount"))
+    got = sorted(map(tuple, I.merged_columns(cells, heads).collect()))
+    assert got == [(1, 1, 0, 1, "Code", "a", 2), (1, 1, 0, 3, "Amount", "v", 1), (1, 1, 1, 1, "Code", "c", 1)]
+    m, log = I.canonical_columns(cells, heads)
+    assert m.count() == 3 and [tuple(r) for r in log.collect()] == [(1, 1, 0, "Code", 2)]

@@ -9,7 +9,7 @@ from tieout.functions.amounts import parse_amount
 from tieout.functions.text import box_score, centre_inside, period_key
 from tieout.functions.literals import contains_any as any_of
 from tieout.functions.literals import literal_array
-from tieout.operators.scans import Scan, scan
+from tieout.operators.scans import Scan, join_tables, scan
 from tieout.session import checkpoint
 
 TABLE_KEY = ["doc_id", "table_idx"]
@@ -362,18 +362,25 @@ def cell_texts(assigned: DataFrame, line_height: int = 10) -> DataFrame:
     )
 
 
-def canonical_columns(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge ``Code, Code.1, …`` into one column, first filled value per row, and log conflicts."""
+def merged_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """Merge ``Code, Code.1, …`` into one column, first filled value per row; n_values counts the different ones.
+
+    A table's headers (one per column) stand beside its cells as one array, so that only the table decides where cells go.
+    """
     base = F.regexp_replace("header", r"\.\d+$", "")
-    named = cells.join(headers, [*TABLE_KEY, "col_idx"]).withColumn("base", base)
-    filled = F.when(F.trim("text") != "", F.struct("col_idx", F.trim("text").alias("t")))
-    m = named.groupBy(*TABLE_KEY, "row_idx", "base").agg(
-        F.min("col_idx").alias("col_idx"), F.min(filled).alias("v"), F.count_distinct(F.when(F.trim("text") != "", F.trim("text"))).alias("n")
-    )
-    return (
-        m.select(*TABLE_KEY, "row_idx", "col_idx", F.col("base").alias("header"), F.coalesce("v.t", F.lit("")).alias("text")),
-        m.where("n > 1").select(*TABLE_KEY, "row_idx", F.col("base").alias("header"), F.col("n").alias("n_values")),
+    heads = headers.groupBy(*TABLE_KEY).agg(F.collect_list(F.struct("col_idx", base.alias("base"))).alias("_h"))
+    named = join_tables(cells, heads, TABLE_KEY).withColumn("_h", F.get(F.filter("_h", lambda x: x["col_idx"] == F.col("col_idx")), F.lit(0)))
+    t = F.when(F.trim("text") != "", F.trim("text"))
+    m = named.where("_h is not null").groupBy(*TABLE_KEY, "row_idx", F.col("_h.base").alias("header")).agg(
+        F.min("col_idx").alias("col_idx"), F.min(F.when(t.isNotNull(), F.struct("col_idx", t.alias("t")))).alias("v"), F.count_distinct(t).alias("n_values")
     )
+    return m.select(*TABLE_KEY, "row_idx", "col_idx", "header", F.coalesce("v.t", F.lit("")).alias("text"), "n_values")
+
+
+def canonical_columns(cells: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`merged_columns`, and the log of conflicts apart."""
+    m = merged_columns(cells, headers)
+    return m.drop("n_values"), m.where("n_values > 1").select(*TABLE_KEY, "row_idx", "header", "n_values")
 
 
 def drop_index_rows(cells: DataFrame) -> DataFrame:

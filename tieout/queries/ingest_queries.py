@@ -277,9 +277,7 @@ def canonical_columns(spark, sf):
     # code and note both act as "Code"; on even rows the first of the two is blank
     c = V.cell_rows(spark, sf).where("row_idx > 0").withColumn("text", F.when((F.col("row_idx") % 2 == 0) & (F.col("col_idx") == 1), "").otherwise(F.col("text")))
     headers = c.select("doc_id", "table_idx", "col_idx").distinct().withColumn("header", F.when(F.col("col_idx") == 1, "Code").when(F.col("col_idx") == 2, "Code.1").otherwise(F.concat(F.lit("Column "), "col_idx")))
-    merged, conflicts = I.canonical_columns(c, headers)
-    flag = conflicts.select("doc_id", "table_idx", "row_idx", F.lit(True).alias("conflict"))
-    return merged.join(flag.withColumn("header", F.lit("Code")), ["doc_id", "table_idx", "row_idx", "header"], "left").select("doc_id", "table_idx", "row_idx", "header", "text", F.coalesce("conflict", F.lit(False)).alias("conflict"))
+    return I.merged_columns(c, headers).select("doc_id", "table_idx", "row_idx", "header", "text", (F.col("n_values") > 1).alias("conflict"))
 
 
 @query(
