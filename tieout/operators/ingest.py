@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tieout.functions.amounts import parse_amount
 from tieout.functions.text import box_score, centre_inside, period_key
 from tieout.functions.literals import contains_any as any_of
-from tieout.functions.literals import literal_array
 from tieout.operators.scans import Scan, join_tables, scan
 from tieout.session import checkpoint
 
