@@ -17,6 +17,7 @@ from tieout.functions.evidence import EVIDENCE_COLUMNS
 from tieout.functions.tolerance import Materiality
 from tieout.operators import classify as C
 from tieout.operators import notes as N
+from tieout.operators.scans import one_chunk, stored
 from tieout.operators.sums import details_against_total
 from tieout.session import checkpoint, fixed_table
 
@@ -35,28 +36,30 @@ ALLOWED = {
 }
 
 
-def structured(notes: DataFrame) -> DataFrame:
-    """Rows with has_numeric, kind and seg."""
+def structured(notes: DataFrame, small: bool | None = None) -> DataFrame:
+    """Rows with has_numeric, kind and seg; rows that have them are taken as they are. ``small`` as in ``scans.scan``."""
+    if "seg" in notes.columns:
+        return notes
     rows = notes.withColumn("has_numeric", F.col("value").isNotNull())
-    return N.with_segments(rows.withColumn("kind", N.row_kind(F.col("label"), F.col("has_numeric"))))
+    return N.with_segments(rows.withColumn("kind", N.row_kind(F.col("label"), F.col("has_numeric"))), small)
 
 
-def note_plans(rows: DataFrame, headings: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+def note_plans(rows: DataFrame, headings: DataFrame, columns: DataFrame | None = None, segs: DataFrame | None = None) -> DataFrame:
     """One row per table: is_movement, has_scopes, has_column_plan, has_netting_plan, numeric, mode, status.
 
     A movement needs a segment with opening, closing and a movement row. Headings without totals have no scopes;
-    listings without explicit scopes may have implicit totals. status is OK, NO_TOTAL or UNDETERMINED.
+    listings without explicit scopes may have implicit totals. status is OK, NO_TOTAL or UNDETERMINED. ``segs``: segments of the rows with their totals, where a caller has them.
     """
-    segs = N.segments(rows)
+    small = one_chunk(rows)
+    segs = checkpoint(N.segments(rows, small, totals=True)) if segs is None else segs  # read per table and for scopes
     h = F.lower(F.trim(F.coalesce("heading", F.lit(""))))
     named = headings.select(*TABLE_KEY, "heading", h.rlike(N.LISTING_HEADING).alias("_listing"), h.isin([x.lower() for x in K.TABLES_WITHOUT_TOTAL]).alias("_no_total"))
-    moving = segs.groupBy(*TABLE_KEY).agg(F.bool_or(F.col("ob_row").isNotNull() & F.col("cb_row").isNotNull() & (F.col("n_moves") >= 1)).alias("is_movement"))
+    moving = segs.groupBy(*TABLE_KEY).agg(F.bool_or(F.col("ob_row").isNotNull() & F.col("cb_row").isNotNull() & (F.col("n_moves") >= 1)).alias("is_movement"), F.bool_or("numeric").alias("numeric"))
     scoped = note_scopes(rows, segs, headings).select(*TABLE_KEY).distinct().withColumn("_scoped", F.lit(True))
-    implicit = N.implicit_totals(rows.join(named.where("_listing AND NOT _no_total").select(*TABLE_KEY), TABLE_KEY, "left_semi")).select(*TABLE_KEY).distinct().withColumn("_implicit", F.lit(True))
+    implicit = N.implicit_totals(rows.join(named.where("_listing AND NOT _no_total").select(*TABLE_KEY), TABLE_KEY, "left_semi"), small).select(*TABLE_KEY).distinct().withColumn("_implicit", F.lit(True))
     netting = N.netting_plan(rows).select(*TABLE_KEY).distinct().withColumn("_netting", F.lit(True))
     plan = None if columns is None else N.movement_columns_plan(columns.select(*TABLE_KEY, "col_idx", "header").distinct()).select(*TABLE_KEY).withColumn("_columns", F.lit(True))
-    numeric = rows.groupBy(*TABLE_KEY).agg(F.bool_or("has_numeric").alias("numeric"))
-    j = named.join(moving, TABLE_KEY).join(numeric, TABLE_KEY).join(scoped, TABLE_KEY, "left").join(implicit, TABLE_KEY, "left").join(netting, TABLE_KEY, "left")
+    j = named.join(moving, TABLE_KEY).join(scoped, TABLE_KEY, "left").join(implicit, TABLE_KEY, "left").join(netting, TABLE_KEY, "left")
     j = j.join(plan, TABLE_KEY, "left") if plan is not None else j.withColumn("_columns", F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     flags = j.select(
@@ -92,9 +95,10 @@ def audit_notes(notes: DataFrame, headings: DataFrame, columns: DataFrame | None
     are listings; numeric tables without any finding are reported as unverified.
     """
     m = materiality or Materiality()
-    rows = checkpoint(structured(notes))
-    plans = checkpoint(note_plans(rows, headings, columns))
-    segs = N.segments(rows)
+    rows = notes if "seg" in notes.columns else stored(structured(notes), TABLE_KEY)
+    small = one_chunk(rows)
+    segs = checkpoint(N.segments(rows, small, totals=True))  # read for plans, roll-forwards and scopes
+    plans = checkpoint(note_plans(rows, headings, columns, segs))
     parts = {
         "MOVEMENT_ROLLFORWARD": N.roll_forward(rows, table_type, m, segs),
         "NOTE_BREAKDOWN_TOTALS": details_against_total(rows, table_type, m),
@@ -112,7 +116,7 @@ def audit_notes(notes: DataFrame, headings: DataFrame, columns: DataFrame | None
     kept = found.join(modes.select(*TABLE_KEY, "mode"), TABLE_KEY).join(allow, ["mode", "rule_id"], "left_semi")
     unclear = modes.where("status = 'UNDETERMINED'")
     warned = unclear.withColumn("reason_code", F.lit("STRUCTURE_UNDETERMINED")).withColumn("assertion", F.lit("NOTE structure undetermined"))
-    basic = N.fallback_sums(rows).join(unclear.where("numeric AND mode <> 'LISTING_NO_TOTAL'").select(*TABLE_KEY), TABLE_KEY, "left_semi")
+    basic = N.fallback_sums(rows, small).join(unclear.where("numeric AND mode <> 'LISTING_NO_TOTAL'").select(*TABLE_KEY), TABLE_KEY, "left_semi")
     basic = _evidence(basic.withColumn("assertion", F.lit("Sum above == Total")).withColumn("tolerance", F.lit(1.0)), "BASIC_NUMERIC_CHECKS").join(modes.select(*TABLE_KEY, "mode"), TABLE_KEY)
     real = checkpoint(kept.unionByName(basic))
     silent = modes.where("numeric").join(real.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti")

@@ -2,23 +2,37 @@
 
 from pyspark.sql import functions as F
 
+from tieout.operators.scans import groups_fit, stored
 from tieout.plans import note_audit as A
 from tieout.plans import views as V
 from tieout.queries import oracle_views as O
 from tieout.queries.note_queries import _ROLL, _tol
 from tieout.queries.registry import query
+from tieout.session import deal
 
 _ROLL_HEADS = ["Tangible movements", "Interest rate risk", "Borrowings –"]
 _ORDER_HEADS = ["Inventories", "Number of shares", "Transactions with related companies", "Business costs by element"]
 
 
 def _notes(spark, sf):
-    """Events by user and day, and orders, as notes under several headings; every ninth order shows no amount at all."""
-    roll = V.roll_rows(spark, sf).select(
-        F.concat(F.lit("u"), "doc_id").alias("doc_id"), F.col("table_idx").cast("bigint").alias("table_idx"), "row_idx", "label", F.when(F.col("label") != "Cost", F.col("value")).alias("value")
-    )
-    notes = V.note_amounts(spark, sf).select(F.concat(F.lit("c"), "doc_id").alias("doc_id"), "table_idx", "row_idx", "label", F.when(F.col("table_idx") % 9 != 4, F.col("value")).alias("value"))
-    rows = roll.unionByName(notes)
+    """Events by user and day, and orders, as notes under several headings; every ninth order shows no amount at all.
+
+    Structured rows, stored once: where no note is large each line is dealt to its note before the rows are laid out.
+    """
+    events, lines = V.event_tables(spark, sf), V.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    at = F.col("table_idx").cast("bigint")
+    if groups_fit(events, ["user_id", "table_idx"]) and groups_fit(lines, ["l_orderkey"]):
+        size = 2 * lines.count() + events.count()
+        events = deal(events.withColumns({"user_id": F.concat(F.lit("u"), "user_id"), "table_idx": at}), ["user_id", "table_idx"], size)
+        notes = V.lay_amounts(deal(V.amount_lines(spark, sf, lines).withColumn("doc_id", F.concat(F.lit("c"), "doc_id")), A.TABLE_KEY, size))
+    else:
+        size = None
+        events = events.withColumns({"user_id": F.concat(F.lit("u"), "user_id"), "table_idx": at})
+        notes = V.note_amounts(spark, sf).withColumn("doc_id", F.concat(F.lit("c"), "doc_id"))
+    roll = V.roll_rows(spark, sf, events).select("doc_id", "table_idx", "row_idx", "label", F.when(F.col("label") != "Cost", F.col("value")).alias("value"))
+    notes = notes.select("doc_id", "table_idx", "row_idx", "label", F.when(F.col("table_idx") % 9 != 4, F.col("value")).alias("value"))
+    small = True if size is not None else None
+    rows = stored(A.structured(roll, small).unionByName(A.structured(notes, small)), A.TABLE_KEY, dealt=size)
     heads = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("table_idx") % len(xs) + 1).cast("int"))
     headings = rows.select("doc_id", "table_idx").distinct().withColumn("heading", F.when(F.col("doc_id").startswith("u"), heads(_ROLL_HEADS)).otherwise(heads(_ORDER_HEADS)))
     return rows, headings
@@ -51,7 +65,7 @@ _PLANS = f"""{_ROLL}, {O.NOTE.replace('lines AS', 'lines AS MATERIALIZED')}, {O.
 @query("note_plans_from_rows", f"WITH {_PLANS} SELECT doc_id, CAST(table_idx AS BIGINT) AS table_idx, heading, mv AS is_movement, num AS numeric, sc AS has_scopes, cp AS has_column_plan, false AS has_netting_plan, mode, status FROM md")
 def note_plans_from_rows(spark, sf):
     rows, headings = _notes(spark, sf)
-    return A.note_plans(A.structured(rows), headings, _columns(spark, sf))
+    return A.note_plans(rows, headings, _columns(spark, sf))
 
 
 _MAT = lambda e, a, tol: f"abs(round({a} - {e}, 4)) > {tol}"
