@@ -50,3 +50,18 @@ def test_audit_takes_structured_rows_as_they_are(rows):
     data = rows("doc_id string, table_idx long, row_idx int, label string, value double", *[("d", 1, r, x, v) for r, (x, v) in enumerate([("a", 1.0), ("b", 2.0), ("Total", 9000.0)])])
     heads = rows("doc_id string, table_idx long, heading string", ("d", 1, "Inventories"))
     assert same(A.audit_notes(A.structured(data), heads), A.audit_notes(data, heads))
+
+
+def test_blocks_by_line_equal_blocks_by_position(rows, tables, spark):
+    li = spark.read.parquet(f"{tables}/lineitem.parquet").drop("l_x")
+    laid = V.lay_blocks(li.where("l_orderkey is not null").withColumns({"doc_id": F.col("l_orderkey") % 1000, "table_idx": F.col("l_orderkey")}))
+    numbered = V._numbered_blocks(li).select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), "row_idx", "label", "value")
+    assert same(laid, numbered)
+
+
+def test_walks_over_stored_blocks_move_nothing(spark, tables):
+    blocks = V.block_rows(spark, tables)
+    got = N.grand_total(N.block_walk(blocks, short=N.short_walks(blocks)), blocks)
+    assert "Exchange hashpartitioning" not in plan(got)
+    assert same(got, N.grand_total(N.block_walk(blocks), blocks))
+    assert all("Exchange hashpartitioning" not in plan(df) for df in (N.block_sums(blocks), N.two_block_total(blocks)))
