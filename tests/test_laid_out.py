@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tieout.operators import notes as N
+from tieout.operators import tie_outs as T
 from tieout.plans import note_audit as A
 from tieout.plans import views as V
+from tieout.queries import tie_out_queries as Q
 
 KEY = ["doc_id", "table_idx"]
 
@@ -65,3 +67,17 @@ def test_walks_over_stored_blocks_move_nothing(spark, tables):
     assert "Exchange hashpartitioning" not in plan(got)
     assert same(got, N.grand_total(N.block_walk(blocks), blocks))
     assert all("Exchange hashpartitioning" not in plan(df) for df in (N.block_sums(blocks), N.two_block_total(blocks)))
+
+
+def test_total_rows_of_small_notes_are_not_stored(spark, tables, monkeypatch):
+    cells, headings, dealt = V.note_tables(spark, tables)
+    want = T.total_rows(T.stored_rows(cells, dealt), headings)
+    monkeypatch.setattr(T, "stored_rows", lambda *_: pytest.fail("stored"))
+    assert same(Q.note_total_rows(spark, tables), want) and want.count() == 8
+
+
+def test_band_lines_are_dealt_before_they_are_laid_out(spark, tables, monkeypatch):
+    got, headings, totals = Q._band_cells(spark, tables)
+    monkeypatch.setattr(V, "groups_fit", lambda *_: False)
+    rows, heads, ends = Q._band_cells(spark, tables)
+    assert same(got, rows) and same(headings, heads) and same(totals, ends)
