@@ -54,3 +54,22 @@ def test_usual_notations_are_parsed_as_by_the_full_chain(rows):
     df = rows("text string", *[(t,) for t in [*texts, "", "\u2014", "Item", None]])
     both = df.select("text", parse_amount(F.col("text")).alias("a"), _parse_messy(F.col("text")).alias("b"))
     assert both.where("NOT (a <=> b)").collect() == []
+
+
+def test_note_columns_read_the_cells_once(rows):
+    cells = [("Cash", "5", "2024", ""), ("Debt", "6", "2023", "x"), ("", "", "2022", "7")]
+    body = rows("doc_id int, table_idx int, row_idx int, col_idx int, text string", *[(1, t, r, c, x) for t in (1, 2) for r, line in enumerate(cells) for c, x in enumerate(line[t - 1:])])
+    heads = rows("doc_id int, table_idx int, col_idx int, header string", *[(1, t, c, h) for t in (1, 2) for c, h in enumerate(["Item", "Amount", "Other", "Quantity"])])
+    got = L.note_amount_columns(body, heads)
+    want = L.note_amount_columns(body, heads, L.note_label_column(body))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_column_types_join_tables_only(rows):
+    heads = rows("doc_id int, table_idx int, col_idx int, header string", *[(1, 1, c, h) for c, h in enumerate(["Item", "Code", "Note", "2024", "2023", "2022", None])], (1, 2, 0, "x"))
+    periods = rows("doc_id int, table_idx int, cy_col int, py_col int", (1, 1, 3, 4), (1, 2, -1, -1))
+    got = L.column_types(heads, periods)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+    assert {(r.table_idx, r.col_idx): r.column_type for r in got.collect()} == {
+        (1, 0): "TEXT", (1, 1): "CODE", (1, 2): "TEXT", (1, 3): "NUMERIC_CY", (1, 4): "NUMERIC_PY", (1, 5): "OTHER", (1, 6): "TEXT", (2, 0): "TEXT"}

@@ -10,6 +10,7 @@ from tieout.operators.scans import dense_positions
 from tieout.plans import views as V
 from tieout.queries import oracle_views as O
 from tieout.queries.registry import query
+from tieout.session import checkpoint
 
 _BODY = f"""{O.CELLS}, body AS (SELECT doc_id, table_idx, row_idx - 1 AS row_idx, col_idx, text, trim(text) <> '' AS filled,
     trim(text) <> '' AND text <> '—' AS num, regexp_matches(text, '[0-9]') AS dig FROM cells WHERE row_idx > 0),
@@ -121,8 +122,8 @@ def effective_code_column(spark, sf):
 )
 def column_types(spark, sf):
     body, headers = _split(spark, sf)
-    h = _varied(headers)
-    return L.column_types(h, L.period_columns(h, L.numeric_evidence(body)))
+    h = checkpoint(_varied(headers))  # read for periods, marks and types
+    return L.column_types(h, checkpoint(L.period_columns(h, L.numeric_evidence(body))))
 
 
 @query(
@@ -131,8 +132,8 @@ def column_types(spark, sf):
 )
 def amount_columns(spark, sf):
     body, headers = _split(spark, sf)
-    h = _varied(headers)
-    return L.amount_columns(h, L.period_columns(h, L.numeric_evidence(body)))
+    h = checkpoint(_varied(headers))  # read for periods, blocks and columns
+    return L.amount_columns(h, checkpoint(L.period_columns(h, L.numeric_evidence(body))))
 
 
 @query(
@@ -150,7 +151,7 @@ def note_columns_by_density(spark, sf):
     body, headers = _split(spark, sf)
     # descriptions without digits, as in a real label column; the last header names a year
     body = body.withColumn("text", F.when(F.col("col_idx") == 0, F.lit("Receivables")).otherwise(F.col("text")))
-    return L.note_amount_columns(body, headers, L.note_label_column(body))
+    return L.note_amount_columns(body, headers)
 
 
 @query(
