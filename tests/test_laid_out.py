@@ -1,5 +1,7 @@
 """Notes laid out beside their lines where none is large: the same rows and facts as by positions and joins, moved once."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,10 @@ from tieout.operators import notes as N
 from tieout.operators import tie_outs as T
 from tieout.plans import note_audit as A
 from tieout.plans import views as V
+from tieout.queries import report_queries as R
 from tieout.queries import tie_out_queries as Q
 
+SF = "/root/testdata/sf0.001"
 KEY = ["doc_id", "table_idx"]
 
 
@@ -81,3 +85,11 @@ def test_band_lines_are_dealt_before_they_are_laid_out(spark, tables, monkeypatc
     monkeypatch.setattr(V, "groups_fit", lambda *_: False)
     rows, heads, ends = Q._band_cells(spark, tables)
     assert same(got, rows) and same(headings, heads) and same(totals, ends)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_rules_of_the_model_read_stored_notes(spark):
+    notes = R._model(spark, SF).notes
+    assert "Window" not in plan(notes) and "Exchange" not in plan(N.segments(notes, True))
+    fields = ["doc_id", "table_idx", "row_idx", "label", "value"]
+    assert same(notes.select(fields), V.note_amounts(spark, SF).select(fields))

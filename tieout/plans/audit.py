@@ -19,6 +19,7 @@ from tieout.operators import classify as C
 from tieout.operators import notes as N
 from tieout.operators import results as R
 from tieout.operators import statements as S
+from tieout.operators.scans import one_chunk
 
 
 @dataclass(frozen=True)
@@ -96,12 +97,14 @@ class Registry:
 def _scoped(frames: AuditFrames) -> DataFrame | None:
     if frames.notes is None:
         return None
-    segs = N.segments(frames.notes)
+    segs = N.segments(frames.notes, one_chunk(frames.notes), totals=True)
     return N.scoped_sums(frames.notes, N.scopes(frames.notes, segs), materiality=frames.materiality)
 
 
 def _rolling(frames: AuditFrames) -> DataFrame | None:
-    return None if frames.notes is None else N.roll_forward(frames.notes, materiality=frames.materiality)
+    if frames.notes is None:
+        return None
+    return N.roll_forward(frames.notes, materiality=frames.materiality, segs=N.segments(frames.notes, one_chunk(frames.notes)))
 
 
 def _netting(frames: AuditFrames) -> DataFrame | None:
