@@ -168,9 +168,12 @@ def header_range(cells: DataFrame, code_words: list[str], note_words: list[str],
     return r.select(*TABLE_KEY, "start_row", end.alias("end_row"))
 
 
-def consolidate_headers(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """One header per column: the filled header cells joined by a space (bounded by the header's rows)."""
-    j = cells.join(ranges, TABLE_KEY)
+def consolidate_headers(cells: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """One header per column: the filled header cells joined by a space (bounded by the header's rows).
+
+    Without ``ranges`` the cells already hold start_row and end_row.
+    """
+    j = cells if ranges is None else cells.join(ranges, TABLE_KEY)
     inside = F.col("row_idx").between(F.col("start_row"), F.col("end_row")) & (F.trim("text") != "")
     below = (F.col("row_idx") > F.col("end_row")) & (F.col("row_idx") <= F.col("end_row") + 10)
     parts = F.sort_array(F.collect_list(F.when(inside, F.struct("row_idx", F.trim("text").alias("t")))))
@@ -190,10 +193,10 @@ def unique_headers(headers: DataFrame) -> DataFrame:
     return headers.withColumn("header", F.when(n > 0, F.concat("header", F.lit("."), n)).otherwise(F.col("header")))
 
 
-def promote_headers(cells: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, body): header rows leave the cells and become de-duplicated column names."""
+def promote_headers(cells: DataFrame, ranges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(headers, body): header rows leave the cells and become de-duplicated column names. ``ranges`` as in :func:`consolidate_headers`."""
     headers = unique_headers(consolidate_headers(cells, ranges))
-    body = cells.join(ranges, TABLE_KEY).where(F.col("row_idx") > F.col("end_row")).withColumn(
+    body = (cells if ranges is None else cells.join(ranges, TABLE_KEY)).where(F.col("row_idx") > F.col("end_row")).withColumn(
         "row_idx", F.col("row_idx") - F.col("end_row") - 1
     ).drop("start_row", "end_row")
     return headers, body
@@ -428,6 +431,21 @@ def rectangular(cells: DataFrame) -> DataFrame:
     return grid.join(cells, [*TABLE_KEY, "row_idx", "col_idx"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def squared_rows(rows: DataFrame) -> DataFrame:
+    """:func:`rectangular` and :func:`drop_index_rows` where a window may hold a table: one record per row, its ``cells`` (col_idx, text) an array."""
+    from pyspark.sql import Window
+
+    whole = Window.partitionBy(*TABLE_KEY)
+    r = rows.dropna(subset=TABLE_KEY).withColumn("_w", F.max(F.array_max("cells.col_idx")).over(whole)).where("_w is not null")
+    cell = lambda i, t: F.struct(i.alias("col_idx"), t.alias("text"))
+    own = F.transform(F.filter("cells", lambda x: x["col_idx"].between(0, F.col("_w"))), lambda x: cell(x["col_idx"], F.coalesce(x["text"], F.lit(""))))
+    missing = F.transform(F.array_except(F.sequence(F.lit(0), F.col("_w")), "cells.col_idx"), lambda i: cell(i, F.lit("")))
+    r = r.withColumn("cells", F.concat(own, missing))
+    numbers = F.forall("cells", lambda x: F.trim(x["text"]) == x["col_idx"].cast("string"))
+    r = r.withColumn("_idx", F.coalesce(F.bool_and(F.when(F.col("row_idx") == 0, numbers)).over(whole), F.lit(False)))
+    return r.where(~F.col("_idx") | (F.col("row_idx") != 0)).select(*TABLE_KEY, (F.col("row_idx") - F.col("_idx").cast("int")).alias("row_idx"), "cells")
+
+
 def document_profile(blocks: DataFrame) -> DataFrame:
     """Tables, paragraphs, headings and sections per document, and whether it holds any table."""
     return blocks.groupBy("doc_id").agg(

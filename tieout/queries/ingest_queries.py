@@ -96,6 +96,15 @@ def _two_row_header(spark, sf):
     return shifted.unionByName(units)
 
 
+def _two_row_header_nested(rows):
+    """:func:`_two_row_header` of rows that hold their cells as an array."""
+    units = F.transform("cells", lambda x: F.struct(x["col_idx"].alias("col_idx"), F.when(x["col_idx"] >= 3, "VND").otherwise("").alias("text")))
+    row = lambda at, cells: F.struct(at.alias("row_idx"), cells.alias("cells"))
+    r = F.col("row_idx")
+    both = F.when(r == 0, F.array(row(r, F.col("cells")), row(r + 1, units))).otherwise(F.array(row(r + 1, F.col("cells"))))
+    return rows.select("doc_id", "table_idx", F.inline(both))
+
+
 @query("header_row_ranges", f"WITH {O.CELLS} SELECT DISTINCT doc_id, table_idx, 0 AS start_row, 1 AS end_row FROM cells")
 def header_row_ranges(spark, sf):
     cells = _two_row_header(spark, sf)
@@ -118,7 +127,8 @@ def promoted_headers(spark, sf):
     f"""WITH {O.CELLS} SELECT doc_id, table_idx, 3 AS cy_col, 4 AS py_col, 1 AS code_col, 2 AS note_col, CAST(count(*) FILTER (row_idx > 0) AS BIGINT) AS body_cells FROM cells GROUP BY 1, 2""",
 )
 def normalized_tables(spark, sf):
-    out = normalize_tables(_two_row_header(spark, sf))
+    dealt = V.dealt_cell_rows(spark, sf)
+    out = normalize_tables(_two_row_header(spark, sf)) if dealt is None else normalize_tables(_two_row_header_nested(dealt[0]), dealt[1])
     n = out["body"].groupBy("doc_id", "table_idx").agg(F.count(F.lit(1)).alias("body_cells"))
     return out["metadata"].drop("strategy").join(n, ["doc_id", "table_idx"])
 
