@@ -3,6 +3,7 @@
 import random
 
 from tieout.operators import ingest as I
+from tieout.session import deal
 
 
 def test_assignment_equals_all_pairs(rows, capsys):
@@ -29,3 +30,20 @@ def test_assignment_equals_all_pairs(rows, capsys):
     out.explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_small_pages_equal_tiles_and_are_moved_once(rows):
+    rnd = random.Random(7)
+    span = lambda most: (lambda a: (a, a + rnd.randint(1, most)))(rnd.randint(-70, 300))
+    box = "x1 int, y1 int, x2 int, y2 int"
+    tokens = [(n % 3, n % 3, n, a, c, b, d, "t") for n in range(90) for (a, b), (c, d) in [(span(90), span(30))]]
+    boxes = [(n % 4, n % 4, n // 6, n % 6, a, c, b, d) for n in range(80) for (a, b), (c, d) in [(span(200), span(150))]]
+    t = rows(f"doc_id int, table_idx int, token_id int, {box}, text string", *tokens, (None, 1, 1, 0, 0, 5, 5, "t"))
+    b = rows(f"doc_id int, table_idx int, row_idx int, col_idx int, {box}", *boxes)
+    key = ["doc_id", "table_idx"]
+    small = I.assign_tokens(deal(t, key, 1), deal(b, key, 1))
+    texts = I.cell_texts(small)
+    assert texts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # tokens and boxes, each once
+    tiled = I.assign_tokens(t, b, small=False)
+    assert sorted(map(str, small.collect())) == sorted(map(str, tiled.collect())) and tiled.count() > 10
+    assert sorted(map(str, texts.collect())) == sorted(map(str, I.cell_texts(tiled).collect()))

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tieout.functions.amounts import parse_amount
 from tieout.functions.text import box_score, centre_inside, period_key
 from tieout.functions.literals import contains_any as any_of
-from tieout.operators.scans import Scan, join_tables, scan
+from tieout.operators.scans import Scan, groups_fit, join_tables, scan
 from tieout.session import checkpoint
 
 TABLE_KEY = ["doc_id", "table_idx"]
+#: The same for sorts, which compare the first key alone as long as it differs.
+SORT_KEY = ["table_idx", "doc_id"]
 NEAREST = 15
+#: Boxes of a page that every token of the page is tried against.
+FEW_BOXES = 256
 
 # Wording and patterns of headings, headers and footers.
 STRONG_HEADING_WORDS = [
@@ -325,30 +329,38 @@ def token_gate(metrics: DataFrame) -> DataFrame:
     ).withColumn("reason", F.when(full | part, "").otherwise(why))
 
 
-def assign_tokens(tokens: DataFrame, boxes: DataFrame, tile: int = 64) -> DataFrame:
+def assign_tokens(tokens: DataFrame, boxes: DataFrame, tile: int = 64, small: bool | None = None) -> DataFrame:
     """Each token to its best-scored box whose area holds the token's centre.
 
-    Tokens and boxes meet per tile of the page, so a page with many of both never forms all pairs;
-    of the tiles that a pair shares, that with the first corner of its overlap keeps it. Only overlapping
-    pairs are scored. The join is a merge join: sizes estimated before tiles are exploded are far too small.
+    Where no page has many tokens or more than FEW_BOXES boxes, they meet per page, and frames dealt by page stay where they
+    are; ``small`` says so, where the caller knows, otherwise two jobs ask. Else tokens and boxes meet per tile of the page, so
+    that a page with many of both never forms all pairs; of the tiles that a pair shares, that with the first corner of its
+    overlap keeps it. Only overlapping pairs are scored. The join is a merge join: sizes estimated before boxes or tiles are
+    exploded are far too small.
     """
     def tiles(df: DataFrame) -> DataFrame:
         span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / tile), F.floor(F.col(hi) / tile)))
         return df.withColumn("_tx", span("x1", "x2")).withColumn("_ty", span("y1", "y2"))
 
+    if small is None:
+        small = groups_fit(boxes, TABLE_KEY, FEW_BOXES) and groups_fit(tokens, TABLE_KEY)
     side = {c: F.col(f"b_{c}") for c in ("x1", "y1", "x2", "y2")}
     tok = {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
-    b = tiles(boxes).select(*TABLE_KEY, "_tx", "_ty", "row_idx", "col_idx", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
     left, top = F.greatest("x1", "b_x1"), F.greatest("y1", "b_y1")
-    met = (left < F.least("x2", "b_x2")) & (top < F.least("y2", "b_y2")) & (F.floor(left / tile) == F.col("_tx")) & (F.floor(top / tile) == F.col("_ty"))
-    j = tiles(tokens).join(b.hint("merge"), [*TABLE_KEY, "_tx", "_ty"]).where(met).withColumn("score", F.round(box_score(tok, side), 9)).where("score > 0")
-    best = j.groupBy(*TABLE_KEY, "token_id").agg(
+    met = (left < F.least("x2", "b_x2")) & (top < F.least("y2", "b_y2"))
+    keys = [*SORT_KEY] if small else [*SORT_KEY, "_tx", "_ty"]
+    b = (boxes if small else tiles(boxes)).select(*keys, "row_idx", "col_idx", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    if not small:
+        met = met & (F.floor(left / tile) == F.col("_tx")) & (F.floor(top / tile) == F.col("_ty"))
+    j = (tokens if small else tiles(tokens)).join(b.hint("merge"), keys).where(met).withColumn("score", F.round(box_score(tok, side), 9))
+    best = j.groupBy(*SORT_KEY, "token_id").agg(
         F.max_by(
             F.struct("row_idx", "col_idx", "score", "text", "x1", "y1", centre_inside(tok, side).alias("inside")),
             F.struct("score", -F.col("row_idx"), -F.col("col_idx")),
         ).alias("m")
     )
-    return best.where("m.inside").select(*TABLE_KEY, "token_id", "m.row_idx", "m.col_idx", "m.score", "m.text", "m.x1", "m.y1")
+    # asked of the best pair: in front of it, every pair of the page would be scored twice, in a method too long to be compiled
+    return best.where("m.score > 0 AND m.inside").select(*TABLE_KEY, "token_id", "m.row_idx", "m.col_idx", "m.score", "m.text", "m.x1", "m.y1")
 
 
 def cell_texts(assigned: DataFrame, line_height: int = 10) -> DataFrame:
@@ -356,12 +368,12 @@ def cell_texts(assigned: DataFrame, line_height: int = 10) -> DataFrame:
 
     Lists are bounded by what one cell holds.
     """
-    return assigned.groupBy(*TABLE_KEY, "row_idx", "col_idx").agg(
+    return assigned.groupBy(*SORT_KEY, "row_idx", "col_idx").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct(F.floor(F.col("y1") / line_height).alias("l"), "x1", "text"))), lambda t: t["text"]), " "
         ).alias("text"),
         F.count(F.lit(1)).alias("n_tokens"),
-    )
+    ).select(*TABLE_KEY, "row_idx", "col_idx", "text", "n_tokens")
 
 
 def merged_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -435,7 +447,7 @@ def squared_rows(rows: DataFrame) -> DataFrame:
     """:func:`rectangular` and :func:`drop_index_rows` where a window may hold a table: one record per row, its ``cells`` (col_idx, text) an array."""
     from pyspark.sql import Window
 
-    whole = Window.partitionBy(*TABLE_KEY)
+    whole = Window.partitionBy(*SORT_KEY)
     r = rows.dropna(subset=TABLE_KEY).withColumn("_w", F.max(F.array_max("cells.col_idx")).over(whole)).where("_w is not null")
     cell = lambda i, t: F.struct(i.alias("col_idx"), t.alias("text"))
     own = F.transform(F.filter("cells", lambda x: x["col_idx"].between(0, F.col("_w"))), lambda x: cell(x["col_idx"], F.coalesce(x["text"], F.lit(""))))

@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from tieout.operators import ingest as I
+from tieout.operators.scans import groups_fit
 from tieout.plans import views as V
 from tieout.plans.normalize import normalize_tables
 from tieout.queries import oracle_views as O
 from tieout.queries.registry import query
+from tieout.session import deal
 
 
 def _event_blocks(spark, sf):
@@ -237,25 +239,36 @@ def token_quality_gate(spark, sf):
     return I.token_gate(m).select("label", "p10", "decision", "reason")
 
 
-def _tokens(spark, sf):
+def _tokens(li):
     """Order lines as tokens on a page per order, three columns of boxes per line number."""
-    li = V.table(spark, sf, "lineitem")
     x, y = F.col("l_partkey") % 3 * 100 + F.col("l_suppkey") % 70, F.col("l_linenumber") * 20 + F.col("l_partkey") % 5
-    return li.select(
-        (F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_orderkey").alias("table_idx"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("token_id"),
+    # a token is one mark on the page, however often its line item is listed
+    return li.distinct().select(
+        "doc_id", "table_idx", (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("token_id"),
         x.alias("x1"), y.alias("y1"), (x + 30).alias("x2"), (y + 10).alias("y2"), F.concat(F.lit("T"), "l_partkey").alias("text"),
-    ).distinct()  # a token is one mark on the page, however often its line item is listed
+    )
 
 
-def _boxes(spark, sf):
-    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("table_idx"))
-    grid = o.withColumn("row_idx", F.explode(F.array(*[F.lit(i) for i in range(1, 8)]))).withColumn("col_idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+def _boxes(orders):
+    grid = orders.withColumn("row_idx", F.explode(F.array(*[F.lit(i) for i in range(1, 8)]))).withColumn("col_idx", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return grid.select(
-        (F.col("table_idx") % 1000).alias("doc_id"), "table_idx", "row_idx", "col_idx", (F.col("col_idx") * 100).alias("x1"), (F.col("row_idx") * 20).alias("y1"),
+        "doc_id", "table_idx", "row_idx", "col_idx", (F.col("col_idx") * 100).alias("x1"), (F.col("row_idx") * 20).alias("y1"),
         (F.col("col_idx") * 100 + 90).alias("x2"), (F.col("row_idx") * 20 + 18).alias("y2"),
     )
 
 
+def _assigned(spark, sf):
+    """Tokens in their boxes. Where no order is large, lines and orders are dealt by page before tokens and boxes are made of them."""
+    page = lambda k: {"doc_id": F.col(k) % 1000, "table_idx": F.col(k)}
+    li = V.table(spark, sf, "lineitem").withColumns(page("l_orderkey")).select("doc_id", "table_idx", "l_partkey", "l_suppkey", "l_linenumber")
+    o = V.table(spark, sf, "orders").withColumns(page("o_orderkey")).select("doc_id", "table_idx")
+    small = groups_fit(li, ["table_idx"]) and groups_fit(o, ["table_idx"], I.FEW_BOXES // 21)
+    if small:
+        size = li.count()
+        li, o = (deal(df.dropna(subset=I.TABLE_KEY), I.SORT_KEY, size) for df in (li, o))
+    return I.assign_tokens(_tokens(li), _boxes(o), small=small)
+
+
 _TOK = """tk AS (SELECT DISTINCT l_orderkey AS k, l_partkey, l_suppkey, l_linenumber, l_partkey % 3 AS c, l_partkey % 3 * 100 + l_suppkey % 70 AS x1, l_linenumber * 20 + l_partkey % 5 AS y1 FROM lineitem),
   ta AS (SELECT *, greatest(0, least(x1 + 30, c * 100 + 90) - x1) AS w FROM tk WHERE x1 + 15 <= c * 100 + 90)"""
 
@@ -265,7 +278,7 @@ _TOK = """tk AS (SELECT DISTINCT l_orderkey AS k, l_partkey, l_suppkey, l_linenu
     f"WITH {_TOK} SELECT k % 1000 AS doc_id, k AS table_idx, l_partkey * 100000 + l_suppkey * 8 + l_linenumber AS token_id, l_linenumber AS row_idx, CAST(c AS INTEGER) AS col_idx FROM ta",
 )
 def token_cell_assignment(spark, sf):
-    return I.assign_tokens(_tokens(spark, sf), _boxes(spark, sf)).select("doc_id", "table_idx", "token_id", "row_idx", "col_idx")
+    return _assigned(spark, sf).select("doc_id", "table_idx", "token_id", "row_idx", "col_idx")
 
 
 @query(
@@ -273,7 +286,7 @@ def token_cell_assignment(spark, sf):
     f"WITH {_TOK} SELECT k % 1000 AS doc_id, k AS table_idx, l_linenumber AS row_idx, CAST(c AS INTEGER) AS col_idx, string_agg('T' || l_partkey, ' ' ORDER BY y1 // 10, x1, 'T' || l_partkey) AS text, count(*) AS n_tokens FROM ta GROUP BY 1, 2, 3, 4",
 )
 def token_cell_text(spark, sf):
-    return I.cell_texts(I.assign_tokens(_tokens(spark, sf), _boxes(spark, sf)))
+    return I.cell_texts(_assigned(spark, sf))
 
 
 @query(
