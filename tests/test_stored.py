@@ -1,5 +1,7 @@
 """Rows stored by group: later steps move none of them, and notes built per line equal those built by positions."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tieout.operators import tie_outs as T
@@ -45,3 +47,46 @@ def test_notes_by_line_equal_notes_by_position(rows):
     want = V._numbered_notes(li).join(owner, "l_orderkey").select(*cols)
     got = V._small_notes(deal(li.join(owner, "l_orderkey"), ["doc_id", "l_orderkey"], 1)).select(*cols)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def notes(rows):
+    """(stored rows, headings, totals, blocks) of notes with several blocks, one of them under a heading of its own sums."""
+    lines = [("", "", ""), ("a", "1", "2"), ("b", "3", "-"), ("", "", ""), ("", "4", "2"), ("", "", ""), ("short-term c", "5", "5"), ("d", "1", "1"), ("", "", ""), ("", "6", "6"), ("", "", ""), ("Total", "10", "8")]
+    value = lambda x: float(x) if x.isdigit() else None
+    cells = rows("doc_id int, table_idx long, row_idx int, col_idx int, text string, value double",
+                 *[(t % 2, t, r, c, x, value(x)) for t in range(4) for r, line in enumerate(lines[t % 2:]) for c, x in enumerate(line)])
+    heads = rows("doc_id int, table_idx long, heading string", (0, 0, "Recognised deferred tax assets and liabilities"), (1, 1, "Long-term provisions"), (0, 2, "Inventories"), (1, 3, "Changes in owners’ equity"))
+    kept = T.stored_rows(cells)
+    totals = T.total_rows(kept, heads)
+    return kept, heads, totals, T.note_blocks(kept, heads, totals)
+
+
+def moved(df):
+    return re.findall(r"Exchange hashpartitioning\([^)]*?(row_idx|block|col_idx|_row|_col|_b)#", plan(df))
+
+
+def test_blocks_are_looked_up_where_rows_are_stored(rows, monkeypatch):
+    kept, heads, _, blocks = notes(rows)
+    got = T.block_columns(kept, blocks, heads)
+    assert moved(got) == []
+    have = sorted(map(str, got.collect()))
+    monkeypatch.setattr(T, "FEW_BLOCKS", 0)
+    plain = T.block_columns(kept, blocks, heads)
+    assert moved(plain) and have == sorted(map(str, plain.collect())) and len(have) > 12
+
+
+def test_identities_of_stored_notes_equal_those_of_plain_joins(rows, monkeypatch):
+    kept, heads, _, _ = notes(rows)
+    got = T.note_identities(kept, heads)
+    assert moved(got) in ([], ["row_idx"])  # the places that are asked for, not the rows
+    have = sorted(map(str, got.collect()))
+    monkeypatch.setattr(T, "one_chunk", lambda *_: False)
+    assert have == sorted(map(str, T.note_identities(kept, heads).collect())) and have
+
+
+def test_places_are_read_where_rows_are_stored(rows):
+    kept, _, _, _ = notes(rows)
+    places = rows("doc_id int, table_idx long, choice int, cy_row int, cy_col int, py_row int, py_col int, sign int", (0, 0, 1, 11, 1, 4, 2, -1), (0, 0, 2, 99, 1, 4, 9, 1), (1, 1, 1, 0, 1, 0, 2, 1))
+    got = T.read_places(places, kept, True)
+    assert "row_idx" not in moved(got)
+    assert sorted(map(str, got.collect())) == sorted(map(str, T.read_places(places, kept).collect()))
