@@ -31,14 +31,14 @@ def normalize_tables(cells: DataFrame, dealt: int | None = None) -> dict[str, Da
     else:
         if dealt is None:
             dealt = cells.count()
-            cells = deal(cells, I.TABLE_KEY, dealt).groupBy(*I.TABLE_KEY, "row_idx").agg(F.collect_list(F.struct("col_idx", "text")).alias("cells"))
-        rows = stored_by_group(I.squared_rows(cells), I.TABLE_KEY, "row_idx", dealt)
+            cells = deal(cells, I.SORT_KEY, dealt).groupBy(*I.TABLE_KEY, "row_idx").agg(F.collect_list(F.struct("col_idx", "text")).alias("cells"))
+        rows = stored_by_group(I.squared_rows(cells), I.SORT_KEY, "row_idx", dealt)
         squared = rows.select(*I.TABLE_KEY, "row_idx", F.inline("cells"))
-        ranges = stored_by_group(I.header_range(squared, CODE_WORDS, NOTE_WORDS), I.TABLE_KEY, "start_row", dealt)
+        ranges = stored_by_group(I.header_range(squared, CODE_WORDS, NOTE_WORDS), I.SORT_KEY, "start_row", dealt)
         # a range per table: its bucket is read into memory, and rows are not sorted for the join
-        ranged = rows.join(ranges.hint("shuffle_hash"), I.TABLE_KEY).select(*I.TABLE_KEY, "row_idx", "start_row", "end_row", F.inline("cells"))
+        ranged = rows.join(ranges.hint("shuffle_hash"), I.SORT_KEY).select(*I.TABLE_KEY, "row_idx", "start_row", "end_row", F.inline("cells"))
         headers, body = I.promote_headers(ranged)
-        headers = stored_by_group(headers, I.TABLE_KEY, "col_idx", dealt)
+        headers = stored_by_group(headers, I.SORT_KEY, "col_idx", dealt)
     periods = L.period_columns(headers, L.numeric_evidence(body))
     meta = (
         periods.join(L.code_columns(headers).withColumnRenamed("col_idx", "code_col"), L.TABLE_KEY, "left")
