@@ -90,3 +90,11 @@ def test_places_are_read_where_rows_are_stored(rows):
     got = T.read_places(places, kept, True)
     assert "row_idx" not in moved(got)
     assert sorted(map(str, got.collect())) == sorted(map(str, T.read_places(places, kept).collect()))
+
+
+def test_words_of_notes_come_from_one_aggregation(rows):
+    kept, heads, totals, blocks = notes(rows)
+    said = plan(T.said_rows(kept))
+    assert "Join" not in said and "Exchange" not in said
+    got = {r.table_idx: (r.total_row, r.short, r.n_rows, r.figures) for r in T.note_slots(kept, heads, totals, blocks).collect()}
+    assert got == {t: (11 - t % 2, 6 - t % 2, 12 - t % 2, True) for t in range(4)}
